@@ -7,6 +7,7 @@ from .operators.columns import add_column, drop_column, rename_column, widen_col
 from .operators.merge import RepeatedSourceKey, merge
 from .operators.metadata import files, history, snapshots
 from .operators.write import append, create_or_replace
+from .plans.batch import BatchResult, Checks, Delete, Update, run_batch, run_steps
 from .sources.catalog import create_namespace, list_catalogs, list_tables, register_views, sql
 from .sources.data import read
 from .sources.log import ConcurrentWrite, UnknownTable, UnknownVersion
@@ -14,12 +15,16 @@ from .sources.raw import read_raw
 from .sources.table import Table
 
 __all__ = [
+    "BatchResult",
     "CheckFailed",
+    "Checks",
     "ConcurrentWrite",
+    "Delete",
     "RepeatedSourceKey",
     "Table",
     "UnknownTable",
     "UnknownVersion",
+    "Update",
     "add_column",
     "append",
     "count_rows",
@@ -40,6 +45,8 @@ __all__ = [
     "remove_row",
     "rename_column",
     "repeated_keys",
+    "run_batch",
+    "run_steps",
     "set_columns",
     "snapshots",
     "sql",

@@ -16,11 +16,18 @@ def list_catalogs(spark: SparkSession) -> list[str]:
     return [c.name for c in spark.catalog.listCatalogs()]
 
 
-def create_namespace(spark: SparkSession, namespace: str) -> None:
-    """Make the namespace known to Spark; does nothing where it is there."""
+def create_namespace(spark: SparkSession, namespace: str, root: str | None = None) -> None:
+    """Make the namespace known to Spark; does nothing where it is there.
+
+    With a root, the namespace's folder is the one its tables are in.
+    """
     if not re.fullmatch(r"[A-Za-z0-9_]+", namespace):
         raise ValueError(f"not a valid name: {namespace!r}")
-    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {namespace}")
+    location = ""
+    if root is not None:
+        path = f"{root.rstrip('/')}/{namespace}".replace("\\", "\\\\").replace("'", "\\'")
+        location = f" LOCATION '{path}'"
+    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {namespace}{location}")
 
 
 def list_tables(spark: SparkSession, root: str, namespace: str) -> list[str]:

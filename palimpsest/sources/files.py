@@ -7,7 +7,7 @@ whose files are all wanted comes as the one folder path.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .log import Version, commit
@@ -100,32 +100,29 @@ def commit_files(
     """
     new = written(table, write_id, format, schema) if wrote else None
     rows = kept if new is None else new if kept is None else kept.unionByName(new)
-    rows.write.mode("errorifexists").parquet(table.files_dir(write_id))
-
     mine = F.col("dir").startswith(f"{WRITE_ID}={write_id}")
-    old_records = before.summary["total_records"] if before else 0
-    old_files = before.summary["total_files"] if before else 0
-    records, n = F.col("record_count"), F.lit(1)
-
-    def total(c: Column, where: Column | None = None) -> Column:
-        return F.coalesce(F.sum(c if where is None else F.when(where, c)), F.lit(0))
-
-    counts = (
-        table.spark.read.schema(FILES_SCHEMA)
-        .parquet(table.files_dir(write_id))
-        .agg(
-            total(records).alias("total_records"),
-            total(n).alias("total_files"),
-            total(F.col("file_size_in_bytes")).alias("total_bytes"),
-            total(records, mine).alias("added_records"),
-            total(n, mine).alias("added_files"),
-        )
-        .withColumn("removed_records", F.lit(old_records) - F.col("total_records") + F.col("added_records"))
-        .withColumn("removed_files", F.lit(old_files) - F.col("total_files") + F.col("added_files"))
-    )
+    records, one = F.col("record_count"), F.lit(1)
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+
+    # Counted in the tasks that write the list, each of which counts once.
+    seen = Observation()
+    rows.observe(
+        seen,
+        total(records).alias("total_records"),
+        total(one).alias("total_files"),
+        total(F.col("file_size_in_bytes")).alias("total_bytes"),
+        total(F.when(mine, records)).alias("added_records"),
+        total(F.when(mine, one)).alias("added_files"),
+    ).write.mode("errorifexists").parquet(table.files_dir(write_id))
+    summary = dict(seen.get)
+    for what in ("records", "files"):
+        old = before.summary[f"total_{what}"] if before else 0
+        summary[f"removed_{what}"] = old - summary[f"total_{what}"] + summary[f"added_{what}"]
     return commit(
         table,
-        counts,
+        summary,
         number=number,
         parent=before.number if before else None,
         operation=operation,
@@ -140,10 +137,9 @@ def commit_same_files(table: Table, before: Version, operation: str, schema=None
     """A version with the same data files: a new schema, or a statement that hit no row."""
     totals = {k: v for k, v in before.summary.items() if k.startswith("total_")}
     changes = dict.fromkeys(("added_records", "added_files", "removed_records", "removed_files"), 0)
-    counts = table.spark.range(1).select([F.lit(v).alias(k) for k, v in {**totals, **changes}.items()])
     return commit(
         table,
-        counts,
+        {**totals, **changes},
         number=before.number + 1,
         parent=before.number,
         operation=operation,

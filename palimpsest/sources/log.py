@@ -94,7 +94,7 @@ def version_at(table: Table, number: int | None = None) -> Version:
 
 def commit(
     table: Table,
-    counts: DataFrame,
+    summary: dict[str, int],
     *,
     number: int,
     parent: int | None,
@@ -104,11 +104,11 @@ def commit(
     schema: T.StructType,
     partitioned_by: tuple[str, ...],
 ) -> int:
-    """Write the log row of a version. ``counts`` is one row; its columns become the summary."""
-    summary: list[Column] = []
-    for c in counts.columns:
-        summary += [F.lit(c), F.col(c).cast("bigint")]
-    row = counts.select(
+    """Write the log row of a version, as one file."""
+    entries: list[Column] = []
+    for name, n in summary.items():
+        entries += [F.lit(name), F.lit(n).cast("bigint")]
+    row = table.spark.range(0, 1, 1, numPartitions=1).select(
         F.lit(parent).cast("int").alias("parent"),
         F.current_timestamp().alias("committed_at"),
         F.lit(operation).alias("operation"),
@@ -116,8 +116,8 @@ def commit(
         F.lit(format).alias("format"),
         F.lit(schema.json()).alias("schema"),
         F.array([F.lit(p) for p in partitioned_by]).cast("array<string>").alias("partitioned_by"),
-        F.create_map(summary).alias("summary"),
-    ).coalesce(1)
+        F.create_map(entries).alias("summary"),
+    )
     if last_version(table) >= number:
         raise ConcurrentWrite(f"{table.path} already has version {number}")
     try:
