@@ -123,7 +123,7 @@ def raw_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, "lineitem")
     declared = "l_orderkey bigint, l_linenumber int, l_quantity double, l_shipdate date"
     create_or_replace(read_raw(spark, f"{sf_dir}/lineitem.parquet", declared), table)
-    return read(table)
+    return read(table).withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
 
 
 def partitioned_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +190,7 @@ def as_of_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _changed_orders(spark, sf_dir)
     return history(table).join(snapshots(table).select("version", "total_records"), "version").select(
-        "version", "parent", "operation", "is_current_ancestor", "total_records"
+        "version", F.coalesce("parent", F.lit(0)).alias("parent"), "operation", "is_current_ancestor", "total_records"
     )
 
 
@@ -231,7 +231,7 @@ def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _yesterday(spark, sf_dir)
-    values = {c: f"s.{c}" for c in ("o_orderkey", "o_totalprice", "o_orderpriority")}
+    values = {c: f"s.{c}" for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")}
     merge(table, _extract(spark, sf_dir), "o_orderkey", not_matched=[insert_row(values)])
     return read(table)
 
@@ -301,9 +301,9 @@ def alter_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alter_add_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dropped and added again: the new column does not show the old values."""
     table = _orders(spark, sf_dir)
-    drop_column(table, "o_custkey")
-    add_column(table, "o_custkey", "bigint")
-    update(table, URGENT, {"o_custkey": "o_orderkey + 1"})
+    drop_column(table, "o_totalprice")
+    add_column(table, "o_totalprice", "double")
+    update(table, URGENT, {"o_totalprice": "o_custkey + 0.5"})
     return read(table)
 
 
@@ -447,7 +447,8 @@ def oracle_sql() -> dict[str, str]:
                    CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS x
             FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""",
         "raw_ingest": """
-            SELECT l_orderkey, l_linenumber, l_quantity, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem""",
+            SELECT l_orderkey, l_linenumber, l_quantity, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS l_shipdate
+            FROM lineitem""",
         "partitioned_filter": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '2-HIGH'",
         "row_update": f"""
             SELECT o_orderkey, o_custkey, o_orderstatus, {_RAISED} AS o_totalprice, o_orderdate, o_orderpriority
@@ -478,7 +479,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT version, parent, operation, TRUE AS is_current_ancestor,
                    CASE WHEN version < 3 THEN (SELECT count(*) FROM orders)
                         ELSE (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') END AS total_records
-            FROM (VALUES (1, NULL::INTEGER, 'create'), (2, 1, 'update'), (3, 2, 'delete'))
+            FROM (VALUES (1, 0, 'create'), (2, 1, 'update'), (3, 2, 'delete'))
                  t(version, parent, operation)""",
         "snapshot_summary": """
             SELECT 1 AS version, count(*) AS total_records FROM orders
@@ -489,7 +490,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_insert": """
             SELECT * FROM orders WHERE o_orderstatus <> 'P'
             UNION ALL
-            SELECT o_orderkey, NULL, NULL, o_totalprice * 1.10, NULL, o_orderpriority
+            SELECT o_orderkey, o_custkey, NULL, o_totalprice * 1.10, NULL, o_orderpriority
             FROM orders WHERE o_orderstatus = 'P'""",
         "merge_delete": """
             SELECT * FROM orders
@@ -513,8 +514,8 @@ def oracle_sql() -> dict[str, str]:
             FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey""",
         "alter_add": "SELECT *, CAST(NULL AS DOUBLE) AS bonus FROM orders",
         "alter_add_update": """
-            SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
-                   CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey + 1 END AS o_custkey
+            SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority,
+                   CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(o_custkey AS DOUBLE) + 0.5 END AS o_totalprice
             FROM orders""",
         "alter_drop": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders",
         "alter_rename": f"""

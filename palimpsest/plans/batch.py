@@ -86,7 +86,8 @@ def run_steps(
     try:
         create_namespace(spark, table.namespace, table.root)
         first = last = create_or_replace(df, table, format=format, partition_by=partition_by)
-        loaded_rows = _check(read(table, first), loaded)
+        after_load = read(table, first)
+        loaded_rows = _check(after_load, loaded)
         for change in changes:
             if isinstance(change, Update):
                 last = update(table, change.condition, change.assignments)
@@ -101,7 +102,7 @@ def run_steps(
             last_version=last,
             loaded_rows=loaded_rows,
             final_rows=final_rows,
-            after_load=read(table, first),
+            after_load=after_load,
             current=current,
             history=history(table),
             files=files(table, last),
