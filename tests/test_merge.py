@@ -58,9 +58,10 @@ def model(target, source, by_source):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-@pytest.mark.parametrize("by_source", [False, True])
-@pytest.mark.parametrize("partition_by", [[], ["p"]])
+@pytest.mark.parametrize(
+    ("broadcast", "by_source", "partition_by"),
+    [(True, False, ["p"]), (True, True, []), (False, False, []), (False, True, ["p"])],
+)
 def test_against_model(spark, table, broadcast, by_source, partition_by):
     target = make(120, 40, None, 1, unique=False)
     source = make(60, 60, ["u", "i", "d", "x"], 2, unique=True)
