@@ -7,7 +7,7 @@ whose files are all wanted comes as the one folder path.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .log import Version, commit
@@ -106,17 +106,16 @@ def commit_files(
     def total(c: Column) -> Column:
         return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
 
-    # Counted in the tasks that write the list, each of which counts once.
-    seen = Observation()
-    rows.observe(
-        seen,
+    rows.write.mode("errorifexists").parquet(table.files_dir(write_id))
+    list_rows = table.spark.read.schema(FILES_SCHEMA).parquet(table.files_dir(write_id))
+    counts = list_rows.agg(
         total(records).alias("total_records"),
         total(one).alias("total_files"),
         total(F.col("file_size_in_bytes")).alias("total_bytes"),
         total(F.when(mine, records)).alias("added_records"),
         total(F.when(mine, one)).alias("added_files"),
-    ).write.mode("errorifexists").parquet(table.files_dir(write_id))
-    summary = dict(seen.get)
+    )
+    summary = counts.first().asDict()
     for what in ("records", "files"):
         old = before.summary[f"total_{what}"] if before else 0
         summary[f"removed_{what}"] = old - summary[f"total_{what}"] + summary[f"added_{what}"]

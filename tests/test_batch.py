@@ -1,0 +1,66 @@
+"""The daily batch: run again, failing checks, and the program."""
+
+import pytest
+
+from palimpsest import CheckFailed, Checks, Delete, Table, Update, read, run_batch, run_steps, snapshots
+from palimpsest.plans import daily
+
+from .conftest import SF, rows
+from .employees import AFTER_DELETE, IN_DATA_ENGINEERING, IN_PRODUCT, RAISE, ROWS, SCHEMA
+
+CHANGES = [Update(IN_DATA_ENGINEERING, RAISE), Delete(IN_PRODUCT)]
+NOT_NULL = [f.name for f in SCHEMA if not f.nullable]
+
+
+def test_employees_twice(spark, table, capsys):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    for run, day in enumerate(("2024-05-01", "2024-05-02")):
+        result = run_steps(
+            df,
+            table,
+            day,
+            partition_by=["departamento"],
+            changes=CHANGES,
+            loaded=Checks(min_rows=8, not_null=NOT_NULL, unique=["id"]),
+            final=Checks(expected_rows=6, not_null=NOT_NULL),
+        )
+        assert (result.first_version, result.last_version) == (3 * run + 1, 3 * run + 3)
+        assert (result.loaded_rows, result.final_rows) == (8, 6)
+        assert rows(result.current) == sorted(AFTER_DELETE, key=repr)
+        # The first version of this run, not of the table.
+        assert rows(result.after_load) == sorted(ROWS, key=repr)
+    result.show()
+    shown = capsys.readouterr().out
+    assert "Engenharia de Dados" in shown
+    assert "2024-05-02: History" in shown
+
+
+def test_a_failed_check_stops_the_batch(spark, table):
+    with pytest.raises(CheckFailed, match="1500 rows, fewer than 2000"):
+        run_batch(
+            spark,
+            "2024-05-01",
+            f"{SF}/orders.parquet",
+            table,
+            "o_orderkey bigint, o_orderstatus string",
+            changes=[Delete("o_orderstatus = 'F'")],
+            loaded=Checks(min_rows=2000),
+        )
+    assert rows(snapshots(table).select("version", "operation")) == [(1, "create")]
+
+
+def test_program(spark, root, tmp_path, capsys):
+    lines = ["id,departamento,salario"] + [f"{r[0]},{r[2]},{r[4]}" for r in ROWS]
+    (tmp_path / "raw.csv").write_text("\n".join(lines) + "\n")
+    arguments = [
+        *("--run-date", "2024-05-01", "--raw", str(tmp_path), "--raw-format", "csv", "--raw-option", "header=true"),
+        *("--root", root, "--table", "datalake.pessoal", "--schema", "id int, departamento string, salario double"),
+        *("--partition-by", "departamento", "--update", IN_DATA_ENGINEERING, "salario = salario * 1.10"),
+        *("--delete", IN_PRODUCT, "--min-rows", "1", "--not-null", "id", "--unique", "id"),
+    ]
+    assert daily.main([*arguments, "--expected-rows", "6"]) == 0
+    assert "8 rows loaded, 6 rows in version 3" in capsys.readouterr().out
+    got = read(Table(spark, root, "datalake", "pessoal"))
+    assert rows(got) == sorted(((r[0], r[2], r[4]) for r in AFTER_DELETE), key=repr)
+    assert daily.main([*arguments, "--expected-rows", "7"]) == 1
+    assert "6 rows, not 7" in capsys.readouterr().err
