@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import as_condition, deleted, require_repeatable, updated
-from ..sources.data import load, scan, write
-from ..sources.files import commit_files, commit_same_files, file_name, listed, paths, without
-from ..sources.log import Version, version_at
-from ..sources.table import Table, find, new_write_id, stored_name
+from ..sources.data import clustered, load, scan
+from ..sources.files import commit_same_files, file_name, listed, paths, without
+from ..sources.log import version_at
+from ..sources.table import Table, find, new_write_id
+from .write import write_next
 
 PATH = "palimpsest_path"
 
@@ -33,40 +34,6 @@ def stage_touched(table: Table, hits: DataFrame, write_id: str) -> DataFrame:
     return table.spark.read.schema("name string, matched bigint").parquet(at)
 
 
-def finish(
-    table: Table,
-    before: Version,
-    write_id: str,
-    operation: str,
-    rows: DataFrame | None,
-    kept: DataFrame | None,
-    cluster: bool,
-) -> int:
-    """Write the changed rows and commit them with the files that stay."""
-    if rows is not None:
-        write(
-            table,
-            rows,
-            write_id=write_id,
-            format=before.format,
-            schema=before.schema,
-            partitioned_by=before.partitioned_by,
-            cluster=cluster,
-        )
-    return commit_files(
-        table,
-        write_id=write_id,
-        number=before.number + 1,
-        before=before,
-        kept=kept,
-        wrote=rows is not None,
-        operation=operation,
-        format=before.format,
-        schema=before.schema,
-        partitioned_by=before.partitioned_by,
-    )
-
-
 def update(table: Table, condition: Column | str, assignments: Mapping[str, Any]) -> int:
     """Give new values to the rows where the condition is TRUE; return the new version.
 
@@ -85,9 +52,10 @@ def update(table: Table, condition: Column | str, assignments: Mapping[str, Any]
     again = paths(table, files.join(touched, "name", "left"), F.col("matched").isNotNull())
     if not again:
         return commit_same_files(table, before, "update")
-    moves = any(stored_name(find(before.schema, c)) in before.partitioned_by for c in assignments)
     rows = updated(load(table, before, again), condition, assignments)
-    return finish(table, before, write_id, "update", rows, without(files, touched), cluster=moves)
+    if any(find(before.schema, c).name in before.partition_columns for c in assignments):
+        rows = clustered(rows, before.partition_columns)
+    return write_next(table, before, write_id, "update", rows, without(files, touched))
 
 
 def delete(table: Table, condition: Column | str) -> int:
@@ -108,4 +76,4 @@ def delete(table: Table, condition: Column | str) -> int:
     if not again and touched.isEmpty():
         return commit_same_files(table, before, "delete")
     rows = deleted(load(table, before, again), condition) if again else None
-    return finish(table, before, write_id, "delete", rows, without(files, touched), cluster=False)
+    return write_next(table, before, write_id, "delete", rows, without(files, touched))

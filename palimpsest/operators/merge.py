@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rows import Clause, inserted_rows, merged_rows
-from ..sources.data import load, scan
+from ..sources.data import clustered, load, scan
 from ..sources.files import commit_same_files, listed, paths, without
 from ..sources.log import Version, version_at
 from ..sources.table import Table, col, find, new_write_id, plain_schema
-from .change import PATH, finish, stage_touched
+from .change import PATH, stage_touched
+from .write import write_next
 
 RANGE_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.StringType)
 
@@ -46,6 +47,8 @@ def merge(
     _require_actions("matched", matched, {"update", "delete"})
     _require_actions("not_matched", not_matched, {"insert"})
     _require_actions("not_matched_by_source", not_matched_by_source, {"update", "delete"})
+    if any(c.action == "update" and c.values is None for c in not_matched_by_source):
+        raise ValueError("not_matched_by_source has no source row to take values from; give the values")
     if not (matched or not_matched or not_matched_by_source):
         raise ValueError("a merge needs a clause")
 
@@ -53,7 +56,8 @@ def merge(
     keys = [f"k{i}" for i in range(len(pairs))]
     source = _stage(table, source, write_id, "source")
     source_keys = source.select([col(s).alias(k) for (_, s), k in zip(pairs, keys, strict=True)]).dropna()
-    facts = _facts(source_keys)
+    facts = _facts(source, pairs)
+    limit = _broadcast_limit(table)
     repeated = facts["most"] > 1
     once = _stage(table, source_keys.distinct(), write_id, "keys") if repeated else source_keys
     # Source rows of one key may differ where it does not matter which of them is meant.
@@ -63,8 +67,8 @@ def merge(
     find_files = bool(matched) and not not_matched_by_source
     find_keys = bool(not_matched) or choice
     touched, hit_keys = None, None
-    target_keys = _target_keys(table, before, pairs, source_keys, facts)
-    if facts["bytes"] <= _broadcast_limit(table):
+    if facts["key_bytes"] <= limit:
+        target_keys = _target_keys(table, before, pairs, source_keys, facts, path_as=PATH)
         hits = target_keys.join(F.broadcast(once), keys, "left_semi")
         if find_keys:
             # One pass over the target's keys gives both the keys and the files hit.
@@ -74,10 +78,12 @@ def merge(
             touched = stage_touched(table, hits, write_id)
     else:
         if find_files:
+            target_keys = _target_keys(table, before, pairs, source_keys, facts, path_as=PATH)
             touched = stage_touched(table, target_keys.join(once, keys, "left_semi"), write_id)
         if find_keys:
             # One row per key and task before the shuffle, however many rows share the key.
-            hits = target_keys.select(keys).distinct().join(once, keys, "left_semi")
+            target_keys = _target_keys(table, before, pairs, source_keys, facts, path_as=None)
+            hits = target_keys.distinct().join(once, keys, "left_semi")
             hit_keys = _stage(table, hits, write_id, "hits")
 
     matching = once.toDF(*[s for _, s in pairs]) if repeated else source
@@ -93,16 +99,29 @@ def merge(
     else:
         again, kept = [], files
 
+    # With a source small enough to broadcast, rows stay in the tasks that read them, which
+    # hold few partitions each, unless they are inserted or go to another partition.
+    small = facts["row_bytes"] <= limit
+    assigned = {find(schema, c).name for clause in (*matched, *not_matched_by_source) for c in clause.values or ()}
+    stay = small and not assigned & set(before.partition_columns)
+
     parts = []
     if again:
+        current = load(table, before, again)
         on_keys = _equal([(col(t, of="t"), col(s, of="s")) for t, s in pairs])
-        parts.append(merged_rows(load(table, before, again), matching, on_keys, matched, not_matched_by_source))
+        other = F.broadcast(matching) if small else matching
+        if stay and any(c.action == "update" and c.values is None for c in matched):
+            stay = not _moves(current, other, on_keys, before.partition_columns)
+        parts.append(merged_rows(current, other, on_keys, matched, not_matched_by_source))
     if not_matched:
-        parts.append(inserted_rows(_on_hits(source, pairs, hit_keys, "left_anti"), schema, not_matched))
+        rows = inserted_rows(_on_hits(source, pairs, hit_keys, "left_anti"), schema, not_matched)
+        parts.append(clustered(rows, before.partition_columns) if stay else rows)
     if not parts:
         return commit_same_files(table, before, "merge")
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return finish(table, before, write_id, "merge", rows, kept, cluster=True)
+    if not stay:
+        rows = clustered(rows, before.partition_columns)
+    return write_next(table, before, write_id, "merge", rows, kept)
 
 
 def _pairs(on, schema: T.StructType, source: DataFrame) -> list[tuple[str, str]]:
@@ -117,16 +136,22 @@ def _pairs(on, schema: T.StructType, source: DataFrame) -> list[tuple[str, str]]
 
 
 def _require_actions(kind: str, clauses: Sequence[Clause], allowed: set[str]) -> None:
+    if any(c.condition is None for c in clauses[:-1]):
+        raise ValueError(f"only the last clause of {kind} can go without a condition")
     for c in clauses:
         if c.action not in allowed:
             raise ValueError(f"{c.action} is not allowed in {kind}")
 
 
+def _all(conditions: Sequence[Column]) -> Column:
+    first, *rest = conditions
+    for c in rest:
+        first = first & c
+    return first
+
+
 def _equal(pairs: Sequence[tuple[Column, Column]]) -> Column:
-    result = F.lit(True)
-    for a, b in pairs:
-        result = result & (a == b)
-    return result
+    return _all([a == b for a, b in pairs])
 
 
 def _stage(table: Table, df: DataFrame, write_id: str, what: str) -> DataFrame:
@@ -136,24 +161,53 @@ def _stage(table: Table, df: DataFrame, write_id: str, what: str) -> DataFrame:
     return table.spark.read.schema(df.schema).parquet(at)
 
 
-def _facts(source_keys: DataFrame) -> dict:
-    """How often the commonest source key occurs, the size of the keys, and their ranges."""
-    ranges = []
-    for f in source_keys.schema:
-        if isinstance(f.dataType, RANGE_TYPES):
-            ranges += [F.min(f.name).alias(f"min_{f.name}"), F.max(f.name).alias(f"max_{f.name}")]
-    width = sum((F.octet_length(F.col(c).cast("string")) + 16 for c in source_keys.columns), F.lit(0))
-    row = (
-        source_keys.groupBy(source_keys.columns)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .agg(
-            F.coalesce(F.max("rows"), F.lit(0)).alias("most"),
-            F.coalesce(F.sum(width * F.col("rows")), F.lit(0)).alias("bytes"),
-            *ranges,
+SIZED_TYPES = (
+    T.StringType,
+    T.BinaryType,
+    T.NumericType,
+    T.BooleanType,
+    T.DateType,
+    T.TimestampType,
+    T.TimestampNTZType,
+)
+
+
+def _width(f: T.StructField) -> Column:
+    """Bytes a value takes in memory, its place in the row included."""
+    if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col(f.name)), F.lit(0)).cast("bigint") + 24
+    return F.lit(24).cast("bigint")
+
+
+def _facts(source: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict:
+    """How often the commonest source key occurs, the size of keys and rows, and the ranges of the keys."""
+    fields = {f.name: f for f in source.schema}
+    key_width = sum((_width(fields[s]) for _, s in pairs), F.lit(0))
+    row_width = sum((_width(f) for f in source.schema), F.lit(0))
+    keys = [f"k{i}" for i in range(len(pairs))]
+    per_key = (
+        source.select(
+            [col(s).alias(k) for (_, s), k in zip(pairs, keys, strict=True)]
+            + [key_width.alias("key_width"), row_width.alias("row_width")]
         )
-        .first()
+        .groupBy(keys)
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("key_width").alias("keys"), F.sum("row_width").alias("all"))
+    )
+    ranges = []
+    for k, (_, s) in zip(keys, pairs, strict=True):
+        if isinstance(fields[s].dataType, RANGE_TYPES):
+            ranges += [F.min(k).alias(f"min_{k}"), F.max(k).alias(f"max_{k}")]
+    known = _all([F.col(k).isNotNull() for k in keys])
+    row = per_key.agg(
+        F.coalesce(F.max(F.when(known, F.col("rows"))), F.lit(0)).alias("most"),
+        F.coalesce(F.sum("keys"), F.lit(0)).alias("key_bytes"),
+        F.coalesce(F.sum("all"), F.lit(0)).alias("row_bytes"),
+        *ranges,
     )
-    return row.asDict()
+    facts = row.first().asDict()
+    if not all(isinstance(f.dataType, SIZED_TYPES) for f in source.schema):
+        facts["row_bytes"] = float("inf")  # arrays and the like can be of any size
+    return facts
 
 
 def _broadcast_limit(table: Table) -> int:
@@ -164,19 +218,33 @@ def _broadcast_limit(table: Table) -> int:
 
 
 def _target_keys(
-    table: Table, before: Version, pairs: Sequence[tuple[str, str]], source_keys: DataFrame, facts: dict
+    table: Table,
+    before: Version,
+    pairs: Sequence[tuple[str, str]],
+    source_keys: DataFrame,
+    facts: dict,
+    path_as: str | None,
 ) -> DataFrame:
-    """Keys and file of every target row that may match.
+    """Keys, and on demand the file, of every target row that may match.
 
     Rows outside the range of the source's keys cannot, and the reader skips the
     row groups and partitions that hold only such rows.
     """
-    rows = scan(table, before, path_as=PATH)
+    rows = scan(table, before, path_as)
     for i, (t, _) in enumerate(pairs):
         low = facts.get(f"min_k{i}")
         if low is not None and rows.schema[t].dataType == source_keys.schema[f"k{i}"].dataType:
             rows = rows.where(col(t).between(F.lit(low), F.lit(facts[f"max_k{i}"])))
-    return rows.select([col(t).alias(f"k{i}") for i, (t, _) in enumerate(pairs)] + [F.col(PATH)])
+    keys = [col(t).alias(f"k{i}") for i, (t, _) in enumerate(pairs)]
+    return rows.select(keys + ([F.col(path_as)] if path_as else []))
+
+
+def _moves(target: DataFrame, source: DataFrame, on: Column, columns: Sequence[str]) -> bool:
+    """Whether taking these columns from the source changes any of them. Reads keys; partition values are in the paths."""
+    if not columns:
+        return False
+    same = [col(c, of="t").eqNullSafe(col(find(source.schema, c).name, of="s")) for c in columns]
+    return not target.alias("t").join(source.alias("s"), on).where(~_all(same)).isEmpty()
 
 
 def _on_hits(source: DataFrame, pairs: Sequence[tuple[str, str]], hit_keys: DataFrame, how: str) -> DataFrame:

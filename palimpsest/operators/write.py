@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.data import FORMATS, write
+from ..sources.data import FORMATS, clustered, write
 from ..sources.files import commit_files, listed
-from ..sources.log import last_version, version_at
+from ..sources.log import Version, last_version, version_at
 from ..sources.table import PARTITION_TYPES, Table, col, find, new_write_id, stored_name, table_schema
 
 
@@ -40,7 +40,9 @@ def create_or_replace(
 
     number = last_version(table) + 1
     write_id = new_write_id(number)
-    write(table, df, write_id=write_id, format=format, schema=schema, partitioned_by=stored, cluster=cluster)
+    if cluster:
+        df = clustered(df, [f.name for f in parts])
+    write(table, df, write_id=write_id, format=format, schema=schema, partitioned_by=stored)
     return commit_files(
         table,
         write_id=write_id,
@@ -63,24 +65,32 @@ def append(df: DataFrame, table: Table, *, cluster: bool = True) -> int:
     if extra:
         raise ValueError(f"the table has no columns {sorted(extra)}")
     rows = df.select([_column(have.get(f.name.lower()), f) for f in before.schema])
-    write_id = new_write_id(before.number + 1)
-    write(
-        table,
-        rows,
-        write_id=write_id,
-        format=before.format,
-        schema=before.schema,
-        partitioned_by=before.partitioned_by,
-        cluster=cluster,
-    )
+    if cluster:
+        rows = clustered(rows, before.partition_columns)
+    return write_next(table, before, new_write_id(before.number + 1), "append", rows, listed(table, before))
+
+
+def write_next(
+    table: Table, before: Version, write_id: str, operation: str, rows: DataFrame | None, kept: DataFrame | None
+) -> int:
+    """Write rows and commit them together with the files that stay, as the next version."""
+    if rows is not None:
+        write(
+            table,
+            rows,
+            write_id=write_id,
+            format=before.format,
+            schema=before.schema,
+            partitioned_by=before.partitioned_by,
+        )
     return commit_files(
         table,
         write_id=write_id,
         number=before.number + 1,
         before=before,
-        kept=listed(table, before),
-        wrote=True,
-        operation="append",
+        kept=kept,
+        wrote=rows is not None,
+        operation=operation,
         format=before.format,
         schema=before.schema,
         partitioned_by=before.partitioned_by,

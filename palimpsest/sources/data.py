@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +49,18 @@ def read(table: Table, version: int | None = None) -> DataFrame:
     return scan(table, version_at(table, version))
 
 
+def clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Bring the rows of a partition together, so that not every task writes into every partition.
+
+    Adaptive execution cuts a partition value that holds much of the rows into many
+    tasks of even size. Without it one value would be one task, so then rows stay
+    where they are.
+    """
+    if not columns or df.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
+        return df
+    return df.hint("rebalance", *[col(c) for c in columns])
+
+
 def write(
     table: Table,
     df: DataFrame,
@@ -55,24 +69,14 @@ def write(
     format: str,
     schema: T.StructType,
     partitioned_by: tuple[str, ...],
-    cluster: bool,
 ) -> None:
-    """Write rows as the data files of one write.
-
-    ``cluster`` brings the rows of a partition together first, so that not every
-    task writes a file into every partition. The rebalance is by partition value,
-    and adaptive execution cuts a value that holds much of the table into many
-    tasks of even size. Without adaptive execution one value would be one task,
-    so then rows are written where they are.
-    """
+    """Write rows as the data files of one write, each task what it holds."""
     stored = to_stored(df, schema)
     for f in stored.schema:
         if f.name in partitioned_by and isinstance(f.dataType, T.StringType):
             bad = col(f.name).isin("", NULL_PARTITION)
             message = F.lit(f"column {f.name} partitions the table and cannot hold '' or '{NULL_PARTITION}'")
             stored = stored.withColumn(f.name, F.when(bad, F.raise_error(message)).otherwise(col(f.name)))
-    if cluster and partitioned_by and table.spark.conf.get("spark.sql.adaptive.enabled") == "true":
-        stored = stored.hint("rebalance", *[col(p) for p in partitioned_by])
     writer = stored.write.mode("errorifexists").format(format).option("compression", "zstd")
     if partitioned_by:
         writer = writer.partitionBy(*partitioned_by)

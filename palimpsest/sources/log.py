@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .table import Table, plain_schema
+from .table import Table, plain_schema, stored_name
 
 LOG_SCHEMA = (
     "version int, parent int, committed_at timestamp, operation string, files string, format string,"
@@ -48,6 +48,10 @@ class Version:
     def columns(self) -> T.StructType:
         return plain_schema(self.schema)
 
+    @property
+    def partition_columns(self) -> list[str]:
+        return [f.name for p in self.partitioned_by for f in self.schema if stored_name(f) == p]
+
 
 def log_rows(table: Table) -> DataFrame | None:
     """The log as a DataFrame, None where there is no table yet."""

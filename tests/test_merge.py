@@ -158,7 +158,11 @@ def test_wrong_clauses(spark, table, orders):
         merge(table, orders, "o_orderkey")
     with pytest.raises(ValueError, match="not allowed"):
         merge(table, orders, "o_orderkey", matched=[insert_row()])
-    with pytest.raises(ValueError, match="no column"):
-        merge(table, orders, "nothing", matched=[remove_row()])
+    with pytest.raises(ValueError, match="only the last clause"):
+        merge(table, orders, "o_orderkey", matched=[remove_row(), set_columns()])
     with pytest.raises(ValueError, match="the source has no columns"):
         merge(table, orders.select("o_orderkey"), "o_orderkey", matched=[set_columns()])
+    with pytest.raises(ValueError, match="no source row"):
+        merge(table, orders, "o_orderkey", not_matched_by_source=[set_columns()])
+    with pytest.raises(ValueError, match="no column"):
+        merge(table, orders, "nothing", matched=[remove_row()])

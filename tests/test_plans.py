@@ -7,12 +7,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest import create_or_replace, delete, files, read, rename_column, snapshots, update
+from palimpsest import create_or_replace, delete, files, merge, read, rename_column, set_columns, snapshots, update
 from palimpsest.operators.change import PATH
 from palimpsest.sources.data import scan, write
 from palimpsest.sources.files import listed, paths
 from palimpsest.sources.log import version_at
 
+from .conftest import rows
+
 
 def plan(df):
     out = io.StringIO()
@@ -105,12 +107,58 @@ def test_rows_are_not_shuffled_by_update_and_delete(spark, table, orders, monkey
     plans = []
 
     def seen(t, df, **kw):
-        plans.append((plan(df), kw["cluster"]))
+        plans.append(plan(df))
         write(t, df, **kw)
 
-    monkeypatch.setattr("palimpsest.operators.change.write", seen)
+    monkeypatch.setattr("palimpsest.operators.write.write", seen)
     update(table, "o_orderstatus = 'O'", {"o_totalprice": 0.0})
     delete(table, "o_orderstatus = 'P'")
     update(table, "o_orderstatus = 'F'", {"o_orderpriority": F.lit("done")})
-    assert [cluster for _, cluster in plans] == [False, False, True]
-    assert not any("Exchange" in text for text, _ in plans)
+    assert ["Exchange" in text for text in plans] == [False, False, True]
+    assert "REBALANCE_PARTITIONS_BY_COL" in plans[2]
+
+
+def test_whole_rows_are_shuffled_only_if_one_moves(spark, table, orders, monkeypatch):
+    create_or_replace(orders, table, partition_by=["o_orderpriority"])
+    plans = []
+
+    def seen(t, df, **kw):
+        plans.append(plan(df))
+        write(t, df, **kw)
+
+    monkeypatch.setattr("palimpsest.operators.write.write", seen)
+    price = orders.withColumn("o_totalprice", F.lit(1.0))
+    merge(table, price, "o_orderkey", matched=[set_columns()])
+    moved = price.withColumn("o_orderpriority", F.when(F.col("o_orderkey") == 7, "moved").otherwise(F.col("o_orderpriority")))
+    merge(table, moved, "o_orderkey", matched=[set_columns()])
+    assert ["REBALANCE_PARTITIONS_BY_COL" in text for text in plans] == [False, True]
+    assert rows(read(table).where("o_orderpriority = 'moved'").select("o_orderkey")) == [(7,)]
+    assert read(table).exceptAll(moved).isEmpty()
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_merge_joins_and_shuffles(spark, table, orders, monkeypatch, broadcast):
+    create_or_replace(orders, table, partition_by=["o_orderpriority"])
+    source = orders.select("o_orderkey", F.lit("X").alias("o_orderstatus"))
+    plans = []
+
+    def seen(t, df, **kw):
+        plans.append(plan(df))
+        write(t, df, **kw)
+
+    monkeypatch.setattr("palimpsest.operators.write.write", seen)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        if not broadcast:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        merge(table, source, "o_orderkey", matched=[set_columns({"o_orderstatus": "s.o_orderstatus"})])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert rows(read(table).select("o_orderstatus").distinct()) == [("X",)]
+    assert "CartesianProduct" not in plans[0] and "BroadcastNestedLoopJoin" not in plans[0]
+    if broadcast:
+        assert "BroadcastHashJoin LeftOuter BuildRight" in plans[0]
+        assert "hashpartitioning" not in plans[0]
+    else:
+        assert "SortMergeJoin LeftOuter" in plans[0]
+        assert "REBALANCE_PARTITIONS_BY_COL" in plans[0]
