@@ -5,7 +5,7 @@ from .functions.rows import deleted, insert_row, remove_row, set_columns, update
 from .operators.change import delete, update
 from .operators.columns import add_column, drop_column, rename_column, widen_column
 from .operators.merge import RepeatedSourceKey, merge
-from .operators.metadata import files, history, snapshots
+from .operators.metadata import files, history, register_metadata_views, snapshots
 from .operators.write import append, create_or_replace
 from .plans.batch import BatchResult, Checks, Delete, Update, run_batch, run_steps
 from .sources.catalog import create_namespace, list_catalogs, list_tables, register_views, sql
@@ -41,6 +41,7 @@ __all__ = [
     "merge",
     "read",
     "read_raw",
+    "register_metadata_views",
     "register_views",
     "remove_row",
     "rename_column",

@@ -157,6 +157,8 @@ def _equal(pairs: Sequence[tuple[Column, Column]]) -> Column:
 def _stage(table: Table, df: DataFrame, write_id: str, what: str) -> DataFrame:
     """Write once what several jobs read, so that all of them see the same rows."""
     at = table.staging_dir(write_id, what)
+    untyped = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
+    df = df.withColumns({c: F.lit(None).cast("string") for c in untyped}) if untyped else df
     df.write.parquet(at)
     return table.spark.read.schema(df.schema).parquet(at)
 

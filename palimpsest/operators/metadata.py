@@ -56,3 +56,11 @@ def files(table: Table, version: int | None = None) -> DataFrame:
         "record_count",
         "file_size_in_bytes",
     )
+
+
+def register_metadata_views(table: Table) -> list[str]:
+    """Temporary views ``<name>_history``, ``<name>_snapshots`` and ``<name>_files`` for ``spark.sql``."""
+    views = {"history": history(table), "snapshots": snapshots(table), "files": files(table)}
+    for what, df in views.items():
+        df.createOrReplaceTempView(f"{table.name}_{what}")
+    return [f"{table.name}_{what}" for what in views]

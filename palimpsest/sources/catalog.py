@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -46,15 +47,17 @@ def register_views(
     root: str,
     namespace: str,
     versions: dict[str, int] | None = None,
+    names: Sequence[str] | None = None,
 ) -> list[str]:
-    """A temporary view for every table of a namespace, so that ``spark.sql`` sees them.
+    """A temporary view for every table of a namespace, or the named ones, so that ``spark.sql`` sees them.
 
     ``versions`` asks for an older version of some tables. A view shows the
     version it was made for: register again after a change.
     """
     versions = versions or {}
-    names = list_tables(spark, root, namespace)
-    unknown = set(versions) - set(names)
+    there = list_tables(spark, root, namespace)
+    names = there if names is None else list(names)
+    unknown = {*versions, *names} - set(there)
     if unknown:
         raise ValueError(f"no tables {sorted(unknown)} in {namespace}")
     for name in names:
@@ -62,7 +65,7 @@ def register_views(
     return names
 
 
-def sql(spark: SparkSession, root: str, namespace: str, text: str) -> DataFrame:
-    """Run a query against the current tables of a namespace."""
-    register_views(spark, root, namespace)
+def sql(spark: SparkSession, root: str, namespace: str, text: str, names: Sequence[str] | None = None) -> DataFrame:
+    """Run a query against the current tables of a namespace, or only the named ones."""
+    register_views(spark, root, namespace, names=names)
     return spark.sql(text)

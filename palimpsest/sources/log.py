@@ -77,13 +77,16 @@ def version_at(table: Table, number: int | None = None) -> Version:
             raise UnknownTable(f"no table at {table.path}")
     try:
         one = table.spark.read.schema(LOG_SCHEMA).option("basePath", table.log).parquet(table.log_dir(number))
-        row = one.first()
+        found = one.take(2)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        row = None
-    if row is None:
+        found = []
+    if not found:
         raise UnknownVersion(f"{table.path} has no version {number}")
+    if len(found) > 1:
+        raise ConcurrentWrite(f"two writers made version {number} of {table.path} at the same time")
+    row = found[0]
     return Version(
         number=row["version"],
         parent=row["parent"],

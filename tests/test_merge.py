@@ -152,6 +152,13 @@ def test_two_keys_and_other_names(spark, table):
     assert rows(read(table)) == sorted(want, key=repr)
 
 
+def test_source_column_without_a_type(spark, table):
+    create_or_replace(spark.createDataFrame([(1, "a", 1.0)], TARGET), table)
+    merge(table, spark.range(1, 3).select(F.col("id").alias("k"), F.lit(None).alias("p"), F.lit(2).alias("v")), "k", matched=[set_columns()], not_matched=[insert_row()])
+    assert rows(read(table)) == [(1, None, 2.0), (2, None, 2.0)]
+    assert read(table).dtypes == [("k", "int"), ("p", "string"), ("v", "double")]
+
+
 def test_wrong_clauses(spark, table, orders):
     create_or_replace(orders, table)
     with pytest.raises(ValueError, match="needs a clause"):

@@ -1,6 +1,7 @@
 """Replace, append, log, catalog, SQL, checks and errors."""
 
 import os
+from datetime import date
 from types import SimpleNamespace
 
 import pytest
@@ -24,11 +25,13 @@ from palimpsest import (
     list_tables,
     read,
     read_raw,
+    register_metadata_views,
     register_views,
     snapshots,
     sql,
     update,
     validate,
+    widen_column,
 )
 from palimpsest.sources import log
 from palimpsest.sources.table import new_write_id
@@ -123,6 +126,29 @@ def test_what_a_crashed_write_left_is_not_read(spark, table, df):
     assert rows(read(table)) == sorted([(1, "a", 0.0), *ROWS[1:]], key=repr)
 
 
+def test_version_made_by_two_writers_is_refused(table, df):
+    create_or_replace(df, table)
+    log.log_rows(table).where("version = 1").drop("version").write.mode("append").parquet(table.log_dir(1))
+    with pytest.raises(ConcurrentWrite):
+        read(table)
+
+
+def test_types_that_partition(spark, table):
+    columns = "k int, d date, b boolean, n bigint, s smallint"
+    days = [date(2024, 2, 29), date(1969, 12, 31), None]
+    state = [(i, days[i % 3], [True, False, None][i % 3], [-(2**40), 0, None][i % 3], i % 2) for i in range(12)]
+    create_or_replace(spark.createDataFrame(state, columns), table, partition_by=["d", "b", "n", "s"])
+    assert rows(read(table)) == sorted(state, key=repr)
+    assert read(table).dtypes == [("k", "int"), ("d", "date"), ("b", "boolean"), ("n", "bigint"), ("s", "smallint")]
+    update(table, "d = DATE '2024-02-29'", {"d": date(2024, 3, 1), "n": None})
+    state = [(k, date(2024, 3, 1), b, None, s) if d == days[0] else (k, d, b, n, s) for k, d, b, n, s in state]
+    assert rows(read(table)) == sorted(state, key=repr)
+    widen_column(table, "s", "bigint")
+    delete(table, "s = 1 AND b IS NULL")
+    state = [r for r in state if not (r[4] == 1 and r[2] is None)]
+    assert rows(read(table)) == sorted(state, key=repr)
+
+
 def test_second_writer_is_refused(table, df, monkeypatch):
     create_or_replace(df, table)
     append(df, table)
@@ -161,6 +187,10 @@ def test_catalog_and_sql(spark, root, df):
     assert list_tables(spark, root, "lake_ns") == ["one", "two"]
     joined = sql(spark, root, "lake_ns", "SELECT two.k, v FROM two LEFT JOIN one ON one.k = two.k")
     assert rows(joined) == [(1, None), (2, 2.0), (3, None), (None, None)]
+    assert register_metadata_views(one) == ["one_history", "one_snapshots", "one_files"]
+    assert spark.sql("SELECT sum(record_count) FROM one_files").first()[0] == 2
+    assert spark.sql("SELECT operation FROM one_history WHERE version = 2").first()[0] == "delete"
+    assert register_views(spark, root, "lake_ns", names=["two"]) == ["two"]
     register_views(spark, root, "lake_ns", versions={"one": 1})
     assert spark.sql("SELECT count(*) FROM one").first()[0] == 4
     with pytest.raises(ValueError, match="no tables"):
