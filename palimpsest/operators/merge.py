@@ -242,7 +242,10 @@ def _target_keys(
 
 
 def _moves(target: DataFrame, source: DataFrame, on: Column, columns: Sequence[str]) -> bool:
-    """Whether taking these columns from the source changes any of them. Reads keys; partition values are in the paths."""
+    """Whether taking these columns from the source changes any of them.
+
+    Of partition columns nothing is read, their values are in the paths: only the keys are.
+    """
     if not columns:
         return False
     same = [col(c, of="t").eqNullSafe(col(find(source.schema, c).name, of="s")) for c in columns]

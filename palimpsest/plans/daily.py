@@ -80,7 +80,8 @@ def main(argv: list[str] | None = None) -> int:
     except CheckFailed as e:
         print(f"{a.table} {a.run_date}: {e}", file=sys.stderr)
         return 1
-    print(f"{a.table} {a.run_date}: {result.loaded_rows} rows loaded, {result.final_rows} rows in version {result.last_version}")
+    done = f"{result.loaded_rows} rows loaded, {result.final_rows} rows in version {result.last_version}"
+    print(f"{a.table} {a.run_date}: {done}")
     if a.show:
         result.show()
     return 0

@@ -145,16 +145,16 @@ def test_two_keys_and_other_names(spark, table):
     create_or_replace(spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (None, "a", 3.0)], TARGET), table)
     source = spark.createDataFrame([(1, "a", 10.0), (None, "a", 20.0), (1, None, 30.0)], "id int, q string, w double")
     values = {"k": "s.id", "p": "s.q", "v": "s.w"}
-    merge(
-        table, source, {"k": "id", "p": "q"}, matched=[set_columns({"v": "s.w + t.v"})], not_matched=[insert_row(values)]
-    )
+    more = set_columns({"v": "s.w + t.v"})
+    merge(table, source, {"k": "id", "p": "q"}, matched=[more], not_matched=[insert_row(values)])
     want = [(1, "a", 11.0), (1, "b", 2.0), (None, "a", 3.0), (None, "a", 20.0), (1, None, 30.0)]
     assert rows(read(table)) == sorted(want, key=repr)
 
 
 def test_source_column_without_a_type(spark, table):
     create_or_replace(spark.createDataFrame([(1, "a", 1.0)], TARGET), table)
-    merge(table, spark.range(1, 3).select(F.col("id").alias("k"), F.lit(None).alias("p"), F.lit(2).alias("v")), "k", matched=[set_columns()], not_matched=[insert_row()])
+    source = spark.range(1, 3).select(F.col("id").alias("k"), F.lit(None).alias("p"), F.lit(2).alias("v"))
+    merge(table, source, "k", matched=[set_columns()], not_matched=[insert_row()])
     assert rows(read(table)) == [(1, None, 2.0), (2, None, 2.0)]
     assert read(table).dtypes == [("k", "int"), ("p", "string"), ("v", "double")]
 

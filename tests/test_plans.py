@@ -7,7 +7,19 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest import create_or_replace, delete, files, merge, read, rename_column, set_columns, snapshots, update
+from palimpsest import (
+    create_or_replace,
+    delete,
+    files,
+    insert_row,
+    merge,
+    read,
+    rename_column,
+    set_columns,
+    snapshots,
+    update,
+)
+from palimpsest.functions.rows import merged_rows
 from palimpsest.operators.change import PATH
 from palimpsest.sources.data import scan, write
 from palimpsest.sources.files import listed, paths
@@ -129,7 +141,8 @@ def test_whole_rows_are_shuffled_only_if_one_moves(spark, table, orders, monkeyp
     monkeypatch.setattr("palimpsest.operators.write.write", seen)
     price = orders.withColumn("o_totalprice", F.lit(1.0))
     merge(table, price, "o_orderkey", matched=[set_columns()])
-    moved = price.withColumn("o_orderpriority", F.when(F.col("o_orderkey") == 7, "moved").otherwise(F.col("o_orderpriority")))
+    priority = F.when(F.col("o_orderkey") == 7, "moved").otherwise(F.col("o_orderpriority"))
+    moved = price.withColumn("o_orderpriority", priority)
     merge(table, moved, "o_orderkey", matched=[set_columns()])
     assert ["REBALANCE_PARTITIONS_BY_COL" in text for text in plans] == [False, True]
     assert rows(read(table).where("o_orderpriority = 'moved'").select("o_orderkey")) == [(7,)]
@@ -162,3 +175,39 @@ def test_merge_joins_and_shuffles(spark, table, orders, monkeypatch, broadcast):
     else:
         assert "SortMergeJoin LeftOuter" in plans[0]
         assert "REBALANCE_PARTITIONS_BY_COL" in plans[0]
+
+
+def test_a_hot_key_is_split(spark, table):
+    """A third of the target shares one key: the joins that meet it are cut by adaptive execution."""
+    hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k")
+    noise = F.sha2(F.col("id").cast("string"), 256).alias("s")
+    create_or_replace(spark.range(0, 300_000, 1, 8).select(hot, F.lit(0).alias("v"), noise), table)
+    source = spark.range(0, 300_000, 1, 4).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    source.write.parquet(table.path + "/source")
+    source = spark.read.parquet(table.path + "/source")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        at = version_at(table)
+        found = scan(table, at, path_as=PATH).select("k", PATH).join(source.select("k"), "k", "left_semi")
+        found = found.groupBy(PATH).agg(F.count(F.lit(1)).alias("n"))
+        assert sum(r["n"] for r in found.collect()) == 300_000
+        assert "SortMergeJoin(skew=true)" in plan(found)
+        changed = merged_rows(scan(table, at), source, F.expr("t.k = s.k"), [set_columns({"v": "s.v"})], [])
+        changed = changed.groupBy("v").agg(F.countDistinct("s"))
+        assert rows(changed) == [(1, 300_000)]
+        assert "SortMergeJoin(skew=true)" in plan(changed)
+        merge(table, source, "k", matched=[set_columns({"v": "s.v"})], not_matched=[insert_row({"k": "s.k", "v": "s.v"})])
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    # Keys 0, 3, 6, ... but 7 itself were nobody's and are inserted.
+    assert read(table).where("v = 1").count() == 300_000 + 100_000
+    assert read(table).where("k = 7").count() == 100_001

@@ -20,11 +20,16 @@ def random_rows(seed, n=60):
     return out + out[:5]
 
 
+def any_true(*values):
+    """SQL's OR."""
+    return True if True in values else None if None in values else False
+
+
 # SQL text, and the same as a Python function that gives True, False or None.
 CONDITIONS = [
     ("k > 4", lambda k, p, v: None if k is None else k > 4),
     ("p = '007'", lambda k, p, v: None if p is None else p == "007"),
-    ("p = 'a b+c/ç=%}' OR v < 0", lambda k, p, v: True if p == "a b+c/ç=%}" or (v or 0) < 0 else (None if None in (p, v) else False)),
+    ("p = 'a b+c/ç=%}' OR v < 0", lambda k, p, v: any_true(p and p == "a b+c/ç=%}", None if v is None else v < 0)),
     ("p IS NULL", lambda k, p, v: p is None),
     ("v IS NOT NULL AND k = 3", lambda k, p, v: False if v is None else (None if k is None else k == 3)),
 ]
