@@ -47,6 +47,12 @@ from palimpsest import (
     widen_column,
 )
 
+try:
+    import corpus_pipeline
+    import palimpsest.llm.queries as llm_queries
+except ImportError:  # the two come and go together
+    corpus_pipeline = llm_queries = None
+
 NAMESPACE = "datalake"
 
 ORDERS = (
@@ -385,7 +391,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per query, by name."""
-    return {
+    out = {
         q.__name__: q
         for q in (
             table_create,
@@ -424,6 +430,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             adhoc_sql_version,
         )
     }
+    if llm_queries is not None:
+        out |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return out
 
 
 _RAISED = "CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice * 1.10 ELSE o_totalprice END"
@@ -434,8 +443,8 @@ _EXTRACT = (
 
 
 def oracle_sql() -> dict[str, str]:
-    """For each query, SQL for DuckDB over the given tables that gives the same rows."""
-    return {
+    """For each query that SQL can express, SQL for DuckDB over the given tables that gives the same rows."""
+    out = {
         "table_create": "SELECT * FROM orders",
         "table_replace": "SELECT * FROM orders WHERE o_orderstatus = 'O'",
         "table_append": """
@@ -535,3 +544,8 @@ def oracle_sql() -> dict[str, str]:
             FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment, o_orderstatus""",
         "adhoc_sql_version": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
     }
+    if llm_queries is not None:
+        out |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL is not None:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out
