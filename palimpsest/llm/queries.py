@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import decontamination, mixing, sharding
 
 
 def _given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_given(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(_given(spark, sf_dir, "documents"), _given(spark, sf_dir, "benchmark"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_given(spark, sf_dir, "documents")).drop("copies")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sharding, op10_mixing)}
+    return {q.__name__: q for q in (op1_sharding, op5_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.SQL}
+    return {"op5_decontamination": decontamination.SQL, "op10_mixing": mixing.SQL}

@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application.
+
+    Only the archive Spark serves to them is made here, on the driver; no data is.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="code-")) / f"{package.name}-code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
+def in_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
 
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset."""

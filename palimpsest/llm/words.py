@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; bounds the arrays of a task whatever the size of its batches.
 SLICE_BYTES = 2 << 20
@@ -148,7 +149,7 @@ def gram_starts(first: np.ndarray, n: int) -> np.ndarray:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The rows of the batches, cut between rows into slices of a bounded number of bytes of text."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         total = np.r_[0, np.cumsum(sizes.astype(np.int64))]
         at = 0
         while at < batch.num_rows:
