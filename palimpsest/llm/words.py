@@ -136,8 +136,10 @@ def split(texts: pa.Array, word_bytes: np.ndarray, lower: bool) -> Words:
 
 def sequence_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A hash of the word sequence of each range of words. Different seeds give independent hashes."""
-    values = mixed(hashes + np.uint64(seed) * _STEP) if seed else hashes
-    return _range_hashes(values, np.asarray(starts), np.asarray(ends), _STEP * np.uint64(2 * seed + 1) | np.uint64(1))
+    salt = (seed * int(_STEP)) % (1 << 64)
+    base = np.uint64((int(_STEP) * (2 * seed + 1)) % (1 << 64) | 1)
+    values = mixed(hashes + np.uint64(salt)) if seed else hashes
+    return _range_hashes(values, np.asarray(starts), np.asarray(ends), base)
 
 
 def gram_starts(first: np.ndarray, n: int) -> np.ndarray:
