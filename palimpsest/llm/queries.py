@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, sharding, substrings
+from . import decontamination, language, mixing, neardup, sharding, substrings
 
 
 def _given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_given(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_given(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_given(spark, sf_dir, "documents"), _given(spark, sf_dir, "benchmark"))
 
@@ -25,13 +29,17 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_given(spark, sf_dir, "documents"))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_given(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_given(spark, sf_dir, "documents")).drop("copies")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sharding, op5_decontamination, op7_substrings, op10_mixing)}
+    return {q.__name__: q for q in (op1_sharding, op2_language, op5_decontamination, op7_substrings, op9_neardup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.SQL, "op7_substrings": substrings.SQL, "op10_mixing": mixing.SQL}
+    return {"op5_decontamination": decontamination.SQL, "op7_substrings": substrings.SQL, "op9_neardup": neardup.SQL, "op10_mixing": mixing.SQL}
