@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, mixing, neardup, sharding, substrings
+from . import decontamination, language, mixing, neardup, sharding, substrings, topk
 
 
 def _given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_given(spark, sf_dir, "documents"), _given(spark, sf_dir, "benchmark"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _given(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_given(spark, sf_dir, "documents"))
 
@@ -38,8 +43,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sharding, op2_language, op5_decontamination, op7_substrings, op9_neardup, op10_mixing)}
+    return {q.__name__: q for q in (op1_sharding, op2_language, op5_decontamination, op6_topk, op7_substrings, op9_neardup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.SQL, "op7_substrings": substrings.SQL, "op9_neardup": neardup.SQL, "op10_mixing": mixing.SQL}
+    return {"op5_decontamination": decontamination.SQL, "op6_topk": topk.SQL, "op7_substrings": substrings.SQL, "op9_neardup": neardup.SQL, "op10_mixing": mixing.SQL}
