@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, mixing, neardup, sharding, substrings, topk
+from . import decontamination, language, mixing, neardup, sharding, substrings, topk, warc
 
 
 def _given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_given(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.capture_histories(_given(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_given(spark, sf_dir, "documents"))
 
@@ -43,8 +48,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sharding, op2_language, op5_decontamination, op6_topk, op7_substrings, op9_neardup, op10_mixing)}
+    return {q.__name__: q for q in (op1_sharding, op2_language, op5_decontamination, op6_topk, op7_substrings, op8_warc, op9_neardup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.SQL, "op6_topk": topk.SQL, "op7_substrings": substrings.SQL, "op9_neardup": neardup.SQL, "op10_mixing": mixing.SQL}
+    return {"op5_decontamination": decontamination.SQL, "op6_topk": topk.SQL, "op7_substrings": substrings.SQL, "op8_warc": warc.SQL, "op9_neardup": neardup.SQL, "op10_mixing": mixing.SQL}
