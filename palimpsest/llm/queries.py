@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language, mixing, neardup, sharding, substrings, topk, warc
+from . import chat, decontamination, language, mixing, neardup, scoring, sharding, substrings, topk, warc
 
 
 def _given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_given(spark, sf_dir, "documents"))
 
 
+def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(_given(spark, sf_dir, "documents"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(_given(spark, sf_dir, "conversations"))
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sharding, op2_language, op4_chat, op5_decontamination, op6_topk, op7_substrings, op8_warc, op9_neardup, op10_mixing)}
+    return {q.__name__: q for q in (op1_sharding, op2_language, op3_scoring, op4_chat, op5_decontamination, op6_topk, op7_substrings, op8_warc, op9_neardup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
