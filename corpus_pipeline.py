@@ -1,15 +1,33 @@
-"""The corpus pipeline: documents in, mixed and sharded documents out.
+"""The corpus pipeline: documents in; documents in a language, distinct, clean, mixed and sharded out.
 
-The stages come in one by one; those named in STAGES run in order.
+Every stage takes all that the one before kept, as a written table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import mixing, sharding
+from palimpsest.llm import decontamination, language, mixing, neardup, sharding
 from palimpsest.llm.shared import staged
 
+#: Least share of a document's words that its language must have.
+LEAST_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that have no letter, or no language with a fair share of the words."""
+    return language.in_a_language(docs, language.fit(language.sample(docs)), LEAST_SCORE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one with the smallest doc_id."""
+    return neardup.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents of whose words 5 % or more are passages of the benchmark."""
+    return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
@@ -21,7 +39,13 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.assign(docs)
 
 
-STAGES = [("mixing", mix_sources), ("sharding", shard)]
+STAGES = [
+    ("language ID", identify_language),
+    ("near-dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
 
 #: Several stages have no SQL; tests hold them against brute force.
 ORACLE_SQL = None

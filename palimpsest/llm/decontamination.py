@@ -24,11 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import in_batches, staged
-from .words import ALNUM, sequence_hashes, slices, split
+from .words import ALNUM, slices, split
 
 WINDOW = 13
 #: Bytes of benchmark text a task holds at once; a larger benchmark is searched in rounds.
@@ -37,12 +37,13 @@ ROUND_BYTES = 64 << 20
 STARTS = 1 << 18
 
 INDEX_SCHEMA = (
-    "doc_id array<bigint>, text_key array<string>, first array<bigint>, term array<int>, upto array<int>,"
+    "doc_id array<bigint>, text_key array<bigint>, first array<bigint>, term array<int>, upto array<int>,"
     " df array<int>, position binary"
 )
-MATCH_SCHEMA = "doc_id bigint, text_key string, n_words bigint, start array<int>, length array<int>, item array<string>"
+MATCH_SCHEMA = "doc_id bigint, text_key bigint, n_words bigint, start array<int>, length array<int>, item array<string>"
 RESULT_SCHEMA = (
-    "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+    "doc_id bigint, text_key bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string,"
+    " contaminated boolean"
 )
 
 
@@ -75,9 +76,15 @@ def phrases_of(items: list[tuple[str, str | None]], window: int = WINDOW) -> Phr
     return Phrases(vocabulary, rows, length, [sorted(x) for x in found.values()])
 
 
+def text_key() -> Column:
+    """Tells rows apart that share a doc_id and have other texts."""
+    return F.xxhash64("text")
+
+
 def index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     """The stored index: a row per slice, with the postings of the words in the vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = docs.select("doc_id", "text", text_key().alias("text_key"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -94,11 +101,10 @@ def index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
             doc = words.doc[position]
             new = np.r_[True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])] if len(term) else np.zeros(0, bool)
             df = np.diff(np.r_[0, np.cumsum(new)[last]]) if len(term) else last
-            keys = sequence_hashes(hashes, words.first[:-1], words.first[1:])
             yield pa.record_batch(
                 {
                     "doc_id": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    "text_key": pa.array([[f"{k:016x}" for k in keys.tolist()]], pa.list_(pa.string())),
+                    "text_key": pa.array([part.column("text_key").to_pylist()], pa.list_(pa.int64())),
                     "first": pa.array([words.first], pa.list_(pa.int64())),
                     "term": pa.array([term[last]], pa.list_(pa.int32())),
                     "upto": pa.array([last + 1], pa.list_(pa.int32())),
@@ -107,7 +113,7 @@ def index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 }
             )
 
-    return staged(in_batches(docs.select("doc_id", "text"), build, INDEX_SCHEMA), "index")
+    return staged(in_batches(rows, build, INDEX_SCHEMA), "index")
 
 
 def document_frequencies(postings: DataFrame, n_terms: int) -> np.ndarray:
@@ -242,6 +248,7 @@ def judged(found: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
+                    "text_key": batch.column("text_key"),
                     "n_words": batch.column("n_words"),
                     "n_hit": pa.array(n_hit),
                     "n_items": pa.array(n_items, pa.int64()),
@@ -253,35 +260,50 @@ def judged(found: DataFrame) -> DataFrame:
     return in_batches(found, judge, RESULT_SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, round_bytes: int = ROUND_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document.
+def verdicts(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """What ``decontaminate`` returns, and text_key.
 
     The benchmark comes to the driver in rounds of about ``round_bytes`` of text, one in all
     unless it is larger. Matches of several rounds are put together per document; documents
-    of equal doc_id and words have equal matches, so one of them stands for all there.
+    of equal doc_id and text have equal matches, so one of them stands for all there.
     """
     items = staged(
         benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("NULL")).alias("item_id"), "text"), "items"
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = 1 + total // round_bytes
-    found = []
+    found = None
     for r in range(rounds):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r).collect()
         phrases = phrases_of([(x["item_id"], x["text"]) for x in mine], window)
-        found.append(search(index(docs, phrases.vocabulary), phrases))
+        more = search(index(docs, phrases.vocabulary), phrases)
+        found = more if found is None else found.unionByName(more)
     if rounds == 1:
-        return judged(found[0])
-    all_found = found[0]
-    for more in found[1:]:
-        all_found = all_found.unionByName(more)
-    together = all_found.groupBy("doc_id", "text_key", "n_words").agg(
+        return judged(found)
+    together = found.groupBy("doc_id", "text_key", "n_words").agg(
         *[F.flatten(F.collect_list(c)).alias(c) for c in ("start", "length", "item")],
         (F.count(F.lit(1)) / rounds).cast("int").alias("rows"),
     )
     return judged(together.withColumn("row", F.explode(F.expr("sequence(1, rows)"))).drop("row", "rows"))
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
+    return verdicts(docs, benchmark, **options).drop("text_key")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The documents, all of their columns, that are not contaminated."""
+    bad = verdicts(docs, benchmark, **options).where("contaminated").select(
+        F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")
+    )
+    return docs.join(
+        staged(bad.distinct(), "contaminated"),
+        docs["doc_id"].eqNullSafe(F.col("bad_id")) & (text_key() == F.col("bad_key")),
+        "left_anti",
+    )
+
+
 _PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -204,46 +204,62 @@ def word_probabilities(model: Model, texts: pa.Array) -> tuple[Words, np.ndarray
     return words, marginals(emissions, model.transitions, start, length)[0]
 
 
+def judged(model: Model, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document the language, the score, the words, and how often the likeliest label changes."""
+    names, n = np.array([*model.labels, UNKNOWN], object), part.num_rows
+    if not model.labels:
+        none = np.zeros(n, np.int64)
+        return names[none], np.zeros(n), none, none
+    words, probability = word_probabilities(model, part.column("text"))
+    share = _summed(probability, words.doc, n) / np.maximum(words.count, 1)[:, None]
+    known = part.column("has_letter").to_numpy(zero_copy_only=False) & (words.count > 0)
+    best = np.where(known, share.argmax(axis=1), len(names) - 1)
+    score = np.where(known, np.clip(share.max(axis=1), 0, 1), 0.0)
+    top, doc = probability.argmax(axis=1), words.doc
+    change = np.r_[False, (top[1:] != top[:-1]) & (doc[1:] == doc[:-1])][: len(top)]
+    return names[best], score, words.count, np.bincount(doc[change], minlength=n)
+
+
+def has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def label_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_words and n_switches of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = np.array([*model.labels, UNKNOWN], object)
         for part in slices(batches):
-            n = part.num_rows
-            best, score, switches = np.full(n, len(names) - 1), np.zeros(n), np.zeros(n, np.int64)
-            count = np.zeros(n, np.int64)
-            if model.labels:
-                words, probability = word_probabilities(model, part.column("text"))
-                count = words.count
-                sums = _summed(probability, words.doc, n)
-                share = sums / np.maximum(count, 1)[:, None]
-                known = part.column("has_letter").to_numpy(zero_copy_only=False) & (count > 0)
-                best = np.where(known, share.argmax(axis=1), len(names) - 1)
-                score = np.where(known, np.clip(share.max(axis=1), 0, 1), 0.0)
-                top = probability.argmax(axis=1)
-                change = np.r_[False, (top[1:] != top[:-1]) & (words.doc[1:] == words.doc[:-1])][: len(top)]
-                switches = np.bincount(words.doc[change], minlength=n)
+            lang, score, count, switches = judged(shared.value, part)
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
                     "held_out": part.column("held_out"),
-                    "lang_pred": pa.array(names[best], pa.string()),
+                    "lang_pred": pa.array(lang, pa.string()),
                     "score": pa.array(score, pa.float64()),
                     "n_words": pa.array(count, pa.int64()),
                     "n_switches": pa.array(switches, pa.int64()),
                 }
             )
 
+    rows = docs.select("doc_id", "text", held_out().alias("held_out"), has_letter().alias("has_letter"))
+    return in_batches(rows, label, LABEL_SCHEMA)
+
+
+def in_a_language(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The documents, all of their columns, that have a language with at least that score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            lang, score, _, _ = judged(shared.value, part)
+            good = pa.array((lang != UNKNOWN) & (score >= least))
+            yield pa.record_batch({"document": part.column("document").filter(good)})
+
     rows = docs.select(
-        "doc_id",
-        "text",
-        held_out().alias("held_out"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), "text", has_letter().alias("has_letter")
     )
-    return in_batches(rows, label, LABEL_SCHEMA)
+    return in_batches(rows, choose, rows.select("document").schema).select("document.*")
 
 
 def label_runs(docs: DataFrame, model: Model) -> DataFrame:

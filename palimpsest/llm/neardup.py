@@ -370,6 +370,14 @@ def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, block: int
     )
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """One document of each class, all of its columns; rows that share a doc_id are one document."""
+    kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"))
+    kept = staged(kept.distinct(), "kept")
+    chosen = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return chosen.unionByName(docs.where("doc_id IS NULL"))
+
+
 SQL = rf"""
 WITH RECURSIVE d AS (
     SELECT doc_id, coalesce(regexp_extract_all(

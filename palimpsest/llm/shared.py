@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 
@@ -30,7 +31,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def in_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def in_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function of this package."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
