@@ -47,6 +47,8 @@ BAND = 4
 MANTISSA = 10
 #: Texts of a band that are compared with each other in one piece.
 BLOCK = 256
+#: Mean size of the sets of a full block; larger ones make more blocks.
+BLOCK_SHINGLES = 2048
 #: Standard deviations by which an estimate may fall short.
 MARGIN = 6.0
 
@@ -269,13 +271,18 @@ def _open_pairs(group: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarra
 def _rest(bands: DataFrame, labels: DataFrame, texts: DataFrame, sets: DataFrame, similarity: int, block: int) -> DataFrame:
     """Links between components found so far, from the bands that hold texts of several."""
     named = bands.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "band", "doc_id", F.coalesce("component", "doc_id").alias("component")
+        "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
     )
     still_open = (
         named.groupBy("band")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+        .agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.ceil(F.count(F.lit(1)) / block).cast("int").alias("by_rows"),
+            F.ceil(F.sum("n_shingles") / (block * BLOCK_SHINGLES)).cast("int").alias("by_size"),
+        )
         .where("low <> high")
-        .select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        .select("band", F.greatest("by_rows", "by_size").alias("blocks"))
     )
     key = ["band", "i", "j"]
     members = (
@@ -343,7 +350,7 @@ def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, block: int
     copies = known.select(*key, F.col("doc_id").alias("a")).join(texts.select(*key, F.col("doc_id").alias("b")), key)
     copies = copies.where("a <> b").select("a", "b").distinct()
 
-    bands = texts.select(F.explode("bands").alias("band"), "doc_id")
+    bands = texts.select(F.explode("bands").alias("band"), "doc_id", "n_shingles")
     shared = bands.groupBy("band").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     bands = staged(bands.join(shared.select("band", "least"), "band"), "bands")
     pairs = bands.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
@@ -355,7 +362,7 @@ def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, block: int
     sets = staged(full_sets(needed), "sets")
     links = staged(copies.unionByName(_confirmed(pairs, sets, similarity)), "links")
     labels = components(links)
-    more = staged(_rest(bands.select("band", "doc_id"), labels, texts, sets, similarity, block), "links")
+    more = staged(_rest(bands.select("band", "doc_id", "n_shingles"), labels, texts, sets, similarity, block), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return (

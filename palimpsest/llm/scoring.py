@@ -40,6 +40,8 @@ from .shared import in_batches, staged
 from .words import NOT_SPACE, gram_starts, sequence_hashes, slices, split
 
 BACKOFF = 0.4
+#: Bytes of text of a slice: the larger, the fewer rows and repeated n-grams are sent.
+SLICE = 2 << 20
 #: Occurrences in a slice from which an n-gram's coefficients stay on the slice's own row.
 FREQUENT = 64
 #: Bytes of text whose n-grams make a partition of the tables.
@@ -91,7 +93,7 @@ def _messages(docs: DataFrame, parts: int, *, counted: bool, scored: bool, id_ba
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (id_base << 60) | (TaskContext.get().partitionId() << 28)
-        for nth, part in enumerate(slices(batches)):
+        for nth, part in enumerate(slices(batches, limit=SLICE)):
             key, doc, coefficient, first, second, n_words = ngrams(part.column("text"))
             order = np.lexsort((doc, key))
             key, doc, coefficient = key[order], doc[order], coefficient[order]

@@ -233,7 +233,8 @@ def remove_repeats(
         classes.select(*key, "one_of", "copies"), [*(rows[k] == classes[k] for k in key), rows["doc_id"].eqNullSafe(classes["one_of"])]
     ).select("doc_id", rows["k1"], rows["k2"], "copies", F.explode("anchors").alias("anchor"))
     one_each = staged(one_each, "anchors")
-    repeated = one_each.groupBy("anchor").count().where("count > 1").select("anchor")
+    # A table of its own, so that the join below has two plain sides and a hot anchor can be split.
+    repeated = staged(one_each.groupBy("anchor").count().where("count > 1").select("anchor"), "repeated")
     wanted = (
         one_each.join(repeated, "anchor", "left_semi")
         .groupBy("doc_id", *key, "copies")

@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; bounds the arrays of a task whatever the size of its batches.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -54,22 +53,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-@lru_cache(4)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Longest tables of powers that a process keeps.
+_KEPT_POWERS = 4 * SLICE_BYTES
+_powers: dict[int, np.ndarray] = {}
 
 
-def _powers_for(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64, at least n of each."""
-    size = 1 << max(16, int(n).bit_length())
-    return _powers(int(base), size), _powers(pow(int(base), -1, 1 << 64), size)
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """The first powers of a base modulo 2^64, at least n."""
+    if len(_powers.get(base, ())) >= n:
+        return _powers[base]
+    out = np.full(1 << max(16, int(n).bit_length()), np.uint64(base))
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if len(out) <= _KEPT_POWERS:
+        _powers[base] = out
+    return out
 
 
 def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
     """A hash of values[start:end] for each range; equal ranges get equal hashes wherever they lie."""
-    up, down = _powers_for(base, len(values) + 1)
+    n = len(values) + 1
+    up, down = _powers_of(int(base), n), _powers_of(pow(int(base), -1, 1 << 64), n)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
@@ -136,10 +140,8 @@ def split(texts: pa.Array, word_bytes: np.ndarray, lower: bool) -> Words:
 
 def sequence_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A hash of the word sequence of each range of words. Different seeds give independent hashes."""
-    salt = (seed * int(_STEP)) % (1 << 64)
-    base = np.uint64((int(_STEP) * (2 * seed + 1)) % (1 << 64) | 1)
-    values = mixed(hashes + np.uint64(salt)) if seed else hashes
-    return _range_hashes(values, np.asarray(starts), np.asarray(ends), base)
+    values = mixed(hashes + np.uint64((seed * int(_STEP)) % (1 << 64))) if seed else hashes
+    return _range_hashes(values, np.asarray(starts), np.asarray(ends), _STEP)
 
 
 def gram_starts(first: np.ndarray, n: int) -> np.ndarray:
@@ -148,13 +150,15 @@ def gram_starts(first: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(first[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
     """The rows of the batches, cut between rows into slices of a bounded number of bytes of text."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         total = np.r_[0, np.cumsum(sizes.astype(np.int64))]
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(total, total[at] + SLICE_BYTES, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(total, total[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
