@@ -78,7 +78,7 @@ def mix(
     """
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("NULL"))))
     rows = docs.select(
-        *keep,
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"),
         F.col("doc_id").alias("order_id"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.col("source").isNull().alias("null_source"),
@@ -114,7 +114,7 @@ def mix(
         .withColumn("taken", F.col("times") * F.col("size") + F.col("more"))
         .withColumn("copies", F.col("times") + F.when(F.col("more") == F.col("size"), 1).otherwise(0))
         .withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0)))
-        .select(*keep, "size", "source_size", "target", "taken", "copies")
+        .select("kept.*", "size", "source_size", "target", "taken", "copies")
     )
 
 

@@ -1,0 +1,129 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from palimpsest.llm import components, neardup
+
+from .conftest import SCHEMA, documents, words
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set())
+
+
+def brute(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if i is not None and j is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                p, q = sorted((root(i), root(j)))
+                parent[q] = p
+    least = {}
+    for i in parent:
+        least[root(i)] = min(i, least.get(root(i), i))
+    return sorted(((i, len(s), None if i is None else least[root(i)]) for i, s in sets), key=repr)
+
+
+def got(df):
+    rows = df.collect()
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows), key=repr)
+
+
+def copy_of(text, changes, seed):
+    rng, out = random.Random(seed), list(text)
+    for _ in range(changes):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_brute_force(spark, block):
+    rows, base = [], words(120, 1)
+    rows += [(1000 + i, " ".join(copy_of(base, 3, i))) for i in range(25)]  # alike to the base more than to each other
+    rows += [(i, " ".join(words(100, i))) for i in range(10, 40)]
+    rows += [(40 + i, " ".join(copy_of(words(100, 10 + i), i % 7, i))) for i in range(30)]
+    chain = words(90, 77)
+    for i in range(8):
+        chain = copy_of(chain, 2, 500 + i)
+        rows.append((300 - i, " ".join(chain)))
+    passage = words(60, 5)
+    rows += [(400 + i, " ".join(passage + words(30 + 10 * (i % 4), 900 + i))) for i in range(15)]
+    rows += [(500, "a b"), (501, "A  B"), (502, "a b c d e"), (503, "a b c d"), (504, None), (505, ""), (506, " ")]
+    rows += [(507, "a b c"), rows[0], rows[0], (508, rows[0][1]), (15, rows[0][1]), (None, rows[0][1]), (None, "a b")]
+    rows += [(600, " ".join(words(20_000, 6))), (601, " ".join(words(20_000, 6)) + " more"), (602, " ".join(base))]
+    docs = documents(spark, rows, SCHEMA + ", k1 string, component string, band string, id string, sketch string")
+    assert got(neardup.near_duplicates(docs, block=block)) == brute(rows)
+
+
+def test_one_of_each(spark):
+    text = " ".join(words(50, 1))
+    rows = [(3, text), (2, text), (2, text), (9, "x y"), (None, text), (None, None), (5, None)]
+    docs = documents(spark, rows)
+    assert sorted((str(r["doc_id"]) for r in neardup.one_of_each(docs).collect())) == ["2", "5", "9", "None", "None"]
+    assert neardup.one_of_each(documents(spark, [])).columns == docs.columns
+    assert got(neardup.near_duplicates(documents(spark, []))) == []
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)]
+    edges += [(500, i) for i in range(501, 560)] + [(7, 7)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        p, q = sorted((root(a), root(b)))
+        parent[q] = p
+    out = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {r["id"]: r["component"] for r in out} == {a: root(a) for e in edges for a in e if e[0] != e[1] or a < 60}
+    assert len(out) == len({r["id"] for r in out})
+
+
+def test_registers_keep_zeros_and_mantissa():
+    values = np.array([0, 1, 2, 3, (1 << 57) - 1, 1 << 56, (1 << 40) + 12345], np.uint64)
+    out = neardup.compressed(values)
+    for v, r in zip(values.tolist()[1:], out.tolist()[1:], strict=True):
+        zeros = 57 - v.bit_length()
+        below = v - (1 << (v.bit_length() - 1))
+        mantissa = below << 10 >> (v.bit_length() - 1)
+        assert (r >> 10, r & 1023) == (zeros, mantissa)
+    assert not (out == 0xFFFF).any()
+
+
+@pytest.mark.parametrize("similarity", [0.2, 0.5, 0.8, 0.95])
+def test_estimates(similarity):
+    rng = np.random.default_rng(3)
+    n, errors = 2000, []
+    for _ in range(20):
+        both = int(round(2 * n * similarity / (1 + similarity)))
+        pool = rng.integers(0, 2**64, 2 * n - both, dtype=np.uint64)
+        sets = [np.sort(pool[:n]), np.sort(pool[n - both :])]
+        s = neardup.sketches(np.concatenate(sets), np.array([0, n, 2 * n]))
+        estimate, used = neardup.estimates(s[:1], s[1:], np.array([n]), np.array([n]))
+        assert used[0] == 128
+        errors.append(estimate[0] - similarity)
+    assert abs(np.mean(errors)) < 0.04
+
+
+def test_short_texts_share_bands():
+    texts = pa.array(["one", "one", "a b c d e f g h", "a b c d e f g h i", "", None])
+    value, first, _, _ = neardup.shingle_sets(texts)
+    doc, key = neardup.band_keys(neardup.sketches(value, first))
+    bands = [set(key[doc == i].tolist()) for i in range(6)]
+    assert bands[0] == bands[1] and len(bands[0]) == 1 and bands[2] & bands[3] and not bands[4] and not bands[5]
