@@ -192,7 +192,7 @@ def _answers(messages: DataFrame, parts: int) -> DataFrame:
                 frequent = np.unpackbits(body["frequent"], count=high - low).astype(bool)
                 # Sums only of the documents that have something here.
                 who_has, place = np.unique(doc, return_inverse=True)
-                reply = {"doc": _small(who_has), "sum": np.bincount(place, value * log[mine][of], len(who_has))}
+                reply = {"doc": _small(who_has), "sum": np.bincount(place, value * log[mine][of], len(who_has)).astype(np.float64)}
                 reply |= {"key": body["key"][frequent], "count": count[mine][frequent]}
                 if lost.any():
                     gone = lost[of]
@@ -233,7 +233,7 @@ def _frequent_counts(own: dict, replies: list[dict]) -> np.ndarray:
 def _scores(number: int, own: dict, replies: list[dict]) -> pa.RecordBatch:
     n = len(own["doc_id"])
     count = _frequent_counts(own, replies)
-    score = np.bincount(own["doc"], own["value"] * np.log10(np.maximum(count, 1)), n)
+    score = np.bincount(own["doc"], own["value"] * np.log10(np.maximum(count, 1)), n).astype(np.float64)
     for r in replies:
         score[r["doc"].astype(np.int64)] += r["sum"]
     return pa.record_batch(
