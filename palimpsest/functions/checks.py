@@ -34,7 +34,7 @@ def validate(
     expected_rows: int | None = None,
     not_null: Sequence[str] = (),
     unique: Sequence[str] = (),
-    schema: T.StructType | None = None,
+    schema: T.StructType | str | None = None,
 ) -> int:
     """Count the rows and test the rules; raise CheckFailed with every rule that does not hold.
 
@@ -42,6 +42,7 @@ def validate(
     """
     failures = []
     if schema is not None:
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         have = [(f.name, f.dataType.simpleString()) for f in df.schema]
         want = [(f.name, f.dataType.simpleString()) for f in schema]
         if have != want:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.table import col, find
+from ..sources.table import checked_cast, col, find
 
 MATCHED = "palimpsest_matched"
 CLAUSE = "palimpsest_clause"
@@ -29,6 +32,20 @@ def as_value(value: Any) -> Column:
     return F.expr(value) if isinstance(value, str) else F.lit(value)
 
 
+_CLOCK = re.compile(r"\b(current_timestamp|current_date|current_time|localtimestamp|now|unix_timestamp)\(")
+
+
+def _asks_the_clock(rows: DataFrame, condition: Column) -> bool:
+    """Whether analysis leaves a clock function that planning turns into a literal."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        rows.select(condition.alias("condition")).explain("extended")
+    _, _, text = out.getvalue().partition("== Analyzed Logical Plan ==")
+    analyzed, _, text = text.partition("== Optimized Logical Plan ==")
+    optimized, _, _ = text.partition("== Physical Plan ==")
+    return len(_CLOCK.findall(analyzed)) > len(_CLOCK.findall(optimized))
+
+
 def require_repeatable(rows: DataFrame, condition: Column) -> None:
     """Refuse a condition such as ``rand() < 0.5``.
 
@@ -36,6 +53,8 @@ def require_repeatable(rows: DataFrame, condition: Column) -> None:
     the answers must agree. Spark allows no such condition inside an aggregate,
     so analysing one (nothing is run) settles it.
     """
+    if _asks_the_clock(rows, condition):
+        raise ValueError("the condition asks the clock, which moves on between the two; put the time in as a literal")
     try:
         rows.agg(F.count_if(condition))
     except AnalysisException as e:
@@ -55,7 +74,7 @@ def updated(rows: DataFrame, condition: Column | str, assignments: Mapping[str,
         f = find(rows.schema, name)
         if f.name in changes:
             raise ValueError(f"column {f.name!r} is assigned twice")
-        changes[f.name] = F.when(condition, as_value(value).cast(f.dataType)).otherwise(col(f.name))
+        changes[f.name] = F.when(condition, checked_cast(as_value(value), f.dataType, f.name)).otherwise(col(f.name))
     return rows.select([changes[n].alias(n) if n in changes else col(n) for n in rows.columns])
 
 
@@ -105,13 +124,13 @@ def _values(clause: Clause, schema: T.StructType, source: Sequence[str]) -> dict
         missing = [f.name for f in schema if f.name.lower() not in have]
         if missing:
             raise ValueError(f"the source has no columns {missing}; give the values")
-        return {f.name: col(have[f.name.lower()], of="s").cast(f.dataType) for f in schema}
+        return {f.name: checked_cast(col(have[f.name.lower()], of="s"), f.dataType, f.name) for f in schema}
     out = {}
     for name, value in clause.values.items():
         f = find(schema, name)
         if f.name in out:
             raise ValueError(f"column {f.name!r} is assigned twice")
-        out[f.name] = as_value(value).cast(f.dataType)
+        out[f.name] = checked_cast(as_value(value), f.dataType, f.name)
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import as_condition, deleted, require_repeatable, updated
 from ..sources.data import clustered, load, scan
-from ..sources.files import commit_same_files, file_name, listed, paths, without
+from ..sources.files import commit_same_files, file_name, listed, paths, touching, without
 from ..sources.log import version_at
 from ..sources.table import Table, find, new_write_id
 from .write import write_next
@@ -34,6 +34,12 @@ def stage_touched(table: Table, hits: DataFrame, write_id: str) -> DataFrame:
     return table.spark.read.schema("name string, matched bigint").parquet(at)
 
 
+def empty_staging(table: Table, write_id: str) -> None:
+    """Take back the room of a statement's intermediate tables, once its version is there."""
+    nothing = table.spark.createDataFrame([], "nothing boolean")
+    nothing.write.mode("overwrite").parquet(table.staging_dir(write_id))
+
+
 def update(table: Table, condition: Column | str, assignments: Mapping[str, Any]) -> int:
     """Give new values to the rows where the condition is TRUE; return the new version.
 
@@ -49,13 +55,15 @@ def update(table: Table, condition: Column | str, assignments: Mapping[str, Any]
     write_id = new_write_id(before.number + 1)
     touched = stage_touched(table, current.where(condition), write_id)
     files = listed(table, before)
-    again = paths(table, files.join(touched, "name", "left"), F.col("matched").isNotNull())
+    again = paths(table, touching(files, touched), F.col("matched").isNotNull())
     if not again:
         return commit_same_files(table, before, "update")
     rows = updated(load(table, before, again), condition, assignments)
     if any(find(before.schema, c).name in before.partition_columns for c in assignments):
         rows = clustered(rows, before.partition_columns)
-    return write_next(table, before, write_id, "update", rows, without(files, touched))
+    version = write_next(table, before, write_id, "update", rows, without(files, touched))
+    empty_staging(table, write_id)
+    return version
 
 
 def delete(table: Table, condition: Column | str) -> int:
@@ -72,8 +80,10 @@ def delete(table: Table, condition: Column | str) -> int:
     write_id = new_write_id(before.number + 1)
     touched = stage_touched(table, current.where(condition), write_id)
     files = listed(table, before)
-    again = paths(table, files.join(touched, "name", "left"), F.col("matched") < F.col("record_count"))
+    again = paths(table, touching(files, touched), F.col("matched") < F.col("record_count"))
     if not again and touched.isEmpty():
         return commit_same_files(table, before, "delete")
     rows = deleted(load(table, before, again), condition) if again else None
-    return write_next(table, before, write_id, "delete", rows, without(files, touched))
+    version = write_next(table, before, write_id, "delete", rows, without(files, touched))
+    empty_staging(table, write_id)
+    return version

@@ -9,17 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rows import Clause, inserted_rows, merged_rows
+from ..functions.rows import Clause, as_condition, inserted_rows, merged_rows
 from ..sources.data import clustered, load, scan
-from ..sources.files import commit_same_files, listed, paths, without
+from ..sources.files import commit_same_files, listed, paths, touching, without
 from ..sources.log import Version, version_at
 from ..sources.table import Table, col, find, new_write_id, plain_schema
-from .change import PATH, stage_touched
+from .change import PATH, empty_staging, stage_touched
 from .write import write_next
 
 RANGE_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.StringType)
 
-_UNITS = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+_UNITS = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
 
 
 class RepeatedSourceKey(ValueError):
@@ -55,7 +55,8 @@ def merge(
     write_id = new_write_id(before.number + 1)
     keys = [f"k{i}" for i in range(len(pairs))]
     source = _stage(table, source, write_id, "source")
-    source_keys = source.select([col(s).alias(k) for (_, s), k in zip(pairs, keys, strict=True)]).dropna()
+    source_keys = source.select([col(s).alias(k) for (_, s), k in zip(pairs, keys, strict=True)])
+    source_keys = source_keys.where(_all([F.col(k).isNotNull() for k in keys]))  # NaN is a key like any other
     facts = _facts(source, pairs)
     limit = _broadcast_limit(table)
     repeated = facts["most"] > 1
@@ -64,37 +65,49 @@ def merge(
     choice = repeated and bool(matched) and (matched[0].action != "delete" or matched[0].condition is not None)
 
     files = listed(table, before)
-    find_files = bool(matched) and not not_matched_by_source
     find_keys = bool(not_matched) or choice
-    touched, hit_keys = None, None
-    if facts["key_bytes"] <= limit:
-        target_keys = _target_keys(table, before, pairs, source_keys, facts, path_as=PATH)
-        hits = target_keys.join(F.broadcast(once), keys, "left_semi")
-        if find_keys:
-            # One pass over the target's keys gives both the keys and the files hit.
-            hits = _stage(table, hits.groupBy(*keys, PATH).count(), write_id, "hits")
-            hit_keys = hits.select(keys).distinct()
-        if find_files:
-            touched = stage_touched(table, hits, write_id)
+    always = any(c.condition is None for c in matched)
+    small_keys = facts["key_bytes"] <= limit
+    wanted = F.broadcast(once) if small_keys else once
+    found, hit_keys = [], None  # rows with the PATH of a file in which a clause may apply
+    target_keys = _target_keys(table, before, pairs, source_keys, facts, path_as=PATH)
+    if small_keys and find_keys:
+        # One pass over the target's keys gives both the keys and the files hit.
+        hits = target_keys.join(wanted, keys, "left_semi")
+        hits = _stage(table, hits.groupBy(*keys, PATH).count(), write_id, "hits")
+        hit_keys = hits.select(keys).distinct()
+        if always:
+            found.append(hits.select(PATH))
     else:
-        if find_files:
-            target_keys = _target_keys(table, before, pairs, source_keys, facts, path_as=PATH)
-            touched = stage_touched(table, target_keys.join(once, keys, "left_semi"), write_id)
+        if always:
+            found.append(target_keys.join(wanted, keys, "left_semi").select(PATH))
         if find_keys:
             # One row per key and task before the shuffle, however many rows share the key.
-            target_keys = _target_keys(table, before, pairs, source_keys, facts, path_as=None)
-            hits = target_keys.distinct().join(once, keys, "left_semi")
-            hit_keys = _stage(table, hits, write_id, "hits")
+            only_keys = _target_keys(table, before, pairs, source_keys, facts, path_as=None)
+            hit_keys = _stage(table, only_keys.distinct().join(once, keys, "left_semi"), write_id, "hits")
+    if matched and not always:
+        # Every clause has a condition: only files count that hold a row for which one is TRUE.
+        rows = _in_range(scan(table, before, PATH), pairs, source_keys, facts).alias("t")
+        other = F.broadcast(source) if facts["row_bytes"] <= limit else source
+        applies = _equal([(col(t, of="t"), col(s, of="s")) for t, s in pairs]) & _any_true(matched)
+        found.append(rows.join(other.alias("s"), applies, "left_semi").select(F.col(f"t.{PATH}").alias(PATH)))
+    if not_matched_by_source:
+        rows = scan(table, before, PATH).alias("t")
+        same = _equal([(col(t, of="t"), F.col(f"k.{k}")) for (t, _), k in zip(pairs, keys, strict=True)])
+        rows = rows.join(wanted.alias("k"), same, "left_anti").where(_any_true(not_matched_by_source))
+        found.append(rows.select(F.col(f"t.{PATH}").alias(PATH)))
+    touched = None
+    if found:
+        hits = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        touched = stage_touched(table, hits, write_id)
 
     matching = once.toDF(*[s for _, s in pairs]) if repeated else source
     if choice:
         _require_single_matches(source_keys, hit_keys)
         matching = _stage(table, _on_hits(source, pairs, hit_keys, "left_semi"), write_id, "matching")
 
-    if not_matched_by_source:
-        again, kept = paths(table, files), None
-    elif touched is not None:
-        again = paths(table, files.join(touched, "name", "left"), F.col("matched").isNotNull())
+    if touched is not None:
+        again = paths(table, touching(files, touched), F.col("matched").isNotNull())
         kept = without(files, touched)
     else:
         again, kept = [], files
@@ -117,11 +130,15 @@ def merge(
         rows = inserted_rows(_on_hits(source, pairs, hit_keys, "left_anti"), schema, not_matched)
         parts.append(clustered(rows, before.partition_columns) if stay else rows)
     if not parts:
-        return commit_same_files(table, before, "merge")
+        version = commit_same_files(table, before, "merge")
+        empty_staging(table, write_id)
+        return version
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if not stay:
         rows = clustered(rows, before.partition_columns)
-    return write_next(table, before, write_id, "merge", rows, kept)
+    version = write_next(table, before, write_id, "merge", rows, kept)
+    empty_staging(table, write_id)
+    return version
 
 
 def _pairs(on, schema: T.StructType, source: DataFrame) -> list[tuple[str, str]]:
@@ -215,7 +232,7 @@ def _facts(source: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict:
 def _broadcast_limit(table: Table) -> int:
     """Spark's own limit for broadcasting a side of a join, in bytes."""
     text = table.spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", text).groups()
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", text).groups()
     return int(number) * _UNITS[unit]
 
 
@@ -232,13 +249,25 @@ def _target_keys(
     Rows outside the range of the source's keys cannot, and the reader skips the
     row groups and partitions that hold only such rows.
     """
-    rows = scan(table, before, path_as)
+    rows = _in_range(scan(table, before, path_as), pairs, source_keys, facts)
+    keys = [col(t).alias(f"k{i}") for i, (t, _) in enumerate(pairs)]
+    return rows.select(keys + ([F.col(path_as)] if path_as else []))
+
+
+def _in_range(rows: DataFrame, pairs: Sequence[tuple[str, str]], source_keys: DataFrame, facts: dict) -> DataFrame:
     for i, (t, _) in enumerate(pairs):
         low = facts.get(f"min_k{i}")
         if low is not None and rows.schema[t].dataType == source_keys.schema[f"k{i}"].dataType:
             rows = rows.where(col(t).between(F.lit(low), F.lit(facts[f"max_k{i}"])))
-    keys = [col(t).alias(f"k{i}") for i, (t, _) in enumerate(pairs)]
-    return rows.select(keys + ([F.col(path_as)] if path_as else []))
+    return rows
+
+
+def _any_true(clauses: Sequence[Clause]) -> Column:
+    """Whether one of the clauses applies."""
+    out = F.lit(False)
+    for c in clauses:
+        out = out | (F.lit(True) if c.condition is None else F.coalesce(as_condition(c.condition), F.lit(False)))
+    return out
 
 
 def _moves(target: DataFrame, source: DataFrame, on: Column, columns: Sequence[str]) -> bool:

@@ -50,7 +50,7 @@ def files(table: Table, version: int | None = None) -> DataFrame:
     """One row per data file of a version. Reads the list of files, not the data."""
     at = version_at(table, version)
     below = F.regexp_replace("dir", f"^{WRITE_ID}=[^/]*/?", "")
-    return listed(table, at).select(
+    return listed(table, at).where("NOT dead").select(
         F.concat(F.lit(table.data + "/"), "name").alias("file_path"),
         below.alias("partition"),
         "record_count",

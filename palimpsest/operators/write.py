@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from ..sources.data import FORMATS, clustered, write
 from ..sources.files import commit_files, listed
-from ..sources.log import Version, last_version, version_at
-from ..sources.table import PARTITION_TYPES, Table, col, find, new_write_id, stored_name, table_schema
+from ..sources.log import COMPRESSION, Version, last_version, version_at
+from ..sources.table import PARTITION_TYPES, Table, checked_cast, col, find, new_write_id, stored_name, table_schema
 
 
 def create_or_replace(
@@ -20,10 +20,12 @@ def create_or_replace(
     *,
     format: str = "parquet",
     partition_by: Sequence[str] = (),
+    compression: str = COMPRESSION,
     cluster: bool = True,
 ) -> int:
     """Make the table hold these rows and return the version that does.
 
+    Later changes of the table keep its format and compression.
     Earlier versions stay readable, but the new one has no parent. ``cluster=False``
     leaves rows in the tasks they are in, for input already arranged by partition.
     """
@@ -38,11 +40,21 @@ def create_or_replace(
         raise ValueError("a table needs a column that does not partition it")
     stored = tuple(stored_name(f) for f in parts)
 
-    number = last_version(table) + 1
+    last = last_version(table)
+    replaced = version_at(table, last) if last else None
+    number = last + 1
     write_id = new_write_id(number)
     if cluster:
         df = clustered(df, [f.name for f in parts])
-    write(table, df, write_id=write_id, format=format, schema=schema, partitioned_by=stored)
+    write(
+        table,
+        df,
+        write_id=write_id,
+        format=format,
+        schema=schema,
+        partitioned_by=stored,
+        compression=compression,
+    )
     return commit_files(
         table,
         write_id=write_id,
@@ -54,6 +66,8 @@ def create_or_replace(
         format=format,
         schema=schema,
         partitioned_by=stored,
+        compression=compression,
+        replaced=replaced,
     )
 
 
@@ -82,6 +96,7 @@ def write_next(
             format=before.format,
             schema=before.schema,
             partitioned_by=before.partitioned_by,
+            compression=before.compression,
         )
     return commit_files(
         table,
@@ -94,9 +109,10 @@ def write_next(
         format=before.format,
         schema=before.schema,
         partitioned_by=before.partitioned_by,
+        compression=before.compression,
     )
 
 
 def _column(name: str | None, f: T.StructField) -> Column:
-    value = F.lit(None) if name is None else col(name)
-    return value.cast(f.dataType).alias(f.name)
+    value = F.lit(None).cast(f.dataType) if name is None else checked_cast(col(name), f.dataType, f.name)
+    return value.alias(f.name)

@@ -38,6 +38,7 @@ class Checks:
     expected_rows: int | None = None
     not_null: Sequence[str] = ()
     unique: Sequence[str] = ()
+    schema: T.StructType | str | None = None
 
 
 @dataclass(frozen=True)
@@ -135,4 +136,5 @@ def _check(df: DataFrame, checks: Checks | None) -> int:
         expected_rows=checks.expected_rows,
         not_null=checks.not_null,
         unique=checks.unique,
+        schema=checks.schema,
     )

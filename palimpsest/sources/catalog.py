@@ -48,9 +48,13 @@ def register_views(
     namespace: str,
     versions: dict[str, int] | None = None,
     names: Sequence[str] | None = None,
+    prefix: str = "",
 ) -> list[str]:
     """A temporary view for every table of a namespace, or the named ones, so that ``spark.sql`` sees them.
 
+    Views of a prefix do not meet those of another namespace: ``prefix="sales_"`` makes
+    ``sales_orders`` of ``orders``.
+
     ``versions`` asks for an older version of some tables. A view shows the
     version it was made for: register again after a change.
     """
@@ -61,11 +65,24 @@ def register_views(
     if unknown:
         raise ValueError(f"no tables {sorted(unknown)} in {namespace}")
     for name in names:
-        read(Table(spark, root, namespace, name), versions.get(name)).createOrReplaceTempView(name)
+        read(Table(spark, root, namespace, name), versions.get(name)).createOrReplaceTempView(prefix + name)
     return names
 
 
-def sql(spark: SparkSession, root: str, namespace: str, text: str, names: Sequence[str] | None = None) -> DataFrame:
-    """Run a query against the current tables of a namespace, or only the named ones."""
-    register_views(spark, root, namespace, names=names)
+def sql(
+    spark: SparkSession,
+    root: str,
+    namespace: str,
+    text: str,
+    names: Sequence[str] | None = None,
+    prefix: str = "",
+) -> DataFrame:
+    """Run a query against the current tables of a namespace, or only the named ones.
+
+    Only tables whose name, after the prefix, is a word of the query are opened.
+    """
+    words = {w.lower() for w in re.findall(r"\w+", text)}
+    if names is None:
+        names = [n for n in list_tables(spark, root, namespace) if (prefix + n).lower() in words]
+    register_views(spark, root, namespace, names=names, prefix=prefix)
     return spark.sql(text)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .files import listed, paths
+from .files import file_name, listed, paths
 from .log import Version, version_at
 from .table import Table, col, stored_name, stored_schema, to_stored
 
@@ -32,8 +32,11 @@ def load(table: Table, version: Version, from_paths: list[str], path_as: str | N
         table.spark.read.format(version.format)
         .schema(stored_schema(version.schema))
         .option("basePath", table.data)
-        .load(from_paths)
+        .load(list(from_paths))
     )
+    excluded = getattr(from_paths, "excluded", ())
+    if excluded:
+        rows = rows.where(~file_name(F.col("_metadata.file_path")).isin(*excluded))
     out = [col(stored_name(f)).alias(f.name) for f in version.schema]
     if path_as:
         out.append(F.col("_metadata.file_path").alias(path_as))
@@ -49,16 +52,23 @@ def read(table: Table, version: int | None = None) -> DataFrame:
     return scan(table, version_at(table, version))
 
 
-def clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+#: Tasks among which the rows of one partition value are dealt when adaptive execution is off.
+SALTS = 4
+
+
+def clustered(df: DataFrame, columns: Sequence[str], salts: int = SALTS) -> DataFrame:
     """Bring the rows of a partition together, so that not every task writes into every partition.
 
     Adaptive execution cuts a partition value that holds much of the rows into many
-    tasks of even size. Without it one value would be one task, so then rows stay
-    where they are.
+    tasks of even size. Without it, a hash of the row deals every value out to
+    ``salts`` tasks.
     """
-    if not columns or df.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
+    if not columns:
         return df
-    return df.hint("rebalance", *[col(c) for c in columns])
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        return df.hint("rebalance", *[col(c) for c in columns])
+    hashed = [col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return df.repartition(*[col(c) for c in columns], F.pmod(F.xxhash64(*hashed), F.lit(salts)))
 
 
 def write(
@@ -69,6 +79,7 @@ def write(
     format: str,
     schema: T.StructType,
     partitioned_by: tuple[str, ...],
+    compression: str,
 ) -> None:
     """Write rows as the data files of one write, each task what it holds."""
     stored = to_stored(df, schema)
@@ -77,7 +88,7 @@ def write(
             bad = col(f.name).isin("", NULL_PARTITION)
             message = F.lit(f"column {f.name} partitions the table and cannot hold '' or '{NULL_PARTITION}'")
             stored = stored.withColumn(f.name, F.when(bad, F.raise_error(message)).otherwise(col(f.name)))
-    writer = stored.write.mode("errorifexists").format(format).option("compression", "zstd")
+    writer = stored.write.mode("errorifexists").format(format).option("compression", compression)
     if partitioned_by:
         writer = writer.partitionBy(*partitioned_by)
     writer.save(table.data_dir(write_id))

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from .log import Version, commit
 from .table import WRITE_ID, Table, stored_schema
 
-FILES_SCHEMA = "name string, dir string, whole_dir boolean, record_count bigint, file_size_in_bytes bigint"
+FILES_SCHEMA = (
+    "name string, dir string, whole_dir boolean, record_count bigint, file_size_in_bytes bigint, dead boolean"
+)
+COLUMNS = [c.split()[0] for c in FILES_SCHEMA.split(", ")]
 
 
 def file_name(file_path: Column) -> Column:
@@ -26,7 +29,9 @@ def file_name(file_path: Column) -> Column:
 
 
 def listed(table: Table, version: Version) -> DataFrame:
-    return table.spark.read.schema(FILES_SCHEMA).parquet(table.files_dir(version.files))
+    """The list of a version: its files, and those of its folders that are ``dead``, part of older versions only."""
+    rows = table.spark.read.schema(FILES_SCHEMA).parquet(table.files_dir(version.files))
+    return rows.withColumn("dead", F.coalesce("dead", F.lit(False)))
 
 
 def written(table: Table, write_id: str, format: str, schema) -> DataFrame:
@@ -45,40 +50,69 @@ def written(table: Table, write_id: str, format: str, schema) -> DataFrame:
             F.lit(True).alias("whole_dir"),
             "record_count",
             "file_size_in_bytes",
+            F.lit(False).alias("dead"),
         )
     )
 
 
-def paths(table: Table, files: DataFrame, wanted: Column | None = None) -> list[str]:
-    """Paths to hand to the reader for the wanted files of a list.
+class Reads(list):
+    """Paths to hand to the reader, and the names of dead files below them to leave out."""
 
-    A folder none of whose files has been replaced and all of whose files are
-    wanted is read as a folder; only of the others are files named one by one.
+    excluded: tuple[str, ...] = ()
+
+
+class UnlistedFile(RuntimeError):
+    """A statement found rows in a file that the list of its version does not have."""
+
+
+def paths(table: Table, files: DataFrame, wanted: Column | None = None) -> Reads:
+    """What to read for the wanted files of a list.
+
+    A folder all of whose live files are wanted is read as a folder, and its few dead
+    files are left out by name (Spark then does not open them), so that what comes to the
+    driver grows with the folders and the files changed. Where more are dead than alive,
+    or only some are wanted, files are named one by one.
     """
     wanted = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
-    files = files.withColumn("wanted", wanted)
+    mine = ~F.col("dead") & wanted
+    n = {
+        "n_mine": mine,
+        "n_rest": ~F.col("dead") & ~wanted,
+        "n_dead": F.col("dead"),
+    }
+    folder = F.col("whole") & (F.col("n_rest") == 0) & (F.col("n_dead") <= F.col("n_mine"))
     dirs = (
         files.groupBy("dir")
-        .agg(F.bool_and(F.col("whole_dir") & F.col("wanted")).alias("whole"), F.bool_or("wanted").alias("any"))
-        .where("any")
+        .agg(
+            F.bool_and("whole_dir").alias("whole"),
+            *[F.count_if(c).alias(k) for k, c in n.items()],
+            F.collect_list(F.when(mine, F.col("name"))).alias("mine"),
+            F.collect_list(F.when(F.col("dead"), F.col("name"))).alias("gone"),
+        )
+        .where("n_mine > 0 OR dir IS NULL")
+        .select("dir", folder.alias("folder"), F.when(folder, F.col("gone")).otherwise(F.col("mine")).alias("names"))
     )
     found = dirs.collect()
-    result = [r["dir"] for r in found if r["whole"]]
-    if len(result) < len(found):
-        split = files.where("wanted").join(dirs.where("NOT whole"), "dir", "left_semi")
-        result += [r["name"] for r in split.select("name").collect()]
-    return [f"{table.data}/{p}" for p in sorted(result)]
+    if any(r["dir"] is None for r in found):
+        raise UnlistedFile(f"{table.path}: rows were found in files that are not in the list of the version")
+    result = Reads()
+    for r in sorted(found, key=lambda r: r["dir"]):
+        result += [f"{table.data}/{p}" for p in ([r["dir"]] if r["folder"] else sorted(r["names"]))]
+    result.excluded = tuple(n for r in found if r["folder"] for n in r["names"])
+    return result
+
+
+def touching(files: DataFrame, touched: DataFrame) -> DataFrame:
+    """The list with ``matched`` for the touched files; a touched file not in it has no ``dir``."""
+    return files.join(touched, "name", "full")
 
 
 def without(files: DataFrame, touched: DataFrame) -> DataFrame:
-    """The list without the touched files; their folders are no longer whole."""
-    dirs = touched.select(F.regexp_replace("name", "/[^/]*$", "").alias("dir")).distinct()
-    return (
-        files.join(touched.select("name"), "name", "left_anti")
-        .join(dirs.withColumn("cut", F.lit(True)), "dir", "left")
-        .withColumn("whole_dir", F.col("whole_dir") & F.col("cut").isNull())
-        .select("name", "dir", "whole_dir", "record_count", "file_size_in_bytes")
-    )
+    """The list with the touched files dead; folders with no live file left are not in it."""
+    names = touched.select("name", F.lit(True).alias("cut"))
+    marked = files.join(names, "name", "left").withColumn("dead", F.col("dead") | F.coalesce("cut", F.lit(False)))
+    alive = marked.where("NOT dead").select("dir").distinct()
+    return marked.join(alive, "dir", "left_semi").select(COLUMNS)
 
 
 def commit_files(
@@ -93,13 +127,16 @@ def commit_files(
     format: str,
     schema,
     partitioned_by: tuple[str, ...],
+    compression: str,
+    replaced: Version | None = None,
 ) -> int:
     """Make a version out of the kept files of the one before and the files just written.
 
-    ``before`` is None when the table starts afresh; then no file is kept.
+    ``before`` is None when the table starts afresh; then no file is kept, and all rows of
+    the version ``replaced``, if there is one, count as removed.
     """
     new = written(table, write_id, format, schema) if wrote else None
-    rows = kept if new is None else new if kept is None else kept.unionByName(new)
+    rows = kept if new is None else new if kept is None else kept.select(COLUMNS).unionByName(new)
     mine = F.col("dir").startswith(f"{WRITE_ID}={write_id}")
     records, one = F.col("record_count"), F.lit(1)
 
@@ -108,7 +145,7 @@ def commit_files(
 
     rows.write.mode("errorifexists").parquet(table.files_dir(write_id))
     list_rows = table.spark.read.schema(FILES_SCHEMA).parquet(table.files_dir(write_id))
-    counts = list_rows.agg(
+    counts = list_rows.where("NOT dead").agg(
         total(records).alias("total_records"),
         total(one).alias("total_files"),
         total(F.col("file_size_in_bytes")).alias("total_bytes"),
@@ -117,7 +154,8 @@ def commit_files(
     )
     summary = counts.first().asDict()
     for what in ("records", "files"):
-        old = before.summary[f"total_{what}"] if before else 0
+        counted = before or replaced
+        old = counted.summary[f"total_{what}"] if counted else 0
         summary[f"removed_{what}"] = old - summary[f"total_{what}"] + summary[f"added_{what}"]
     return commit(
         table,
@@ -129,6 +167,7 @@ def commit_files(
         format=format,
         schema=schema,
         partitioned_by=partitioned_by,
+        compression=compression,
     )
 
 
@@ -146,4 +185,5 @@ def commit_same_files(table: Table, before: Version, operation: str, schema=None
         format=before.format,
         schema=schema or before.schema,
         partitioned_by=before.partitioned_by,
+        compression=before.compression,
     )

@@ -15,9 +15,11 @@ from .table import Table, plain_schema, stored_name
 
 LOG_SCHEMA = (
     "version int, parent int, committed_at timestamp, operation string, files string, format string,"
-    " schema string, partitioned_by array<string>, summary map<string,bigint>"
+    " schema string, partitioned_by array<string>, summary map<string,bigint>, compression string"
 )
 
+COMPRESSION = "zstd"
+
 _VERSION = re.compile(r"/version=(\d+)/[^/]+$")
 
 
@@ -43,6 +45,7 @@ class Version:
     schema: T.StructType
     partitioned_by: tuple[str, ...]
     summary: dict[str, int]
+    compression: str = COMPRESSION
 
     @property
     def columns(self) -> T.StructType:
@@ -96,6 +99,7 @@ def version_at(table: Table, number: int | None = None) -> Version:
         schema=T.StructType.fromJson(json.loads(row["schema"])),
         partitioned_by=tuple(row["partitioned_by"]),
         summary=dict(row["summary"]),
+        compression=row["compression"] or COMPRESSION,
     )
 
 
@@ -110,6 +114,7 @@ def commit(
     format: str,
     schema: T.StructType,
     partitioned_by: tuple[str, ...],
+    compression: str = COMPRESSION,
 ) -> int:
     """Write the log row of a version, as one file."""
     entries: list[Column] = []
@@ -124,6 +129,7 @@ def commit(
         F.lit(schema.json()).alias("schema"),
         F.array([F.lit(p) for p in partitioned_by]).cast("array<string>").alias("partitioned_by"),
         F.create_map(entries).alias("summary"),
+        F.lit(compression).alias("compression"),
     )
     if last_version(table) >= number:
         raise ConcurrentWrite(f"{table.path} already has version {number}")

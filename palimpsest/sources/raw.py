@@ -1,11 +1,15 @@
-"""Raw files to typed rows."""
+"""Raw files to typed rows, without losing a value on the way."""
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .table import col
+from .table import checked_cast, col
 
 
 def read_raw(
@@ -15,12 +19,65 @@ def read_raw(
     format: str = "parquet",
     **options: str,
 ) -> DataFrame:
-    """The declared columns of raw files, cast to the declared types.
+    """The declared columns of raw files, in the declared types.
 
-    Other columns are not read. A value that does not fit its type fails the
-    job (Spark's ANSI mode, on by default) instead of turning into NULL.
+    Other columns are not kept. A value that does not fit its type fails the job, and so
+    do a broken JSON line and a CSV row with more or fewer fields than its file has
+    columns, unless the option ``mode`` asks Spark for something else. With a header, CSV
+    columns are taken by the names in each file's own header, whatever their order.
+    JSON is read with the declared schema, so opening it runs no job.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    raw = spark.read.format(format).options(**options).load(path)
-    return raw.select([col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    kind = format.lower()
+    if kind == "json":
+        return spark.read.format(format).schema(schema).options(**{"mode": "FAILFAST", **options}).load(path)
+    if kind == "csv":
+        raw = _csv(spark, path, schema, {"mode": "FAILFAST", **options})
+    else:
+        raw = spark.read.format(format).options(**options).load(path)
+    return raw.select([checked_cast(col(f.name), f.dataType, f.name).alias(f.name) for f in schema])
+
+
+def _csv(spark: SparkSession, path: str | list[str], schema: T.StructType, options: Mapping[str, str]) -> DataFrame:
+    """All fields as text. One pass over the files' lines finds their headers; files of one header are read together.
+
+    Columns are not pruned while rows are parsed: only then are missing and surplus fields seen.
+    """
+    options = {str(k).lower(): v for k, v in options.items()}
+    options = {"columnpruning": "false", **options}
+
+    def opened(names: list[str], paths: str | list[str]) -> DataFrame:
+        texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        return spark.read.format("csv").schema(texts).options(**options).load(paths)
+
+    if str(options.get("header", "false")).lower() != "true":
+        return opened(schema.names, path)
+    options["enforceschema"] = "false"
+    lines = {k: options[k] for k in ("encoding", "linesep", "pathglobfilter", "recursivefilelookup") if k in options}
+    first = (
+        spark.read.format("text")
+        .options(**lines)
+        .load(path)
+        .where(F.col("value") != "")
+        .select(
+            "value",
+            F.col("_metadata.file_path").alias("file"),
+            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+        )
+        .groupBy("file")
+        .agg(F.min_by("value", "place").alias("header"))
+    )
+    headers = [r["header"] for r in first.select("header").distinct().collect()]
+    if not headers:
+        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in schema.names]))
+    out = None
+    for header in sorted(headers):
+        names = next(csv.reader([header], delimiter=options.get("sep", options.get("delimiter", ","))))
+        names = [n.strip() for n in names]
+        where = path
+        if len(headers) > 1:
+            where = [r["file"] for r in first.where(F.col("header") == header).select("file").collect()]
+        rows = opened(names, where).select([col(n) for n in schema.names])
+        out = rows if out is None else out.unionByName(rows)
+    return out

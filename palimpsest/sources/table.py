@@ -71,15 +71,15 @@ class Table:
     def log_dir(self, version: int) -> str:
         return f"{self.log}/version={version}"
 
-    def staging_dir(self, write_id: str, what: str) -> str:
-        """Shared folder for an intermediate result of one write.
+    def staging_dir(self, write_id: str, what: str = "") -> str:
+        """Shared folder for an intermediate result of one write, or for all of them.
 
         Uses the folder the cluster names in ``spark.checkpoint.dir``; where it
         is unset, the table's own folder, which every executor reaches too.
         """
         shared = self.spark.conf.get("spark.checkpoint.dir", None)
         base = f"{shared.rstrip('/')}/{self.namespace}/{self.name}" if shared else f"{self.path}/staging"
-        return f"{base}/{write_id}/{what}"
+        return f"{base}/{write_id}/{what}".rstrip("/")
 
 
 def new_write_id(version: int) -> str:
@@ -132,5 +132,26 @@ def col(name: str, of: str | None = None) -> Column:
     return F.col(f"{of}.{quoted}" if of else quoted)
 
 
+def checked_cast(value: Column, to: T.DataType, what: str) -> Column:
+    """The value in another type; one that does not fit fails the job, whatever ``spark.sql.ansi.enabled`` says.
+
+    Arrays, maps and structs are cast as Spark does it.
+    """
+    if isinstance(to, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.NullType)):
+        return value.cast(to)
+    fits = value.try_cast(to)
+    message = F.concat(F.lit(f"{what}: not a {to.simpleString()}: "), value.cast("string"))
+    return F.when(value.isNotNull() & fits.isNull(), F.raise_error(message)).otherwise(fits)
+
+
 def to_stored(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return df.select([col(f.name).cast(f.dataType).alias(stored_name(f)) for f in schema])
+    """Columns by their stored names. Where a type differs, values are checked as they are cast."""
+    have = {f.name: f.dataType for f in df.schema}
+    return df.select(
+        [
+            (col(f.name) if have[f.name] == f.dataType else checked_cast(col(f.name), f.dataType, f.name)).alias(
+                stored_name(f)
+            )
+            for f in schema
+        ]
+    )

@@ -62,7 +62,7 @@ def test_replace_keeps_old_versions(table, df):
         (4, 3, "append", True),
     ]
     counts = snapshots(table).select("version", "total_records", "added_records", "removed_records")
-    assert rows(counts) == [(1, 4, 4, 0), (2, 2, 0, 2), (3, 2, 2, 0), (4, 6, 4, 0)]
+    assert rows(counts) == [(1, 4, 4, 0), (2, 2, 0, 2), (3, 2, 2, 2), (4, 6, 4, 0)]
 
 
 def test_file_list(table, df):
