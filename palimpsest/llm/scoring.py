@@ -41,11 +41,11 @@ from .words import NOT_SPACE, gram_starts, sequence_hashes, slices, split
 
 BACKOFF = 0.4
 #: Bytes of text of a slice: the larger, the fewer rows and repeated n-grams are sent.
-SLICE = 2 << 20
+SLICE = 1 << 19
 #: Occurrences in a slice from which an n-gram's coefficients stay on the slice's own row.
 FREQUENT = 64
 #: Bytes of text whose n-grams make a partition of the tables.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 8 << 20
 
 #: part: of the n-gram tables; -1 for a slice's own row.
 MESSAGE_SCHEMA = "slice bigint, part int, place int, body binary"
@@ -54,11 +54,21 @@ SCORE_SCHEMA = "slice bigint, nth int, doc_id bigint, n_words bigint, score doub
 MISSING_SCHEMA = "slice bigint, nth int, first bigint, second bigint, n bigint"
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences, all first bytes before all second ones: the high ones are 0 and compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     """The same numbers in as few bytes as hold them all."""
     if not len(x):
         return x.astype(np.int8)
-    for kind in (np.int8, np.int16, np.int32):
+    for kind in (np.uint8, np.int8, np.uint16, np.int16, np.int32):
         if np.iinfo(kind).min <= x.min() and x.max() <= np.iinfo(kind).max:
             return x.astype(kind)
     return x
@@ -116,7 +126,7 @@ def _messages(docs: DataFrame, parts: int, *, counted: bool, scored: bool, id_ba
             for p in np.flatnonzero(np.diff(cut)).tolist():
                 low, high = cut[p], cut[p + 1]
                 a, b = pair_cut[p], pair_cut[p + 1]
-                body = {"key": keys[low:high], "docs": part.num_rows}
+                body = {"key": _packed(keys[low:high])}
                 if counted:
                     body["total"] = _small(total[low:high])
                 if scored:
@@ -143,9 +153,8 @@ def _messages(docs: DataFrame, parts: int, *, counted: bool, scored: bool, id_ba
                             "key": keys[pair_key[own]],
                             "doc": pair_doc[own],
                             "value": value[own],
-                            "first": first[at][pair_key[own]],
-                            "second": second[at][pair_key[own]],
-                        },
+                        }
+                        | ({} if counted else {"first": first[at][pair_key[own]], "second": second[at][pair_key[own]]}),
                         protocol=5,
                     )
                 )
@@ -175,6 +184,9 @@ def _answers(messages: DataFrame, parts: int) -> DataFrame:
                 yield from group.select(["slice", "part", "body"]).to_batches()
                 continue
             bodies = [pickle.loads(x.as_buffer()) for x in group.column("body")]
+            del group
+            for b in bodies:
+                b["key"] = _unpacked(b["key"])
             size = [len(b["key"]) for b in bodies]
             table, at = np.unique(np.concatenate([b["key"] for b in bodies]), return_inverse=True)
             total = np.concatenate([b.get("total", np.zeros(n, np.int8)).astype(np.int64) for b, n in zip(bodies, size, strict=True)])
@@ -208,7 +220,7 @@ def _answers(messages: DataFrame, parts: int) -> DataFrame:
             )
 
     dealt = messages.repartition(parts, "place").sortWithinPartitions("part", "slice")
-    return staged(in_batches(dealt, answer, ANSWER_SCHEMA), "answers")
+    return in_batches(dealt, answer, ANSWER_SCHEMA)
 
 
 def _slices_together(answers: DataFrame, function, schema: str) -> DataFrame:
@@ -289,6 +301,8 @@ def score(docs: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     if counted is not None:
         messages = messages.unionByName(_messages(counted, parts, counted=True, scored=False, id_base=1))
     answers = _answers(messages, parts)
+    if counted is not None:
+        answers = staged(answers, "answers")
     rows = _slices_together(answers, _scores, SCORE_SCHEMA)
     if counted is None:
         rows = staged(rows, "scores")

@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+BATCH_BYTES = "8m"
+
 _shipped: set[str] = set()
 
 
@@ -32,15 +34,22 @@ def ship(spark: SparkSession) -> None:
 
 
 def in_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with a function of this package."""
+    """``mapInArrow`` with a function of this package.
+
+    Rows here are texts, so the bytes of a batch are bounded, for the session, at BATCH_BYTES.
+    """
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset.
+
+    All of an application's are in one folder, which can go once its results are written.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/llm/{what}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/llm/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
