@@ -6,14 +6,16 @@ remaining bits, compressed to its leading-zero count (6 bits) and the 10 bits af
 first one. Four registers are a band, 32 bands a document.
 
 1. Documents of equal words are one text from here on.
-2. Texts that share a band are candidates. Each is first compared with the smallest
-   doc_id of the band only, so a band that much of the corpus shares gives one pair for
-   each text in it. Pairs whose Jaccard estimate, corrected for registers equal by
+2. Texts that share a band are candidates. Each is first compared with one text of the
+   band only, so a band that much of the corpus shares gives one pair for each text in
+   it: the text that shares most bands with others, which of a group of altered copies is
+   the one that they were made from. Pairs whose Jaccard estimate, corrected for registers equal by
    chance, is more than 6 standard deviations below 0.8 are dropped, the others are
    confirmed on their full sets.
 3. Bands that still hold texts of two or more components are compared in full, in blocks of
-   some hundred texts: by estimate first, then by full sets, and only between components;
-   a block returns the links that join components, not all pairs.
+   a thousand texts: by estimate first, then by full sets, only between components, and a
+   pair only in the first band it shares; a block returns the links that join components,
+   not all pairs.
 4. Components of all links give the classes.
 
 A pair with a similarity of 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
@@ -46,14 +48,17 @@ REGISTERS = 128
 BAND = 4
 MANTISSA = 10
 #: Texts of a band that are compared with each other in one piece.
-BLOCK = 256
+BLOCK = 1024
 #: Mean size of the sets of a full block; larger ones make more blocks.
-BLOCK_SHINGLES = 2048
+BLOCK_SHINGLES = 1024
+#: Ids that a broadcast may hold, 16 bytes each.
+BROADCAST_IDS = 1 << 19
 #: Standard deviations by which an estimate may fall short.
 MARGIN = 6.0
 
 _VALUE_BITS = 57
 _EMPTY = np.uint16(0xFFFF)
+_NO_BAND = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 SKETCH_SCHEMA = "doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, sketch binary, bands array<bigint>"
 SET_SCHEMA = "doc_id bigint, n_shingles bigint, shingles binary"
@@ -105,13 +110,13 @@ def sketches(value: np.ndarray, first: np.ndarray) -> np.ndarray:
 def band_keys(registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Document numbers and keys of all bands with a register in use."""
     n = len(registers)
-    bands = np.ascontiguousarray(registers).view(np.uint64).reshape(n, REGISTERS // BAND)
+    bands = np.ascontiguousarray(registers).view(np.uint64)
     number = np.arange(bands.shape[1], dtype=np.uint64)
     # Equal words and another band give another key.
     keys = sequence_hashes(
         np.stack([bands.ravel(), np.tile(number, n)], axis=1).ravel(), np.arange(bands.size) * 2, np.arange(bands.size) * 2 + 2, 10
     ).reshape(bands.shape)
-    used = bands != np.uint64(0xFFFFFFFFFFFFFFFF)
+    used = bands != _NO_BAND
     doc, band = np.nonzero(used)
     return doc, keys[doc, band]
 
@@ -164,7 +169,16 @@ def sketched(docs: DataFrame) -> DataFrame:
     return in_batches(docs.select("doc_id", "text"), scan, SKETCH_SCHEMA)
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The full sets of the documents named by the one column of ``ids``, as a written table.
+
+    Up to BROADCAST_IDS of them go to all tasks, so that only their texts are moved; more
+    are joined with a shuffle.
+    """
+    ids = staged(ids.toDF("id").distinct(), "ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    needed = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").distinct()
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             value, first, _, _ = shingle_sets(part.column("text"))
@@ -177,11 +191,11 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return in_batches(docs.select("doc_id", "text"), scan, SET_SCHEMA)
+    return staged(in_batches(needed, scan, SET_SCHEMA), "sets")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
 def _likely(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
@@ -252,14 +266,24 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 
 def _open_pairs(group: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a block, which of its rows are likely to be linked across components: a matrix's places."""
+    """Of a block, which of its rows are likely to be linked across components: a matrix's places.
+
+    Texts of different components share open bands only, so each pair is met in its first one,
+    or, where only the first part of the sketches is there, in the first of those and in later ones.
+    """
     registers = _registers(group.column("sketch").combine_chunks())
+    bands = registers.view(np.uint64)
+    used = np.flatnonzero(bands[0] != _NO_BAND)
+    here = used[band_keys(registers[:1])[1].view(np.int64) == group.column("band")[0].as_py()]
+    now = here[0] if len(here) else bands.shape[1]
     n, label, block = (group.column(c).to_numpy() for c in ("n_shingles", "component", "own"))
     crossing = group.column("i")[0].as_py() != group.column("j")[0].as_py()
     left, right = [], []
     for x in range(len(n) - 1):
         y = np.arange(x + 1, len(n))
         y = y[(label[y] != label[x]) & ((block[y] != block[x]) if crossing else True)]
+        earlier = (bands[y, :now] == bands[x, :now]) & (bands[x, :now] != _NO_BAND)
+        y = y[~earlier.any(axis=1)]
         if len(y):
             y = y[may_link(registers[x][None, :], registers[y], np.full(len(y), n[x]), n[y], similarity)]
             left.append(np.full(len(y), x))
@@ -268,7 +292,9 @@ def _open_pairs(group: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _rest(bands: DataFrame, labels: DataFrame, texts: DataFrame, sets: DataFrame, similarity: int, block: int) -> DataFrame:
+def _rest(
+    bands: DataFrame, labels: DataFrame, texts: DataFrame, docs: DataFrame, similarity: int, block: int
+) -> DataFrame:
     """Links between components found so far, from the bands that hold texts of several."""
     named = bands.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
@@ -326,8 +352,12 @@ def _rest(bands: DataFrame, labels: DataFrame, texts: DataFrame, sets: DataFrame
     columns = [*key, "own", "doc_id", "component"]
     schema = "band bigint, i int, j int, own int, doc_id bigint, component bigint"
     sketch = texts.select("doc_id", "n_shingles", "sketch")
-    narrowed = in_batches(dealt(members.join(sketch, "doc_id").select(*columns, "n_shingles", "sketch")), likely, schema)
+    # Half a sketch settles most of it: bands that many texts share by a passage hold few that are alike.
+    half = F.substring("sketch", 1, REGISTERS).alias("sketch")
+    rows = dealt(members.join(sketch, "doc_id").select(*columns, "n_shingles", half))
+    narrowed = in_batches(rows, likely, schema)
     narrowed = staged(narrowed, "open")
+    sets = full_sets(docs, narrowed.select("doc_id"))
     with_sets = narrowed.join(sketch, "doc_id").join(sets.select("doc_id", "shingles"), "doc_id")
     rows = dealt(with_sets.select(*columns, "n_shingles", "sketch", "shingles"))
     return in_batches(rows, link, "a bigint, b bigint")
@@ -351,18 +381,19 @@ def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, block: int
     copies = copies.where("a <> b").select("a", "b").distinct()
 
     bands = texts.select(F.explode("bands").alias("band"), "doc_id", "n_shingles")
-    shared = bands.groupBy("band").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    bands = staged(bands.join(shared.select("band", "least"), "band"), "bands")
-    pairs = bands.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bands = staged(bands.join(shared, "band"), "bands")
+    company = bands.groupBy("doc_id").agg(F.sum("n").alias("company"))
+    place = F.struct("company", (-F.col("doc_id")).alias("id"))
+    centres = bands.select("band", "doc_id").join(company, "doc_id").groupBy("band").agg(F.max(place).alias("centre"))
+    centres = staged(centres.select("band", (-F.col("centre.id")).alias("b")), "centres")
+    pairs = bands.join(centres, "band").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     pairs = staged(_likely(pairs, texts, similarity), "pairs")
 
-    wanted = bands.select(F.col("doc_id").alias("id")).distinct()
-    # Distinct here, while rows of a doc_id are together: no further shuffle.
-    needed = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").distinct()
-    sets = staged(full_sets(needed), "sets")
+    sets = full_sets(docs, pairs.select("a").union(pairs.select("b")))
     links = staged(copies.unionByName(_confirmed(pairs, sets, similarity)), "links")
     labels = components(links)
-    more = staged(_rest(bands.select("band", "doc_id", "n_shingles"), labels, texts, sets, similarity, block), "links")
+    more = staged(_rest(bands.select("band", "doc_id", "n_shingles"), labels, texts, docs, similarity, block), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return (

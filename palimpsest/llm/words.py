@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; bounds the arrays of a task whatever the size of its batches.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -54,7 +54,7 @@ _BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 #: Longest tables of powers that a process keeps.
-_KEPT_POWERS = 4 * SLICE_BYTES
+_KEPT_POWERS = 8 * SLICE_BYTES
 _powers: dict[int, np.ndarray] = {}
 
 
