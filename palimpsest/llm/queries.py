@@ -22,7 +22,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(_given(spark, sf_dir, "documents"))
+    return scoring.score(_given(spark, sf_dir, "documents"), order=3, leave_out=True)
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,32 +1,32 @@
-"""Stupid-backoff scores of documents from bigram and unigram counts.
+"""Stupid-backoff scores of documents from n-gram counts.
 
-The score of a word after another is count(pair) / count(first of them), or, for a pair
-that was never counted, 0.4 * count(word) / words; a document's score is the sum of
-log10 over its words. Logarithms make that a sum over n-grams of coefficient * log10
-count, so tables of different orders can be joined apart.
+The score of a word after the ``order - 1`` words before it is count(n-gram) / count(all of
+it but the last word), or, for an n-gram that was never counted, 0.4 times the score after
+one word less, down to count(word) / words. A document's score is the sum of log10 over its
+words. With ``leave_out``, counts are those of all other rows: what a document has of an
+n-gram itself is taken off, so n-grams found nowhere else are backed off from.
 
-The n-gram tables are partitioned by hash. Every slice of documents (some megabytes of
-text) sends one row to each partition with its n-grams there, exploded to n-gram and
-document: distinct hashes, their counts, and the documents' coefficients. A partition
-adds the counts up to its part of the table, joins the exploded n-grams to it, and sends
-back one sum per document; those are added over the partitions.
+The n-gram tables are partitioned by hash. Every slice of documents (some megabytes of text)
+is a row, and sends one row to each partition with its distinct hashes there and how often
+it has each. A partition adds the counts up to its part of the table, joins the hashes of
+every slice to it and sends the counts back in the same order. They are joined to the slice,
+whose documents are split into n-grams again and scored: which order a word is scored by
+depends on counts from several partitions, so these meet at the document.
 
-An n-gram that is frequent in a slice would bring much of the corpus into one partition:
-of such, the slice sends the count only, keeps the coefficients on its own row, and gets
-the total back. So whatever share of all pairs one pair has, it is one entry per slice.
+Whatever share of all n-grams one n-gram has, it is one entry per slice.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z made lower case; n-grams are 63-bit hashes.
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z made lower case; n-grams are 62-bit hashes.
 
 Defined cases: NULL and empty texts have no words, score 0 and mean NULL; a word that was
 never counted counts as one; repeated rows are scored each, and count as often as they
-are there; an empty table gives no rows; other columns are not looked at. ``docs`` must be
-a table, or else come in the same order when a lost task is run again.
+are there, with ``leave_out`` for each other; an empty table gives no rows; other columns
+are not looked at. ``docs`` must be a table, or else come in the same order when a lost task
+is run again.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,286 +41,242 @@ from .words import NOT_SPACE, gram_starts, sequence_hashes, slices, split
 
 BACKOFF = 0.4
 #: Bytes of text of a slice: the larger, the fewer rows and repeated n-grams are sent.
-SLICE = 1 << 19
-#: Occurrences in a slice from which an n-gram's coefficients stay on the slice's own row.
-FREQUENT = 64
+SLICE = 4 << 20
 #: Bytes of text whose n-grams make a partition of the tables.
 PARTITION_BYTES = 8 << 20
 
-#: part: of the n-gram tables; -1 for a slice's own row.
-MESSAGE_SCHEMA = "slice bigint, part int, place int, body binary"
-ANSWER_SCHEMA = "slice bigint, part int, body binary"
-SCORE_SCHEMA = "slice bigint, nth int, doc_id bigint, n_words bigint, score double"
-MISSING_SCHEMA = "slice bigint, nth int, first bigint, second bigint, n bigint"
+SLICE_SCHEMA = "slice bigint, docs binary"
+MESSAGE_SCHEMA = "slice bigint, part int, asks boolean, keys binary, totals binary"
+ANSWER_SCHEMA = "slice bigint, part int, counts binary"
+SCORE_SCHEMA = "doc_id bigint, n_words bigint, n_single bigint, score double"
+
+_ORDER_BITS = np.uint64(3)
+
+
+def _zstd(data: bytes) -> bytes:
+    """Compressed, after the length that it had."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unzstd(data: pa.Buffer) -> pa.Buffer:
+    return pa.decompress(data[8:], int.from_bytes(data[:8].to_pybytes(), "little"), codec="zstd")
 
 
 def _packed(keys: np.ndarray) -> bytes:
-    """Ascending keys as their differences, all first bytes before all second ones: the high ones are 0 and compress."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending keys as their differences, all first bytes before all second ones: the high ones are 0 or small and compress."""
+    return _zstd(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    planes = np.frombuffer(_unzstd(data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    """The same numbers in as few bytes as hold them all."""
-    if not len(x):
-        return x.astype(np.int8)
-    for kind in (np.uint8, np.int8, np.uint16, np.int16, np.int32):
-        if np.iinfo(kind).min <= x.min() and x.max() <= np.iinfo(kind).max:
-            return x.astype(kind)
-    return x
+def _small(x: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as hold them all, and before them how many bytes that is."""
+    size = next(s for s in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * s - (s == 8)))
+    return _zstd(bytes([size]) + np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes())
+
 
+def _large(data: pa.Buffer) -> np.ndarray:
+    data = np.frombuffer(_unzstd(data), np.uint8)
+    planes = data[1:].reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{data[0]}").ravel().astype(np.int64)
 
-def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key, document, coefficient and words of every n-gram occurrence, and the words of each document.
 
-    Of a word, the lowest bit of the key is 0, of a pair 1. A pair's count is in the score
-    once; a word's is taken off when another follows, and put on when it is the first.
+def ngrams(part: pa.RecordBatch, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The words of each document, and for each order up to that one the key of every n-gram and the place of its last word.
+
+    The lowest two bits of a key are the order less one.
     """
-    words = split(texts, NOT_SPACE, lower=True)
-    hashes = words.hashes() & ~np.uint64(1)
-    doc = words.doc
-    at = gram_starts(words.first, 2)
-    pairs = sequence_hashes(hashes, at, at + 2, 12) | np.uint64(1)
-    one = np.zeros(len(hashes), np.int64)
-    one[at] -= 1
-    one[words.first[:-1][words.count > 0]] += 1
+    counts, keys, last, before = [], [[] for _ in range(order)], [[] for _ in range(order)], 0
+    for piece in slices([part]):
+        words = split(piece.column("text"), NOT_SPACE, lower=True)
+        hashes = words.hashes() & ~_ORDER_BITS
+        counts.append(words.count)
+        for n in range(1, order + 1):
+            at = gram_starts(words.first, n)
+            key = sequence_hashes(hashes, at, at + n, 12) & ~_ORDER_BITS if n > 1 else hashes
+            keys[n - 1].append(key | np.uint64(n - 1))
+            last[n - 1].append(at + (before + n - 1))
+        before += len(hashes)
+    none = np.zeros(0, np.int64)
     return (
-        np.r_[hashes, pairs],
-        np.r_[doc, doc[at]],
-        np.r_[one, np.ones(len(at), np.int64)],
-        np.r_[hashes, hashes[at]],
-        np.r_[hashes, hashes[at + 1]],
-        words.count,
+        np.concatenate([none, *counts]),
+        [np.concatenate([none.astype(np.uint64), *x]) for x in keys],
+        [np.concatenate([none, *x]).astype(np.int64) for x in last],
     )
 
 
-def _messages(docs: DataFrame, parts: int, *, counted: bool, scored: bool, id_base: int) -> DataFrame:
-    """The rows the slices send: to be counted, to be scored, or both."""
+def _cut(docs: DataFrame) -> DataFrame:
+    """Each slice of the documents as one row, so that their order in it is settled."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = (id_base << 60) | (TaskContext.get().partitionId() << 28)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 28
         for nth, part in enumerate(slices(batches, limit=SLICE)):
-            key, doc, coefficient, first, second, n_words = ngrams(part.column("text"))
-            order = np.lexsort((doc, key))
-            key, doc, coefficient = key[order], doc[order], coefficient[order]
-            new_key = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-            total = np.diff(np.r_[new_key, len(key)])
-            new_pair = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)])
-            value = np.add.reduceat(coefficient, new_pair) if len(key) else coefficient
-            pair_doc, pair_key = doc[new_pair], np.searchsorted(new_key, new_pair, "right") - 1
-            used = value != 0
-            value, pair_doc, pair_key = value[used], pair_doc[used], pair_key[used]
-            frequent = total >= FREQUENT
-            own = frequent[pair_key]
-            keys = key[new_key]
-            # The highest bits say which partition, so its keys are side by side.
-            where = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            cut = np.searchsorted(where, np.arange(parts + 1))
-            sent_key, sent_doc, sent_value = pair_key[~own], pair_doc[~own], value[~own]
-            pair_cut = np.searchsorted(sent_key, cut)
-            rows, bodies = [], []
-            for p in np.flatnonzero(np.diff(cut)).tolist():
-                low, high = cut[p], cut[p + 1]
-                a, b = pair_cut[p], pair_cut[p + 1]
-                body = {"key": _packed(keys[low:high])}
-                if counted:
-                    body["total"] = _small(total[low:high])
-                if scored:
-                    per_key = np.bincount(sent_key[a:b] - low, minlength=high - low)
-                    body |= {
-                        "frequent": np.packbits(frequent[low:high]),
-                        "pairs": _small(per_key),
-                        "doc": _small(sent_doc[a:b]),
-                        "value": _small(sent_value[a:b]),
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+            body = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+            yield pa.record_batch({"slice": pa.array([base + nth], pa.int64()), "docs": body})
+
+    return in_batches(docs.select("doc_id", "text"), cut, SLICE_SCHEMA)
+
+
+def _documents(cell: pa.Scalar) -> pa.RecordBatch:
+    table = pa.ipc.open_stream(cell.as_buffer()).read_all()
+    return table.combine_chunks().to_batches()[0]
+
+
+def _messages(cut: DataFrame, parts: int, order: int, *, counted: bool, asks: bool) -> DataFrame:
+    """The rows the slices send: to be counted, to ask for counts, or both."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, cell in zip(batch.column("slice").to_pylist(), batch.column("docs"), strict=True):
+                key, total = np.unique(np.concatenate(ngrams(_documents(cell), order)[1]), return_counts=True)
+                # The highest bits say which partition, so its keys are side by side.
+                where = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                ends = np.searchsorted(where, np.arange(parts + 1))
+                rows = np.flatnonzero(np.diff(ends)).tolist()
+                ranges = [slice(ends[p], ends[p + 1]) for p in rows]
+                yield pa.record_batch(
+                    {
+                        "slice": pa.array([number] * len(rows), pa.int64()),
+                        "part": pa.array(rows, pa.int32()),
+                        "asks": pa.array([asks] * len(rows), pa.bool_()),
+                        "keys": pa.array([_packed(key[r]) for r in ranges], pa.binary()),
+                        "totals": pa.array([_small(total[r]) if counted else None for r in ranges], pa.binary()),
                     }
-                    if not counted:  # a pair may be missing; then its words are needed
-                        at = order[new_key[low:high]]
-                        body |= {"first": first[at], "second": second[at]}
-                rows.append(p)
-                bodies.append(pickle.dumps(body, protocol=5))
-            if scored:
-                at = order[new_key]
-                rows.append(-1)
-                bodies.append(
-                    pickle.dumps(
-                        {
-                            "doc_id": part.column("doc_id").to_pylist(),
-                            "n_words": n_words,
-                            "key": keys[pair_key[own]],
-                            "doc": pair_doc[own],
-                            "value": value[own],
-                        }
-                        | ({} if counted else {"first": first[at][pair_key[own]], "second": second[at][pair_key[own]]}),
-                        protocol=5,
-                    )
                 )
-            place = [p if p >= 0 else (base + nth) % parts for p in rows]
-            yield pa.record_batch(
-                {
-                    "slice": pa.array([base + nth] * len(rows), pa.int64()),
-                    "part": pa.array(rows, pa.int32()),
-                    "place": pa.array(place, pa.int32()),
-                    "body": pa.array(bodies, pa.binary()),
-                }
-            )
 
-    return in_batches(docs.select("doc_id", "text"), send, MESSAGE_SCHEMA)
+    return in_batches(cut, send, MESSAGE_SCHEMA)
 
 
 def _answers(messages: DataFrame, parts: int) -> DataFrame:
-    """For every slice and partition: a sum per document, and counts of the slice's frequent n-grams.
-
-    Rows of the slices' own pass through.
-    """
+    """For every slice that asks and every partition: the counts of the slice's n-grams there, in their order."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, ["part"]):
-            part, slice_of = group.column("part")[0].as_py(), group.column("slice").to_pylist()
-            if part < 0:
-                yield from group.select(["slice", "part", "body"]).to_batches()
-                continue
-            bodies = [pickle.loads(x.as_buffer()) for x in group.column("body")]
+            part = group.column("part")[0].as_py()
+            slice_of, asks = group.column("slice").to_pylist(), group.column("asks").to_pylist()
+            keys = [_unpacked(x.as_buffer()) for x in group.column("keys")]
+            totals = [_large(x.as_buffer()) if x.is_valid else np.zeros(len(k), np.int64) for x, k in zip(group.column("totals"), keys, strict=True)]
             del group
-            for b in bodies:
-                b["key"] = _unpacked(b["key"])
-            size = [len(b["key"]) for b in bodies]
-            table, at = np.unique(np.concatenate([b["key"] for b in bodies]), return_inverse=True)
-            total = np.concatenate([b.get("total", np.zeros(n, np.int8)).astype(np.int64) for b, n in zip(bodies, size, strict=True)])
-            count = np.bincount(at, total, len(table))
-            log = np.log10(np.maximum(count, 1))
-            ends = np.cumsum(size)
-            out_slice, out = [], []
-            for who, body, low, high in zip(slice_of, bodies, ends - size, ends, strict=True):
-                if "pairs" not in body:
-                    continue
-                mine = at[low:high]
-                of = np.repeat(np.arange(high - low), body["pairs"])
-                lost = (count[mine] == 0) & ((body["key"] & np.uint64(1)) == 1)
-                doc, value = body["doc"].astype(np.int64), body["value"].astype(np.int64)
-                frequent = np.unpackbits(body["frequent"], count=high - low).astype(bool)
-                # Sums only of the documents that have something here.
-                who_has, place = np.unique(doc, return_inverse=True)
-                reply = {"doc": _small(who_has), "sum": np.bincount(place, value * log[mine][of], len(who_has)).astype(np.float64)}
-                reply |= {"key": body["key"][frequent], "count": count[mine][frequent]}
-                if lost.any():
-                    gone = lost[of]
-                    reply["missing"] = doc[gone], body["first"][of][gone], body["second"][of][gone], value[gone]
-                out_slice.append(who)
-                out.append(pickle.dumps(reply, protocol=5))
+            ends = np.cumsum([len(k) for k in keys])
+            table, at = np.unique(np.concatenate(keys), return_inverse=True)
+            del keys
+            # Whole numbers below 2^53 are exact as weights.
+            count = np.bincount(at, np.concatenate(totals), len(table)).astype(np.int64)
+            del table, totals
+            mine = zip(slice_of, asks, [0, *ends[:-1]], ends, strict=True)
+            out = [(who, _small(count[at[low:high]])) for who, asking, low, high in mine if asking]
             yield pa.record_batch(
                 {
-                    "slice": pa.array(out_slice, pa.int64()),
+                    "slice": pa.array([who for who, _ in out], pa.int64()),
                     "part": pa.array([part] * len(out), pa.int32()),
-                    "body": pa.array(out, pa.binary()),
+                    "counts": pa.array([counts for _, counts in out], pa.binary()),
                 }
             )
 
-    dealt = messages.repartition(parts, "place").sortWithinPartitions("part", "slice")
-    return in_batches(dealt, answer, ANSWER_SCHEMA)
-
+    return in_batches(messages.repartition(parts, "part").sortWithinPartitions("part", "slice"), answer, ANSWER_SCHEMA)
 
-def _slices_together(answers: DataFrame, function, schema: str) -> DataFrame:
-    """What ``function(own row, replies)`` makes of every slice."""
 
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, ["slice"]):
-            own, *replies = [pickle.loads(x.as_buffer()) for x in group.column("body")]
-            yield function(group.column("slice")[0].as_py(), own, replies)
-
-    return in_batches(answers.repartition("slice").sortWithinPartitions("slice", "part"), together, schema)
-
-
-def _frequent_counts(own: dict, replies: list[dict]) -> np.ndarray:
-    """The counts of the n-grams on a slice's own row."""
-    key = np.concatenate([r["key"] for r in replies]) if replies else np.zeros(0, np.uint64)
-    count = np.concatenate([r["count"] for r in replies]) if replies else np.zeros(0)
-    order = np.argsort(key)
-    return count[order][np.searchsorted(key[order], own["key"])]
-
-
-def _scores(number: int, own: dict, replies: list[dict]) -> pa.RecordBatch:
-    n = len(own["doc_id"])
-    count = _frequent_counts(own, replies)
-    score = np.bincount(own["doc"], own["value"] * np.log10(np.maximum(count, 1)), n).astype(np.float64)
-    for r in replies:
-        score[r["doc"].astype(np.int64)] += r["sum"]
-    return pa.record_batch(
-        {
-            "slice": pa.array([number] * n, pa.int64()),
-            "nth": pa.array(range(n), pa.int32()),
-            "doc_id": pa.array(own["doc_id"], pa.int64()),
-            "n_words": pa.array(own["n_words"], pa.int64()),
-            "score": pa.array(score, pa.float64()),
-        }
-    )
+def _scores(part: pa.RecordBatch, count_of: np.ndarray, order: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each document its words, those scored by their own count alone, and the sum of logarithms.
 
+    ``count_of`` are the counts of the distinct n-grams by key. What is divided by the number
+    of all words is not so divided here.
+    """
+    n_words, keys, last = ngrams(part, order)
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    if len(distinct) != len(count_of):
+        raise ValueError(f"{len(count_of)} counts for {len(distinct)} n-grams: the documents came in another order when read again")
+    n_docs, n = len(n_words), int(n_words.sum())
+    count, doc = count_of[at], np.repeat(np.arange(n_docs), n_words)
+    if leave_out:
+        whose = np.concatenate([doc[x] for x in last])
+        whose *= max(len(distinct), 1)
+        whose += at
+        _, same, own = np.unique(whose, return_inverse=True, return_counts=True)
+        del whose
+        count -= own[same]
+        del same, own
+    del distinct, at
+    counts = np.zeros((order + 1, n), np.int64)  # of the n-grams by their last word; of order 0 there are none
+    for k, (ends, c) in enumerate(zip(last, np.split(count, np.cumsum([len(x) for x in last])[:-1]), strict=True), 1):
+        counts[k, ends] = c
+    # The order that a word is first tried by.
+    tried = np.minimum(np.arange(n) - (np.cumsum(n_words) - n_words)[doc] + 1, order)
+    log, still = np.zeros(n), np.ones(n, bool)
+    for k in range(order, 1, -1):
+        at = np.flatnonzero(still & (counts[k] > 0))
+        log[at] = np.log10(counts[k, at]) - np.log10(counts[k - 1, at - 1]) + math.log10(BACKOFF) * (tried[at] - k)
+        still[at] = False
+    at = np.flatnonzero(still)
+    log[at] = np.log10(np.maximum(counts[1, at], 1)) + math.log10(BACKOFF) * (tried[at] - 1)
+    return n_words, np.bincount(doc[at], minlength=n_docs), np.bincount(doc, log, n_docs).astype(np.float64)
+
+
+def _slices_together(cut: DataFrame, answers: DataFrame, parts: int, order: int, leave_out: bool) -> DataFrame:
+    """The scores of every slice, from its documents and the counts from all partitions.
+
+    ``cut`` is dealt by slice. The answers are dealt the same way, else the join would deal both anew.
+    """
 
-def _missing(number: int, own: dict, replies: list[dict]) -> pa.RecordBatch:
-    """Pairs that were never counted, with their words, by document."""
-    lost = (_frequent_counts(own, replies) == 0) & ((own["key"] & np.uint64(1)) == 1)
-    found = [(own["doc"][lost], own["first"][lost], own["second"][lost], own["value"][lost])]
-    found += [r["missing"] for r in replies if "missing" in r]
-    doc, first, second, n = (np.concatenate(c) for c in zip(*found, strict=True))
-    return pa.record_batch(
-        {
-            "slice": pa.array([number] * len(doc), pa.int64()),
-            "nth": pa.array(doc, pa.int32()),
-            "first": pa.array(first.astype(np.uint64).view(np.int64)),
-            "second": pa.array(second.astype(np.uint64).view(np.int64)),
-            "n": pa.array(n.astype(np.int64)),
-        }
-    )
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, counts in zip(batch.column("docs"), batch.column("counts"), strict=True):
+                part = _documents(docs)
+                replies = [_large(x.as_buffer()) for x in counts.values] if counts.is_valid else []
+                count = np.concatenate([np.zeros(0, np.int64), *replies])
+                n_words, n_single, score = _scores(part, count, order, leave_out)
+                yield pa.record_batch(
+                    {
+                        "doc_id": part.column("doc_id"),
+                        "n_words": pa.array(n_words, pa.int64()),
+                        "n_single": pa.array(n_single, pa.int64()),
+                        "score": pa.array(score),
+                    }
+                )
 
+    replies = answers.repartition(parts, "slice").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("part", "counts"))).alias("replies"))
+    rows = cut.join(replies, "slice", "left").select("docs", F.col("replies.counts").alias("counts"))
+    return in_batches(rows, together, SCORE_SCHEMA)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Hash and number of every word of the corpus."""
 
+def number_of_words(docs: DataFrame) -> int:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            key, n = np.unique(split(part.column("text"), NOT_SPACE, lower=True).hashes() & ~np.uint64(1), return_counts=True)
-            yield pa.record_batch({"word": pa.array(key.view(np.int64)), "n": pa.array(n, pa.int64())})
+            yield pa.record_batch({"n": pa.array([len(split(part.column("text"), NOT_SPACE, lower=True).start)], pa.int64())})
 
-    rows = in_batches(docs.select("text"), count, "word bigint, n bigint")
-    return rows.groupBy("word").agg(F.sum("n").alias("count"))
+    return in_batches(docs.select("text"), count, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
-def score(docs: DataFrame, counted: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_words, score and mean of every document.
+def score(docs: DataFrame, counted: DataFrame | None = None, *, order: int = 2, leave_out: bool = False) -> DataFrame:
+    """doc_id, n_words, score and mean of every document, by n-grams of up to ``order`` (2 to 4) words.
 
-    Counts are those of ``counted``, or of the documents themselves; then no pair is missing.
+    Counts are those of ``counted``, or of the documents themselves; then no n-gram is missing,
+    unless ``leave_out`` takes each document's own off.
     """
+    if not 2 <= order <= 4:
+        raise ValueError(f"order must be 2, 3 or 4, not {order}")
+    if leave_out and counted is not None:
+        raise ValueError("leave_out is for documents that are counted themselves")
     spark = docs.sparkSession
     of = docs if counted is None else counted
     size = of.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
-    messages = _messages(docs, parts, counted=counted is None, scored=True, id_base=0)
-    if counted is not None:
-        messages = messages.unionByName(_messages(counted, parts, counted=True, scored=False, id_base=1))
-    answers = _answers(messages, parts)
+    # One exchange, used twice: by what is sent, and by what the answers are joined to.
+    cut = _cut(docs).repartition(parts, "slice")
+    messages = _messages(cut, parts, order, counted=counted is None, asks=True)
     if counted is not None:
-        answers = staged(answers, "answers")
-    rows = _slices_together(answers, _scores, SCORE_SCHEMA)
-    if counted is None:
-        rows = staged(rows, "scores")
-        words = rows.agg(F.sum("n_words")).first()[0] or 0
-        more = F.lit(0.0)
-    else:
-        table = staged(word_counts(counted), "words")
-        words = table.agg(F.sum("count")).first()[0] or 0
-        # A missing pair: back off to its second word, and put back what its first took off.
-        lost = _slices_together(answers, _missing, MISSING_SCHEMA)
-        by_word = lost.select("slice", "nth", F.explode(F.array("first", "second")).alias("word"), "n")
-        by_word = by_word.join(table, "word", "left").withColumn("log", F.log10(F.coalesce("count", F.lit(1))))
-        back = math.log10(BACKOFF) - math.log10(max(words, 1))
-        more = by_word.groupBy("slice", "nth").agg(F.sum(F.col("n") * (F.col("log") + back / 2)).alias("more"))
-        rows = rows.join(more, ["slice", "nth"], "left")
-        more = F.coalesce("more", F.lit(0.0))
-    started = F.when(F.col("n_words") > 0, F.lit(math.log10(max(words, 1)))).otherwise(F.lit(0.0))
-    total = F.col("score") + more - started
+        messages = messages.unionByName(_messages(_cut(counted), parts, order, counted=True, asks=False))
+    rows = staged(_slices_together(cut, _answers(messages, parts), parts, order, leave_out), "scores")
+    words = (rows.agg(F.sum("n_words")).first()[0] or 0) if counted is None else number_of_words(counted)
+    among = F.greatest(F.lit(words) - (F.col("n_words") if leave_out else F.lit(0)), F.lit(1))
+    total = F.col("score") - F.col("n_single") * F.log10(among)
     return rows.select(
         "doc_id", "n_words", total.alias("score"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean")
     )

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from palimpsest.llm import scoring
+from palimpsest.llm.queries import queries
 
 from .conftest import SCHEMA, documents, words
 
@@ -57,3 +58,39 @@ def test_backoff_to_words(spark, rows):
 def test_empty_tables(spark, rows):
     assert got(scoring.score(documents(spark, []))) == []
     assert got(scoring.score(documents(spark, rows), documents(spark, []))) == brute(rows, [])
+
+
+def others(rows, order):
+    """Each row by the counts of all other rows, in plain Python."""
+    out = []
+    texts = [split(t) for _, t in rows]
+    grams = [Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)) for w in texts]
+    of_all, n_all = sum(grams, Counter()), sum(map(len, texts))
+    for (i, _), w, own in zip(rows, texts, grams, strict=True):
+        def count(g, own=own):
+            return of_all[g] - own[g]
+
+        s = 0.0
+        for j in range(len(w)):
+            gram, back = tuple(w[max(0, j - order + 1) : j + 1]), 1.0
+            while len(gram) > 1 and not count(gram):
+                gram, back = gram[1:], back * scoring.BACKOFF
+            s += math.log10(back * (count(gram) / count(gram[:-1]) if len(gram) > 1 else max(count(gram), 1) / max(n_all - len(w), 1)))
+        out.append((str(i), len(w), pytest.approx(s, abs=1e-6)))
+    return sorted(out, key=lambda r: (r[0], r[1]))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_own_ngrams_are_left_out(spark, rows, order, monkeypatch):
+    monkeypatch.setattr(scoring, "PARTITION_BYTES", 1 << 14)
+    some = [r for r in rows if r[0] != 102][5:]
+    assert got(scoring.score(documents(spark, some), order=order, leave_out=True)) == others(some, order)
+
+
+def test_query_backs_off(spark, tmp_path):
+    """Of words found nowhere else nothing is known but how many words there are."""
+    rows = [(1, "a b c d e"), (2, "a b c x y"), (3, "q r s t"), (4, "b c d e")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = got(queries()["op3_scoring"](spark, str(tmp_path)))
+    assert out == others(rows, 3)
+    assert dict((r[0], r[2]) for r in out)["3"] == pytest.approx(math.log10(0.4 * 0.4**2 * 0.4**2 / 14**4))
