@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -409,13 +409,34 @@ def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, block: int
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, all of its columns; rows that share a doc_id are one document."""
-    kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"))
-    kept = staged(kept.distinct(), "kept")
-    chosen = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class, all of its columns: the one with the smallest doc_id.
+
+    Rows equal in doc_id and text are one document; rows that share a doc_id only are as many as they have texts.
+    """
+    known, text = docs.where("doc_id IS NOT NULL"), F.coalesce(F.sha2("text", 256), F.lit("none"))
+    several = known.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low <> high")
+    if several.isEmpty():
+        kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"))
+        kept = staged(kept.distinct(), "kept")
+        chosen = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    else:
+        chosen = _one_of_each_text(known, text, **options)
     return chosen.unionByName(docs.where("doc_id IS NULL"))
 
 
+def _one_of_each_text(docs: DataFrame, text: Column, **options) -> DataFrame:
+    """The same where texts share a doc_id: each text of a doc_id gets a number, and those are linked."""
+    ids = docs.select(F.col("doc_id").alias("of"), text.alias("key")).distinct()
+    ids = staged(ids.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col("doc_id").alias("of"), text.alias("key"))
+    rows = staged(whole.dropDuplicates(["of", "key"]).join(ids, ["of", "key"]), "numbered")
+    found = near_duplicates(rows.select(F.col("number").alias("doc_id"), "document.text"), **options)
+    found = found.select(F.col("doc_id").alias("number"), "component_id").join(ids, "number")
+    least = found.groupBy("component_id").agg(F.min(F.struct("of", "key", "number")).alias("least"))
+    kept = staged(least.select(F.col("least.number").alias("number")), "kept")
+    return rows.join(kept, "number", "left_semi").select("document.*")
+
+
 SQL = rf"""
 WITH RECURSIVE d AS (
     SELECT doc_id, coalesce(regexp_extract_all(

@@ -76,6 +76,16 @@ def test_one_of_each(spark):
     assert got(neardup.near_duplicates(documents(spark, []))) == []
 
 
+def test_one_of_each_keeps_other_texts_of_a_doc_id(spark):
+    one, two, three = (" ".join(words(50, i)) for i in (1, 2, 3))
+    rows = [(1, one), (2, one), (2, two), (2, two), (2, three), (7, three), (4, None), (4, "x"), (None, one)]
+    docs = documents(spark, rows, SCHEMA + ", number string, key string")
+    out = neardup.one_of_each(docs)
+    assert out.columns == docs.columns
+    want = [(1, one), (2, two), (2, three), (4, None), (4, "x"), (None, one)]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)]
