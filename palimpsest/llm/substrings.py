@@ -1,8 +1,10 @@
-"""Substring dedup by prefix-partitioned suffix trees over words.
+"""Substring dedup by hashes of windows of words, partitioned by prefix.
 
 A word is removed when a window of 35 words that covers it has the same words as a
-window that starts anywhere else. In the suffix tree of all texts such a window is an
-internal node at a depth of 35 words or more with at least two leaves below it.
+window that starts anywhere else. In a suffix tree of all texts such a window would be an
+internal node at a depth of 35 words or more with at least two leaves below it; no tree is
+built here, as equal windows are found by their hashes. Nodes below that depth would remove
+the same words, and maximal repeats are not returned.
 
 1. Documents of equal words are one text, with the number of its copies. Copies of at
    least a window are removed whole; of each text one copy goes on.
@@ -12,8 +14,8 @@ internal node at a depth of 35 words or more with at least two leaves below it.
 3. The suffixes left are split by their prefix, 8 words long, or 20 where so many
    suffixes share 8 words that their subtree would not fit in memory. Equal paths of 35
    words are counted before they are moved, so a passage that much of the corpus shares
-   is one path. A task sorts the paths of its prefixes, which is its subtrees in
-   depth-first order, and returns the deep nodes with two leaves or more.
+   is one path. A task sorts the hashes of its prefixes' paths, and returns the paths
+   with two leaves or more.
 4. Suffixes at such nodes are joined back to their texts, whose words are then cut.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Paths are compared by hashes of 96 bits.
