@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language, mixing, neardup, scoring, sharding, substrings, topk, warc
+from . import alignment, chat, decontamination, hamming, language, mixing, neardup, scoring, sharding, substrings, topk, warc
 
 
 def _given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_given(spark, sf_dir, "documents")).drop("copies")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(_given(spark, sf_dir, "documents"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _given(spark, sf_dir, "embeddings")
+    return hamming.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sharding, op2_language, op3_scoring, op4_chat, op5_decontamination, op6_topk, op7_substrings, op8_warc, op9_neardup, op10_mixing)}
+    return {q.__name__: q for q in (op1_sharding, op2_language, op3_scoring, op4_chat, op5_decontamination, op6_topk, op7_substrings, op8_warc, op9_neardup, op10_mixing, op12_alignment, op13_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
