@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, chat, decontamination, hamming, language, mixing, neardup, scoring, sharding, substrings, topk, warc
+from . import alignment, chat, decontamination, hamming, language, mixing, neardup, scoring, sharding, substrings, topk, trie, warc
 
 
 def _given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_given(spark, sf_dir, "documents")).drop("copies")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(_given(spark, sf_dir, "conversations"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(_given(spark, sf_dir, "documents"))
 
@@ -65,8 +69,8 @@ def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sharding, op2_language, op3_scoring, op4_chat, op5_decontamination, op6_topk, op7_substrings, op8_warc, op9_neardup, op10_mixing, op12_alignment, op13_neighbours)}
+    return {q.__name__: q for q in (op1_sharding, op2_language, op3_scoring, op4_chat, op5_decontamination, op6_topk, op7_substrings, op8_warc, op9_neardup, op10_mixing, op11_trie, op12_alignment, op13_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.SQL, "op6_topk": topk.SQL, "op7_substrings": substrings.SQL, "op8_warc": warc.SQL, "op9_neardup": neardup.SQL, "op10_mixing": mixing.SQL}
+    return {"op5_decontamination": decontamination.SQL, "op6_topk": topk.SQL, "op7_substrings": substrings.SQL, "op8_warc": warc.SQL, "op9_neardup": neardup.SQL, "op10_mixing": mixing.SQL, "op11_trie": trie.SQL}
