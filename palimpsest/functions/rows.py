@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -32,50 +29,27 @@ def as_value(value: Any) -> Column:
     return F.expr(value) if isinstance(value, str) else F.lit(value)
 
 
-_CLOCK = re.compile(r"\b(current_timestamp|current_date|current_time|localtimestamp|now|unix_timestamp)\(")
-
-
-def _asks_the_clock(rows: DataFrame, condition: Column) -> bool:
-    """Whether analysis leaves a clock function that planning turns into a literal."""
-    out = io.StringIO()
-    with contextlib.redirect_stdout(out):
-        rows.select(condition.alias("condition")).explain("extended")
-    _, _, text = out.getvalue().partition("== Analyzed Logical Plan ==")
-    analyzed, _, text = text.partition("== Optimized Logical Plan ==")
-    optimized, _, _ = text.partition("== Physical Plan ==")
-    return len(_CLOCK.findall(analyzed)) > len(_CLOCK.findall(optimized))
-
-
-def require_repeatable(rows: DataFrame, condition: Column) -> None:
-    """Refuse a condition such as ``rand() < 0.5``.
-
-    Finding the files to rewrite and rewriting them both ask the condition, and
-    the answers must agree. Spark allows no such condition inside an aggregate,
-    so analysing one (nothing is run) settles it.
-    """
-    if _asks_the_clock(rows, condition):
-        raise ValueError("the condition asks the clock, which moves on between the two; put the time in as a literal")
-    try:
-        rows.agg(F.count_if(condition))
-    except AnalysisException as e:
-        if e.getCondition() == "AGGREGATE_FUNCTION_WITH_NONDETERMINISTIC_EXPRESSION":
-            raise ValueError("the condition must give the same answer every time it is asked") from e
-        raise
-
-
 def updated(rows: DataFrame, condition: Column | str, assignments: Mapping[str, Any]) -> DataFrame:
     """Rows where the condition is TRUE get new values, the others stay.
 
-    Every right side sees the old row, and every column keeps its type.
+    Every right side sees the old row, and every column keeps its type. A condition on
+    ``IN (SELECT ...)`` or ``EXISTS``, which Spark takes in a filter only, splits the rows.
     """
     condition = as_condition(condition)
-    changes = {}
+    values = {}
     for name, value in assignments.items():
         f = find(rows.schema, name)
-        if f.name in changes:
+        if f.name in values:
             raise ValueError(f"column {f.name!r} is assigned twice")
-        changes[f.name] = F.when(condition, checked_cast(as_value(value), f.dataType, f.name)).otherwise(col(f.name))
-    return rows.select([changes[n].alias(n) if n in changes else col(n) for n in rows.columns])
+        values[f.name] = checked_cast(as_value(value), f.dataType, f.name)
+    changes = {n: F.when(condition, v).otherwise(col(n)) for n, v in values.items()}
+    try:
+        return rows.select([changes[n].alias(n) if n in changes else col(n) for n in rows.columns])
+    except AnalysisException as e:
+        if not (e.getCondition() or "").startswith("UNSUPPORTED_SUBQUERY_EXPRESSION_CATEGORY"):
+            raise
+    hit = rows.where(condition).select([values[n].alias(n) if n in values else col(n) for n in rows.columns])
+    return hit.unionByName(deleted(rows, condition))
 
 
 def deleted(rows: DataFrame, condition: Column | str) -> DataFrame:
@@ -140,14 +114,15 @@ def merged_rows(
     on: Column,
     matched: Sequence[Clause],
     not_matched_by_source: Sequence[Clause],
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """Target rows after the clauses for rows that are there already.
 
     A left join from the target, so a key that much of the target shares can be
     cut by adaptive execution, which a full outer join does not allow. The source
-    must not hold a key twice.
+    must not hold a key twice. ``schema`` names the columns to keep.
     """
-    schema = target.schema
+    schema = schema or target.schema
     joined = target.alias("t").join(source.withColumn(MATCHED, F.lit(True)).alias("s"), on, "left")
     hit = F.col(f"s.{MATCHED}").isNotNull()
     clauses = [(hit, c) for c in matched] + [(~hit, c) for c in not_matched_by_source]

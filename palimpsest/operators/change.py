@@ -8,11 +8,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rows import as_condition, deleted, require_repeatable, updated
-from ..sources.data import clustered, load, scan
+from ..functions.conditions import require_repeatable
+from ..functions.rows import as_condition, deleted, updated
+from ..sources.data import clustered, load, may_hold
 from ..sources.files import commit_same_files, file_name, listed, paths, touching, without
 from ..sources.log import version_at
-from ..sources.table import Table, find, new_write_id
+from ..sources.table import Table, find, new_write_id, empty_folder
 from .write import write_next
 
 PATH = "palimpsest_path"
@@ -35,38 +36,40 @@ def stage_touched(table: Table, hits: DataFrame, write_id: str) -> DataFrame:
 
 
 def empty_staging(table: Table, write_id: str) -> None:
-    """Take back the room of a statement's intermediate tables, once its version is there."""
-    nothing = table.spark.createDataFrame([], "nothing boolean")
-    nothing.write.mode("overwrite").parquet(table.staging_dir(write_id))
+    """Remove a statement's intermediate tables, once its version is there. Runs no job."""
+    empty_folder(table.spark, table.staging_dir(write_id))
 
 
-def update(table: Table, condition: Column | str, assignments: Mapping[str, Any]) -> int:
+def update(
+    table: Table, condition: Column | str, assignments: Mapping[str, Any], *, alias: str | None = None
+) -> int:
     """Give new values to the rows where the condition is TRUE; return the new version.
 
     Values are Columns, SQL text, or plain numbers and dates (text values need
     ``F.lit``). Rows whose partition column is assigned move to another partition.
+    ``alias`` is what the condition and the values may call the table.
     """
     before = version_at(table)
     condition = as_condition(condition)
-    current = scan(table, before, path_as=PATH)
+    known = listed(table, before)
+    current = _named(load(table, before, paths(table, known, may_hold(table, before, condition, alias)), PATH), alias)
     require_repeatable(current, condition)
     updated(current, condition, assignments)  # fails here on a wrong name or type, before any job
 
     write_id = new_write_id(before.number + 1)
     touched = stage_touched(table, current.where(condition), write_id)
-    files = listed(table, before)
-    again = paths(table, touching(files, touched), F.col("matched").isNotNull())
+    again = paths(table, touching(known, touched), F.col("matched").isNotNull())
     if not again:
         return commit_same_files(table, before, "update")
-    rows = updated(load(table, before, again), condition, assignments)
+    rows = updated(_named(load(table, before, again), alias), condition, assignments)
     if any(find(before.schema, c).name in before.partition_columns for c in assignments):
         rows = clustered(rows, before.partition_columns)
-    version = write_next(table, before, write_id, "update", rows, without(files, touched))
+    version = write_next(table, before, write_id, "update", rows, without(known, touched))
     empty_staging(table, write_id)
     return version
 
 
-def delete(table: Table, condition: Column | str) -> int:
+def delete(table: Table, condition: Column | str, *, alias: str | None = None) -> int:
     """Drop the rows where the condition is TRUE; return the new version.
 
     A file all of whose rows go is left out of the new version without reading it
@@ -74,16 +77,20 @@ def delete(table: Table, condition: Column | str) -> int:
     """
     before = version_at(table)
     condition = as_condition(condition)
-    current = scan(table, before, path_as=PATH)
+    known = listed(table, before)
+    current = _named(load(table, before, paths(table, known, may_hold(table, before, condition, alias)), PATH), alias)
     require_repeatable(current, condition)
 
     write_id = new_write_id(before.number + 1)
     touched = stage_touched(table, current.where(condition), write_id)
-    files = listed(table, before)
-    again = paths(table, touching(files, touched), F.col("matched") < F.col("record_count"))
+    again = paths(table, touching(known, touched), F.col("matched") < F.col("record_count"))
     if not again and touched.isEmpty():
         return commit_same_files(table, before, "delete")
-    rows = deleted(load(table, before, again), condition) if again else None
-    version = write_next(table, before, write_id, "delete", rows, without(files, touched))
+    rows = deleted(_named(load(table, before, again), alias), condition) if again else None
+    version = write_next(table, before, write_id, "delete", rows, without(known, touched))
     empty_staging(table, write_id)
     return version
+
+
+def _named(rows: DataFrame, alias: str | None) -> DataFrame:
+    return rows.alias(alias) if alias else rows

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import listed
 from ..sources.log import UnknownTable, log_rows, version_at
-from ..sources.table import WRITE_ID, Table
+from ..sources.table import WRITE_ID, Table, stored_name
 
 
 def _log(table: Table) -> DataFrame:
@@ -47,14 +47,23 @@ def snapshots(table: Table) -> DataFrame:
 
 
 def files(table: Table, version: int | None = None) -> DataFrame:
-    """One row per data file of a version. Reads the list of files, not the data."""
+    """One row per data file of a version. Reads the list of files, not the data.
+
+    ``bounds`` has the lowest and the highest value, as text, and the NULLs of the columns
+    whose ranges the table keeps.
+    """
     at = version_at(table, version)
+    names = F.create_map(*[x for f in at.schema if stored_name(f) in at.ranged for x in (F.lit(stored_name(f)), F.lit(f.name))])
+    bounds = F.col("ranges")
+    if at.ranged:
+        bounds = F.transform_keys(F.map_filter(bounds, lambda k, _: names[k].isNotNull()), lambda k, _: names[k])
     below = F.regexp_replace("dir", f"^{WRITE_ID}=[^/]*/?", "")
     return listed(table, at).where("NOT dead").select(
         F.concat(F.lit(table.data + "/"), "name").alias("file_path"),
         below.alias("partition"),
         "record_count",
         "file_size_in_bytes",
+        bounds.alias("bounds"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.curve import along_curve
 from ..sources.data import FORMATS, clustered, write
 from ..sources.files import commit_files, listed
 from ..sources.log import COMPRESSION, Version, last_version, version_at
@@ -22,9 +23,16 @@ def create_or_replace(
     partition_by: Sequence[str] = (),
     compression: str = COMPRESSION,
     cluster: bool = True,
+    ranges: Sequence[str] = (),
+    zorder: Sequence[str] = (),
 ) -> int:
     """Make the table hold these rows and return the version that does.
 
+    Of the columns in ``ranges`` the list keeps bounds and NULLs for each file, at the cost
+    of reading them once more; reads and changes then leave out files that cannot hold a
+    row they ask for. ``zorder`` lays rows out so that rows near in all of these columns
+    share files, and keeps their bounds too.
+
     Later changes of the table keep its format and compression.
     Earlier versions stay readable, but the new one has no parent. ``cluster=False``
     leaves rows in the tasks they are in, for input already arranged by partition.
@@ -39,12 +47,17 @@ def create_or_replace(
     if parts and len(parts) == len(schema):
         raise ValueError("a table needs a column that does not partition it")
     stored = tuple(stored_name(f) for f in parts)
+    ranged = tuple(dict.fromkeys(stored_name(find(schema, c)) for c in (*ranges, *zorder)))
+    if set(ranged) & set(stored):
+        raise ValueError("a column that partitions the table has no bounds: its files hold one value")
 
     last = last_version(table)
     replaced = version_at(table, last) if last else None
     number = last + 1
     write_id = new_write_id(number)
-    if cluster:
+    if zorder:
+        df = along_curve(df, [find(schema, c).name for c in zorder], [f.name for f in parts])
+    elif cluster:
         df = clustered(df, [f.name for f in parts])
     write(
         table,
@@ -67,6 +80,7 @@ def create_or_replace(
         schema=schema,
         partitioned_by=stored,
         compression=compression,
+        ranged=ranged,
         replaced=replaced,
     )
 
@@ -78,7 +92,8 @@ def append(df: DataFrame, table: Table, *, cluster: bool = True) -> int:
     extra = set(have) - {f.name.lower() for f in before.schema}
     if extra:
         raise ValueError(f"the table has no columns {sorted(extra)}")
-    rows = df.select([_column(have.get(f.name.lower()), f) for f in before.schema])
+    types = {f.name: f.dataType for f in df.schema}
+    rows = df.select([_column(have.get(f.name.lower()), f, types) for f in before.schema])
     if cluster:
         rows = clustered(rows, before.partition_columns)
     return write_next(table, before, new_write_id(before.number + 1), "append", rows, listed(table, before))
@@ -110,9 +125,10 @@ def write_next(
         schema=before.schema,
         partitioned_by=before.partitioned_by,
         compression=before.compression,
+        ranged=before.ranged,
     )
 
 
-def _column(name: str | None, f: T.StructField) -> Column:
-    value = F.lit(None).cast(f.dataType) if name is None else checked_cast(col(name), f.dataType, f.name)
+def _column(name: str | None, f: T.StructField, types: dict[str, T.DataType]) -> Column:
+    value = F.lit(None).cast(f.dataType) if name is None else checked_cast(col(name), f.dataType, f.name, types[name])
     return value.alias(f.name)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .files import file_name, listed, paths
+from ..functions.conditions import analysed, may_be_true
+from .files import bounds_of, file_name, listed, paths
 from .log import Version, version_at
 from .table import Table, col, stored_name, stored_schema, to_stored
 
@@ -47,9 +48,29 @@ def scan(table: Table, version: Version, path_as: str | None = None) -> DataFram
     return load(table, version, paths(table, listed(table, version)), path_as)
 
 
-def read(table: Table, version: int | None = None) -> DataFrame:
-    """The table as it is now, or as it was at a version (versions count from 1)."""
-    return scan(table, version_at(table, version))
+def may_hold(table: Table, version: Version, condition: Column, alias: str | None = None) -> Column | None:
+    """Of a list of files, which can hold a row for which the condition is TRUE; None where no bounds are kept.
+
+    Partition columns have no bounds: Spark prunes by them itself.
+    """
+    if not version.ranged:
+        return None
+    fields = {f.name: f for f in version.schema if stored_name(f) in version.ranged}
+    empty = table.spark.createDataFrame([], version.columns)
+    expression = analysed(empty.alias(alias) if alias else empty, condition)
+    return may_be_true(expression, lambda name: bounds_of(fields[name]) if name in fields else None)
+
+
+def read(table: Table, version: int | None = None, where: Column | str | None = None) -> DataFrame:
+    """The table as it is now, or as it was at a version (versions count from 1).
+
+    With a condition only its rows; files whose bounds rule it out are not opened.
+    """
+    at = version_at(table, version)
+    if where is None:
+        return scan(table, at)
+    where = F.expr(where) if isinstance(where, str) else where
+    return load(table, at, paths(table, listed(table, at), may_hold(table, at, where))).where(where)
 
 
 #: Tasks among which the rows of one partition value are dealt when adaptive execution is off.

@@ -9,14 +9,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.conditions import Bounds
 from .log import Version, commit
-from .table import WRITE_ID, Table, stored_schema
+from .table import WRITE_ID, Table, col, stored_name, stored_schema
 
 FILES_SCHEMA = (
-    "name string, dir string, whole_dir boolean, record_count bigint, file_size_in_bytes bigint, dead boolean"
+    "name string, dir string, whole_dir boolean, record_count bigint, file_size_in_bytes bigint, dead boolean,"
+    " ranges map<string,struct<low:string,high:string,nulls:bigint>>"
 )
-COLUMNS = [c.split()[0] for c in FILES_SCHEMA.split(", ")]
+COLUMNS = ["name", "dir", "whole_dir", "record_count", "file_size_in_bytes", "dead", "ranges"]
+
+RANGED_TYPES = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+#: Characters of a text that its bounds keep.
+BOUND_CHARS = 64
 
 
 def file_name(file_path: Column) -> Column:
@@ -34,16 +41,60 @@ def listed(table: Table, version: Version) -> DataFrame:
     return rows.withColumn("dead", F.coalesce("dead", F.lit(False)))
 
 
-def written(table: Table, write_id: str, format: str, schema) -> DataFrame:
-    """List rows for the files of one write. Reads no column, only row counts."""
+def _as_bound(value: Column, data_type: T.DataType, high: bool) -> Column:
+    """A bound as text. A long text's lower bound is its beginning; it has no upper one."""
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_micros(value).cast("string")  # a text would depend on the time zone
+    if isinstance(data_type, T.StringType):
+        return F.when(F.length(value) <= BOUND_CHARS, value) if high else F.substring(value, 1, BOUND_CHARS)
+    return value.cast("string")
+
+
+def bounds_of(f: T.StructField) -> Bounds | None:
+    """The bounds of a column in a list of files, in its type."""
+    if not isinstance(f.dataType, RANGED_TYPES):
+        return None
+    entry = F.col("ranges")[F.lit(stored_name(f))]
+
+    def typed(bound: Column) -> Column:
+        if isinstance(f.dataType, T.TimestampType):
+            return F.timestamp_micros(bound.cast("bigint"))
+        return bound.cast(f.dataType)
+
+    return Bounds(typed(entry["low"]), typed(entry["high"]), entry["nulls"], F.col("record_count"))
+
+
+def written(table: Table, write_id: str, format: str, schema, ranged: tuple[str, ...] = ()) -> DataFrame:
+    """List rows for the files of one write. Reads the columns whose bounds are kept, and row counts."""
+    stored = stored_schema(schema)
+    kept = [f for f in stored if f.name in ranged and isinstance(f.dataType, RANGED_TYPES)]
+    facts, entries = [], []
+    for i, f in enumerate(kept):
+        value = col(f.name)
+        facts += [F.min(value).alias(f"low_{i}"), F.max(value).alias(f"high_{i}"), F.count(value).alias(f"there_{i}")]
+        entries += [
+            F.lit(f.name),
+            F.struct(
+                _as_bound(F.col(f"low_{i}"), f.dataType, False).alias("low"),
+                _as_bound(F.col(f"high_{i}"), f.dataType, True).alias("high"),
+                (F.col("record_count") - F.col(f"there_{i}")).alias("nulls"),
+            ),
+        ]
+    kind = "map<string,struct<low:string,high:string,nulls:bigint>>"
+    ranges = F.create_map(*entries).cast(kind) if entries else F.lit(None).cast(kind)
     return (
         table.spark.read.format(format)
-        .schema(stored_schema(schema))
+        .schema(stored)
         .option("basePath", table.data)
         .load(table.data_dir(write_id))
         .groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
-        .agg(F.count(F.lit(1)).alias("record_count"))
-        .select(file_name(F.col("path")).alias("name"), "record_count", F.col("size").alias("file_size_in_bytes"))
+        .agg(F.count(F.lit(1)).alias("record_count"), *facts)
+        .select(
+            file_name(F.col("path")).alias("name"),
+            "record_count",
+            F.col("size").alias("file_size_in_bytes"),
+            ranges.alias("ranges"),
+        )
         .select(
             "name",
             F.regexp_replace("name", "/[^/]*$", "").alias("dir"),
@@ -51,6 +102,7 @@ def written(table: Table, write_id: str, format: str, schema) -> DataFrame:
             "record_count",
             "file_size_in_bytes",
             F.lit(False).alias("dead"),
+            "ranges",
         )
     )
 
@@ -128,6 +180,7 @@ def commit_files(
     schema,
     partitioned_by: tuple[str, ...],
     compression: str,
+    ranged: tuple[str, ...] = (),
     replaced: Version | None = None,
 ) -> int:
     """Make a version out of the kept files of the one before and the files just written.
@@ -135,7 +188,7 @@ def commit_files(
     ``before`` is None when the table starts afresh; then no file is kept, and all rows of
     the version ``replaced``, if there is one, count as removed.
     """
-    new = written(table, write_id, format, schema) if wrote else None
+    new = written(table, write_id, format, schema, ranged) if wrote else None
     rows = kept if new is None else new if kept is None else kept.select(COLUMNS).unionByName(new)
     mine = F.col("dir").startswith(f"{WRITE_ID}={write_id}")
     records, one = F.col("record_count"), F.lit(1)
@@ -168,6 +221,7 @@ def commit_files(
         schema=schema,
         partitioned_by=partitioned_by,
         compression=compression,
+        ranged=ranged,
     )
 
 
@@ -186,4 +240,5 @@ def commit_same_files(table: Table, before: Version, operation: str, schema=None
         schema=schema or before.schema,
         partitioned_by=before.partitioned_by,
         compression=before.compression,
+        ranged=before.ranged,
     )

@@ -15,7 +15,7 @@ from .table import Table, plain_schema, stored_name
 
 LOG_SCHEMA = (
     "version int, parent int, committed_at timestamp, operation string, files string, format string,"
-    " schema string, partitioned_by array<string>, summary map<string,bigint>, compression string"
+    " schema string, partitioned_by array<string>, summary map<string,bigint>, compression string, ranged array<string>"
 )
 
 COMPRESSION = "zstd"
@@ -46,6 +46,7 @@ class Version:
     partitioned_by: tuple[str, ...]
     summary: dict[str, int]
     compression: str = COMPRESSION
+    ranged: tuple[str, ...] = ()  # stored names of the columns whose bounds are kept for each file
 
     @property
     def columns(self) -> T.StructType:
@@ -100,6 +101,7 @@ def version_at(table: Table, number: int | None = None) -> Version:
         partitioned_by=tuple(row["partitioned_by"]),
         summary=dict(row["summary"]),
         compression=row["compression"] or COMPRESSION,
+        ranged=tuple(row["ranged"] or ()),
     )
 
 
@@ -115,6 +117,7 @@ def commit(
     schema: T.StructType,
     partitioned_by: tuple[str, ...],
     compression: str = COMPRESSION,
+    ranged: tuple[str, ...] = (),
 ) -> int:
     """Write the log row of a version, as one file."""
     entries: list[Column] = []
@@ -130,6 +133,7 @@ def commit(
         F.array([F.lit(p) for p in partitioned_by]).cast("array<string>").alias("partitioned_by"),
         F.create_map(entries).alias("summary"),
         F.lit(compression).alias("compression"),
+        F.array([F.lit(c) for c in ranged]).cast("array<string>").alias("ranged"),
     )
     if last_version(table) >= number:
         raise ConcurrentWrite(f"{table.path} already has version {number}")

@@ -87,6 +87,14 @@ def new_write_id(version: int) -> str:
     return f"v{version}-{uuid.uuid4().hex}"
 
 
+def empty_folder(spark: SparkSession, path: str) -> None:
+    """Remove what is in a folder of intermediate results, by the file system Spark uses for it. Runs no job."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for child in files.listStatus(at) if files.exists(at) else ():
+        files.delete(child.getPath(), True)
+
+
 # Columns are stored under names that never change, so RENAME touches no data
 # and a column added under a dropped column's name does not bring old values back.
 
@@ -132,16 +140,35 @@ def col(name: str, of: str | None = None) -> Column:
     return F.col(f"{of}.{quoted}" if of else quoted)
 
 
-def checked_cast(value: Column, to: T.DataType, what: str) -> Column:
+def checked_cast(value: Column, to: T.DataType, what: str, old: T.DataType | None = None) -> Column:
     """The value in another type; one that does not fit fails the job, whatever ``spark.sql.ansi.enabled`` says.
 
+    With the type it had, a value that would lose a part fails too: digits after the point,
+    digits of a number, the time of a day. Without, values are assigned as SQL does it.
     Arrays, maps and structs are cast as Spark does it.
     """
     if isinstance(to, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.NullType)):
         return value.cast(to)
     fits = value.try_cast(to)
     message = F.concat(F.lit(f"{what}: not a {to.simpleString()}: "), value.cast("string"))
-    return F.when(value.isNotNull() & fits.isNull(), F.raise_error(message)).otherwise(fits)
+    bad = value.isNotNull() & fits.isNull()
+    if old is not None and old != to:
+        bad = bad | _cut(value, fits, old, to)
+    return F.when(bad, F.raise_error(message)).otherwise(fits)
+
+
+_WHOLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _cut(value: Column, fits: Column, old: T.DataType, to: T.DataType) -> Column:
+    """Whether the value has lost a part: cast back it is another one."""
+    if isinstance(old, (T.StringType, T.CharType, T.VarcharType)):
+        # A text says its value in many ways: it is held against the widest type of the kind.
+        widest = {T.DecimalType: "decimal(38,18)", T.DateType: "timestamp_ntz"}.get(type(to))
+        return F.coalesce(value.try_cast(widest) != fits.cast(widest), F.lit(False)) if widest else F.lit(False)
+    if isinstance(old, _WHOLE) and isinstance(to, _WHOLE):
+        return value.isNotNull() & ~fits.try_cast(old).eqNullSafe(value)
+    return F.lit(False)
 
 
 def to_stored(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -149,7 +176,7 @@ def to_stored(df: DataFrame, schema: T.StructType) -> DataFrame:
     have = {f.name: f.dataType for f in df.schema}
     return df.select(
         [
-            (col(f.name) if have[f.name] == f.dataType else checked_cast(col(f.name), f.dataType, f.name)).alias(
+            (col(f.name) if have[f.name] == f.dataType else checked_cast(col(f.name), f.dataType, f.name, have[f.name])).alias(
                 stored_name(f)
             )
             for f in schema
