@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import in_batches, staged
-from .words import NOT_SPACE, gram_starts, sequence_hashes, slices, split
+from .words import NOT_SPACE, document_hashes, gram_starts, sequence_hashes, slices, split
 
 SHINGLE = 4
 SIMILARITY = 80  # in hundredths
@@ -79,7 +79,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
         new = np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]
         value, doc = value[new], doc[new]
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    return value, first, sequence_hashes(hashes, low, high, 8), sequence_hashes(hashes, low, high, 9)
+    return value, first, document_hashes(hashes, words.first, 8), document_hashes(hashes, words.first, 9)
 
 
 def compressed(least: np.ndarray) -> np.ndarray:

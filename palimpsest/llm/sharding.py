@@ -1,14 +1,15 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
-A document's virtual slot is a hash of its doc_id and never changes. Which shard a slot
+A document's virtual slot is a hash of its doc_id and text and never changes. Which shard a slot
 belongs to is in a map, kept as a table with one folder per version; rebalancing makes
 the next version by editing the one before: slots move until the bytes of all shards
 are near equal. A map has as many rows as there are slots (a parameter), whatever the
 number of documents, so it is edited on the driver and broadcast.
 
 Defined cases: a NULL text counts as no bytes plus 1 and has no CRC; documents with the
-same doc_id, repeated rows too, share a slot and so a shard; a NULL doc_id hashes like
-any other; an empty table gives no rows; other columns are not looked at.
+same doc_id go by their texts; rows equal in doc_id and text are dealt to slots by their
+places in the table, so that shards are near equal whatever is repeated; a NULL doc_id
+hashes like any other; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +29,21 @@ MAP_SCHEMA = "virtual_slot int, shard int"
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of every document."""
-    return docs.select(
+    """doc_id, size, text_crc32 and virtual_slot of every document; a written table."""
+    record = ["doc_id", "size", "text_crc32"]
+    rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.monotonically_increasing_id().alias("place"),
     )
+    rows = staged(rows, "records")
+    repeated = rows.groupBy(*record).count().where("count > 1").select(*[F.col(c).alias(f"same_{c}") for c in record])
+    same = [F.col(c).eqNullSafe(F.col(f"same_{c}")) for c in record]
+    # One of equal rows is as good as another, so they can be told apart by their places.
+    salt = F.when(F.col("same_size").isNotNull(), F.col("place")).otherwise(F.lit(0))
+    slot = F.pmod(F.xxhash64(*record, salt), F.lit(slots)).cast("int").alias("virtual_slot")
+    return staged(rows.join(repeated, same, "left").select(*record, slot), "slots")
 
 
 def rebalanced(current: Sequence[int], sizes: Sequence[int], shards: int) -> list[int]:
@@ -123,23 +133,49 @@ def load_map(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(f"{root}/version={version}")
 
 
+def newest_map(spark: SparkSession, root: str) -> int:
+    """The number of the newest version of the map, 0 where there is none. Lists the folder, runs no job."""
+    try:
+        files = spark.read.schema(MAP_SCHEMA).parquet(f"{root}/version=*").inputFiles()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    return max((int(f.rsplit("/version=", 1)[1].split("/")[0]) for f in files), default=0)
+
+
+def edited_map(current: Sequence[int], sizes: Sequence[int], shards: int) -> list[int]:
+    """The map for this many shards: new ones are filled from the others, those that go give their slots to the rest, and all are rebalanced."""
+    owner, n = [s % shards for s in current], max(current, default=0) + 1
+    for more in range(n, shards):
+        owner = grown_map(owner, sizes, more)
+    return rebalanced(owner, sizes, shards)
+
+
 def assign(docs: DataFrame, *, shards: int = SHARDS, slots: int = SLOTS, root: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot and map_version of every document.
 
     ``slot`` counts the rows of a shard from 0 without gaps: the rows of the slots
-    before, plus the place in the slot. The law is `bytes`: sizes near equal.
+    before, plus the place in the slot. The law is `bytes`: sizes near equal. Where ``root``
+    holds a map, its newest version is edited and the next one stored; else the first is made.
     """
     spark = docs.sparkSession
     root = root or shared_folder(spark, "shard-map")
-    rows = staged(slotted(docs, slots), "slots")
+    rows = slotted(docs, slots)
     loads = rows.groupBy("virtual_slot").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
     sizes, counts = [0] * slots, [0] * slots
     for r in loads:  # at most one row per slot
         sizes[r["virtual_slot"]], counts[r["virtual_slot"]] = r["size"], r["rows"]
-    store_map(spark, root, 1, first_map(slots, shards))
-    current = [r["shard"] for r in load_map(spark, root, 1).orderBy("virtual_slot").collect()]
-    store_map(spark, root, 2, rebalanced(current, sizes, shards))
-    owner = {r["virtual_slot"]: r["shard"] for r in load_map(spark, root, 2).collect()}
+    version = newest_map(spark, root)
+    if version == 0:
+        version = 1
+        store_map(spark, root, version, first_map(slots, shards))
+    current = [r["shard"] for r in load_map(spark, root, version).orderBy("virtual_slot").collect()]
+    if len(current) != slots:
+        raise ValueError(f"the map at {root} has {len(current)} slots, not {slots}; their number is fixed")
+    version += 1
+    store_map(spark, root, version, edited_map(current, sizes, shards))
+    owner = {r["virtual_slot"]: r["shard"] for r in load_map(spark, root, version).collect()}
 
     places, filled = [], [0] * shards
     for slot in range(slots):
@@ -159,6 +195,6 @@ def assign(docs: DataFrame, *, shards: int = SHARDS, slots: int = SLOTS, root: s
             (F.col("first_row") + F.col("nth") - 1).alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
             "virtual_slot",
-            F.lit(2).alias("map_version"),
+            F.lit(version).alias("map_version"),
         )
     )

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import in_batches, staged
-from .words import NOT_SPACE, Words, gram_starts, sequence_hashes, slices, split
+from .words import NOT_SPACE, Words, document_hashes, gram_starts, sequence_hashes, slices, split
 
 WINDOW = 35
 #: Paths of a subtree that is built in one piece; a prefix with more of them is made longer.
@@ -47,7 +47,7 @@ TASK_PATHS = 1 << 21
 
 NOTHING_KEPT = hashlib.sha256(b"").hexdigest()
 
-TEXT_SCHEMA = "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, sha256 string, anchors array<bigint>"
+TEXT_SCHEMA = "doc_id bigint, text_hash bigint, k1 bigint, k2 bigint, n_words bigint, sha256 string, anchors array<bigint>"
 SUFFIX_SCHEMA = "k1 bigint, k2 bigint, start array<int>, p array<int>, q array<int>, r array<bigint>"
 CUT_SCHEMA = "k1 bigint, k2 bigint, n_removed bigint, kept_sha256 string"
 
@@ -86,10 +86,9 @@ def window_anchors(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[
 
 
 def _text_keys(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low, high = words.first[:-1], words.first[1:]
     return (
-        sequence_hashes(hashes, low, high, 1).view(np.int64),
-        sequence_hashes(hashes, low, high, 2).view(np.int64),
+        document_hashes(hashes, words.first, 1).view(np.int64),
+        document_hashes(hashes, words.first, 2).view(np.int64),
     )
 
 
@@ -116,6 +115,7 @@ def texts(docs: DataFrame, window: int) -> DataFrame:
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
+                    "text_hash": part.column("text_hash"),
                     "k1": pa.array(k1),
                     "k2": pa.array(k2),
                     "n_words": pa.array(words.count, pa.int64()),
@@ -126,7 +126,7 @@ def texts(docs: DataFrame, window: int) -> DataFrame:
                 }
             )
 
-    return in_batches(docs.select("doc_id", "text"), scan, TEXT_SCHEMA)
+    return in_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), scan, TEXT_SCHEMA)
 
 
 def suffixes(candidates: DataFrame, window: int) -> DataFrame:
@@ -227,24 +227,29 @@ def remove_repeats(
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
     key = ["k1", "k2"]
     rows = staged(texts(docs, window), "texts")
+    # Rows may share a doc_id, so it takes the hash of the text too to name one of them.
+    one, name = F.min(F.struct("doc_id", "text_hash")), ("one_of", "one_text")
     classes = rows.groupBy(*key).agg(
-        F.min("doc_id").alias("one_of"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words")
+        one.alias("one"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words")
     )
+    classes = classes.select(*key, *[F.col("one")[i].alias(n) for i, n in zip(("doc_id", "text_hash"), name, strict=True)], "copies", "n_words")
     classes = staged(classes.where(F.col("n_words") >= window), "classes")
-    one_each = rows.select("doc_id", *key, "anchors").join(
-        classes.select(*key, "one_of", "copies"), [*(rows[k] == classes[k] for k in key), rows["doc_id"].eqNullSafe(classes["one_of"])]
-    ).select("doc_id", rows["k1"], rows["k2"], "copies", F.explode("anchors").alias("anchor"))
+    same = [*(rows[k] == classes[k] for k in key), rows["doc_id"].eqNullSafe(classes["one_of"]), rows["text_hash"] == classes["one_text"]]
+    one_each = rows.select("doc_id", "text_hash", *key, "anchors").join(classes.select(*key, *name, "copies"), same).select(
+        "doc_id", "text_hash", rows["k1"], rows["k2"], "copies", F.explode("anchors").alias("anchor")
+    )
     one_each = staged(one_each, "anchors")
     # A table of its own, so that the join below has two plain sides and a hot anchor can be split.
     repeated = staged(one_each.groupBy("anchor").count().where("count > 1").select("anchor"), "repeated")
     wanted = (
         one_each.join(repeated, "anchor", "left_semi")
-        .groupBy("doc_id", *key, "copies")
+        .groupBy("doc_id", "text_hash", *key, "copies")
         .agg(F.collect_set("anchor").alias("anchors"))
     )
     # Rows of the same doc_id and other words are told apart by the keys of their words.
-    text = docs.select(F.col("doc_id").alias("id"), "text")
-    candidates = wanted.join(text, wanted["doc_id"].eqNullSafe(text["id"])).select(*key, "copies", "anchors", "text")
+    text = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    named = (wanted["text_hash"] == text["hash"]) & wanted["doc_id"].eqNullSafe(text["id"])
+    candidates = wanted.join(text, named).select(*key, "copies", "anchors", "text")
     candidates = staged(_of_these_words(candidates), "candidates")
 
     leaves = suffixes(candidates.select(*key, "anchors", "text"), window)

@@ -55,6 +55,9 @@ BLOCK = 4096
 #: Members whose numbers make one piece of text have numbers in one range of this size.
 MEMBERS = 1 << 16
 
+#: Rows, some 100 bytes each, of a table that joins may send to all tasks; larger ones are shuffled.
+BROADCAST_ROWS = 1 << 18
+
 NO_MEMBERS = hashlib.sha256(b"").hexdigest()
 
 
@@ -127,6 +130,11 @@ def prefixes_of(rows: DataFrame) -> DataFrame:
     return staged(here.join(blocks, ["rep", "block"], "left").select("rep", "pos", h1, h2, total.alias("total")), "prefixes")
 
 
+def _side(table: DataFrame) -> DataFrame:
+    """A written table to look up in: its size decides how joins meet it, not what they find."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def fattest(low: str, high: str) -> Column:
     """The number in (low, high] that is divisible by the largest power of two."""
     return F.expr(f"{high} & shiftleft(-1L, length(bin({low} ^ {high})) - 1)")
@@ -252,7 +260,7 @@ def build(distinct: DataFrame, prefixes: DataFrame) -> DataFrame | None:
         if nodes is None:
             located = pending
         else:
-            located = locate(pending, nodes, prefixes, longest)
+            located = locate(pending, _side(nodes), prefixes, longest)
         nodes, pending = insert(nodes, located, prefixes)
         longest = pending.agg(F.max("length")).first()[0]
     return nodes
@@ -383,7 +391,7 @@ def trie(conversations: DataFrame, *, family: int = FAMILY, shared: int = SHARED
     )
     distinct = staged(distinct, "distinct")
     reps = distinct.select(F.col("rep").alias("conv_id"))
-    prefixes = prefixes_of(rows.join(reps, "conv_id", "left_semi").withColumnRenamed("conv_id", "rep"))
+    prefixes = _side(prefixes_of(rows.join(reps, "conv_id", "left_semi").withColumnRenamed("conv_id", "rep")))
     nodes = build(distinct, prefixes)
 
     root = members.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0")

@@ -7,6 +7,7 @@ never cut, and a text longer than a slice is a slice of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,35 +51,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64))
-
-
-#: Longest tables of powers that a process keeps.
-_KEPT_POWERS = 8 * SLICE_BYTES
-_powers: dict[int, np.ndarray] = {}
-
-
-def _powers_of(base: int, n: int) -> np.ndarray:
-    """The first powers of a base modulo 2^64, at least n."""
-    if len(_powers.get(base, ())) >= n:
-        return _powers[base]
-    out = np.full(1 << max(16, int(n).bit_length()), np.uint64(base))
-    out[0] = 1
-    np.multiply.accumulate(out, out=out)
-    if len(out) <= _KEPT_POWERS:
-        _powers[base] = out
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order."""
+    return mixed((a * _BASE) ^ (b * _STEP + _BASE))
+
+
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+
+
+def _byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of data[start:end] for each range, eight bytes after the other."""
+    length = ends - starts
+    out = mixed(length.astype(np.uint64) * _STEP)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        digest = hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    going, at = np.flatnonzero(length <= LONG_WORD), 0
+    while len(going):
+        left = np.minimum(length[going] - at, 8).astype(np.uint64)
+        some = left > 0
+        going, left = going[some], left[some]
+        eight = eights[starts[going] + at] & (~np.uint64(0) >> (np.uint64(64) - left * np.uint64(8)))
+        out[going] = _pair(out[going], eight)
+        at += 8
+        going = going[length[going] > at]
     return out
 
 
-def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    """A hash of values[start:end] for each range; equal ranges get equal hashes wherever they lie."""
-    n = len(values) + 1
-    up, down = _powers_of(int(base), n), _powers_of(pow(int(base), -1, 1 << 64), n)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
-
-
 @dataclass
 class Words:
     """The words of a slice: where each starts and ends in the bytes, and which words are whose."""
@@ -97,7 +99,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.count)
 
     def hashes(self) -> np.ndarray:
-        return _range_hashes(_BYTE_VALUE[self.data], self.start, self.end, _BASE)
+        """A hash of each word; of words of up to eight bytes no two have the same length and hash."""
+        return _byte_hashes(self.data, self.start, self.end)
 
     def bytes_of(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The kept words of each document joined by one space: bytes, and where each document's begin and end."""
@@ -139,9 +142,36 @@ def split(texts: pa.Array, word_bytes: np.ndarray, lower: bool) -> Words:
 
 
 def sequence_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A hash of the word sequence of each range of words. Different seeds give independent hashes."""
-    values = mixed(hashes + np.uint64((seed * int(_STEP)) % (1 << 64))) if seed else hashes
-    return _range_hashes(values, np.asarray(starts), np.asarray(ends), _STEP)
+    """A hash of the word sequence of each range of words, equal ones wherever they lie. Seeds give independent hashes.
+
+    Hashes of 1, 2, 4, ... words are made of pairs of those before; a range is the two of the
+    largest such size that cover it, and its length. Time grows with the logarithm of the
+    longest range; for whole documents there is ``document_hashes``.
+    """
+    starts, ends = np.asarray(starts), np.asarray(ends)
+    length = ends - starts
+    longest = int(length.max(initial=0))
+    out = mixed(np.full(len(length), np.uint64((seed + 1) * int(_STEP) % (1 << 64))))
+    level, size = mixed(hashes + np.uint64((seed * int(_STEP)) % (1 << 64))), 1
+    while size <= longest:
+        here = np.flatnonzero((length >= size) & (length < 2 * size))
+        if len(here):
+            two = _pair(level[starts[here]], level[ends[here] - size])
+            out[here] = mixed(two + length[here].astype(np.uint64) * _STEP)
+        if 2 * size <= longest:
+            level = _pair(level[:-size], level[size:])
+        size *= 2
+    return out
+
+
+def document_hashes(hashes: np.ndarray, first: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of all words of each document: the sum of what each word and its place give."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    place = (np.arange(len(hashes)) - first[:-1][doc]).astype(np.uint64)
+    each = _pair(hashes + np.uint64((seed + 1) * int(_BASE) % (1 << 64)), place)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(each, out=total[1:])
+    return mixed(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64) * _STEP)
 
 
 def gram_starts(first: np.ndarray, n: int) -> np.ndarray:

@@ -88,3 +88,12 @@ def test_the_search_starts_from_the_rarest_term():
     for word, n in (("common", 90), ("rare", 2), ("common2", 50)):
         df[phrases.terms[0, ["common", "rare", "common2"].index(word)]] = n
     assert d.rarest_first(phrases, df)[0, :3].tolist() == [1, 2, 0]
+
+
+def test_patterned_words_are_no_hit(spark):
+    from .test_words import two_patterns
+
+    one, other = ("".join(x) for x in two_patterns())
+    items = spark.createDataFrame([("x", one)], "item_id string, text string")
+    found = {r["doc_id"]: r["n_hit"] for r in d.decontaminate(documents(spark, [(1, one), (2, other)]), items).collect()}
+    assert found == {1: 1, 2: 0}

@@ -50,3 +50,28 @@ def test_rebalancing_and_growing():
         assert all(a == b or b == 8 for a, b in zip(out, grown, strict=True))
         new = sum(s for s, o in zip(sizes, grown, strict=True) if o == 8)
         assert new <= sum(sizes) / 9 and (max(sizes) * 9 > sum(sizes) or new >= 0.8 * sum(sizes) / 9)
+
+
+def test_repeated_and_null_ids_are_balanced(spark):
+    rows = [(None, "x" * 100) for _ in range(1600)] + [(i, "y" * 100) for i in range(400)]
+    rows += [(7, f"{i} {'z' * 90}") for i in range(400)]
+    got = sharding.assign(documents(spark, rows)).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(load) == 8 and load.max() - load.min() <= 0.01 * load.mean()
+    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
+
+
+def test_a_stored_map_is_edited_again(spark, root):
+    docs = documents(spark, [(i, "w" * (i % 50)) for i in range(3000)])
+    more = docs.unionByName(documents(spark, [(i, "w" * (i % 70)) for i in range(3000, 4000)]))
+    assert {r["map_version"] for r in sharding.assign(docs, root=root).collect()} == {2}
+    got = sharding.assign(more, root=root).toPandas()
+    assert set(got["map_version"]) == {3} and sharding.newest_map(spark, root) == 3
+    load = got.groupby("shard")["size"].sum()
+    assert load.max() - load.min() <= 0.01 * load.mean()
+    two, three = ([r["shard"] for r in sharding.load_map(spark, root, v).orderBy("virtual_slot").collect()] for v in (2, 3))
+    assert 0 < sum(a != b for a, b in zip(two, three, strict=True)) < 0.3 * len(two)
+    grown = sharding.assign(more, root=root, shards=9).toPandas()
+    assert set(grown["map_version"]) == {4} and set(grown["shard"]) == set(range(9))
+    fewer = sharding.assign(more, root=root, shards=3).toPandas()
+    assert set(fewer["shard"]) == set(range(3))

@@ -37,3 +37,19 @@ def test_brute_force(spark, window, group_paths):
 
 def test_empty_table(spark):
     assert got(substrings.remove_repeats(documents(spark, []))) == []
+
+
+def test_patterned_words_are_no_repeat(spark):
+    from .test_words import two_patterns
+
+    one, other = ("".join(x) for x in two_patterns())
+    rest = words(40, 1)
+    docs = documents(spark, [(1, " ".join([*rest[:20], one, *rest[20:]])), (2, " ".join([*rest[:20], other, *rest[20:]]))])
+    assert [(r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(docs).collect()] == [(41, 0)] * 2
+
+
+def test_rows_that_share_a_doc_id_are_joined_by_their_text(spark):
+    shared = words(40, 2)
+    rows = [(None, " ".join([*(f"own{i}x{j}" for j in range(10)), *shared])) for i in range(150)]
+    found = substrings.remove_repeats(documents(spark, rows))
+    assert {(r["n_words"], r["n_removed"]) for r in found.collect()} == {(50, 40)} and found.count() == 150

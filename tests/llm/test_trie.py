@@ -98,6 +98,7 @@ def test_blocks_of_a_long_conversation(spark, monkeypatch):
     """Pieces smaller than the data, so that ranks, hashes, edges and digests are put together from several."""
     monkeypatch.setattr(trie, "BLOCK", 7)
     monkeypatch.setattr(trie, "MEMBERS", 16)
+    monkeypatch.setattr(trie, "BROADCAST_ROWS", 0)
     rows = [(500, t, "user", f"{t % 11}") for t in range(90)] + [(500 + c, t, "user", f"{t % 11}") for c in range(1, 60) for t in range(40 + c % 5)]
     df = conversations(spark, rows).repartition(8)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
