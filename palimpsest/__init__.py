@@ -5,9 +5,11 @@ from .functions.rows import deleted, insert_row, remove_row, set_columns, update
 from .operators.change import delete, update
 from .operators.columns import add_column, drop_column, rename_column, widen_column
 from .operators.merge import RepeatedSourceKey, merge
+from .operators.merge_where import merge_where
 from .operators.metadata import files, history, register_metadata_views, snapshots
 from .operators.write import append, create_or_replace
 from .plans.batch import BatchResult, Checks, Delete, Update, run_batch, run_steps
+from .plans.statements import UnknownStatement, run_sql
 from .sources.catalog import create_namespace, list_catalogs, list_tables, register_views, sql
 from .sources.data import read
 from .sources.log import ConcurrentWrite, UnknownTable, UnknownVersion
@@ -22,6 +24,7 @@ __all__ = [
     "Delete",
     "RepeatedSourceKey",
     "Table",
+    "UnknownStatement",
     "UnknownTable",
     "UnknownVersion",
     "Update",
@@ -39,6 +42,7 @@ __all__ = [
     "list_catalogs",
     "list_tables",
     "merge",
+    "merge_where",
     "read",
     "read_raw",
     "register_metadata_views",
@@ -47,6 +51,7 @@ __all__ = [
     "rename_column",
     "repeated_keys",
     "run_batch",
+    "run_sql",
     "run_steps",
     "set_columns",
     "snapshots",

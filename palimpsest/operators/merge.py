@@ -44,23 +44,17 @@ def merge(
     before = version_at(table)
     schema = plain_schema(before.schema)
     pairs = _pairs(on, schema, source)
-    _require_actions("matched", matched, {"update", "delete"})
-    _require_actions("not_matched", not_matched, {"insert"})
-    _require_actions("not_matched_by_source", not_matched_by_source, {"update", "delete"})
-    if any(c.action == "update" and c.values is None for c in not_matched_by_source):
-        raise ValueError("not_matched_by_source has no source row to take values from; give the values")
-    if not (matched or not_matched or not_matched_by_source):
-        raise ValueError("a merge needs a clause")
+    require_clauses(matched, not_matched, not_matched_by_source)
 
     write_id = new_write_id(before.number + 1)
     keys = [f"k{i}" for i in range(len(pairs))]
-    source = _stage(table, source, write_id, "source")
+    source = stage(table, source, write_id, "source")
     source_keys = source.select([col(s).alias(k) for (_, s), k in zip(pairs, keys, strict=True)])
     source_keys = source_keys.where(_all([F.col(k).isNotNull() for k in keys]))  # NaN is a key like any other
     facts = _facts(source, pairs)
     limit = _broadcast_limit(table)
     repeated = facts["most"] > 1
-    once = _stage(table, source_keys.distinct(), write_id, "keys") if repeated else source_keys
+    once = stage(table, source_keys.distinct(), write_id, "keys") if repeated else source_keys
     # Source rows of one key may differ where it does not matter which of them is meant.
     choice = repeated and bool(matched) and (matched[0].action != "delete" or matched[0].condition is not None)
 
@@ -74,7 +68,7 @@ def merge(
     if small_keys and find_keys:
         # One pass over the target's keys gives both the keys and the files hit.
         hits = target_keys.join(wanted, keys, "left_semi")
-        hits = _stage(table, hits.groupBy(*keys, PATH).count(), write_id, "hits")
+        hits = stage(table, hits.groupBy(*keys, PATH).count(), write_id, "hits")
         hit_keys = hits.select(keys).distinct()
         if always:
             found.append(hits.select(PATH))
@@ -84,17 +78,17 @@ def merge(
         if find_keys:
             # One row per key and task before the shuffle, however many rows share the key.
             only_keys = _target_keys(table, before, pairs, source_keys, facts, path_as=None)
-            hit_keys = _stage(table, only_keys.distinct().join(once, keys, "left_semi"), write_id, "hits")
+            hit_keys = stage(table, only_keys.distinct().join(once, keys, "left_semi"), write_id, "hits")
     if matched and not always:
         # Every clause has a condition: only files count that hold a row for which one is TRUE.
         rows = _in_range(scan(table, before, PATH), pairs, source_keys, facts).alias("t")
         other = F.broadcast(source) if facts["row_bytes"] <= limit else source
-        applies = _equal([(col(t, of="t"), col(s, of="s")) for t, s in pairs]) & _any_true(matched)
+        applies = _equal([(col(t, of="t"), col(s, of="s")) for t, s in pairs]) & any_true(matched)
         found.append(rows.join(other.alias("s"), applies, "left_semi").select(F.col(f"t.{PATH}").alias(PATH)))
     if not_matched_by_source:
         rows = scan(table, before, PATH).alias("t")
         same = _equal([(col(t, of="t"), F.col(f"k.{k}")) for (t, _), k in zip(pairs, keys, strict=True)])
-        rows = rows.join(wanted.alias("k"), same, "left_anti").where(_any_true(not_matched_by_source))
+        rows = rows.join(wanted.alias("k"), same, "left_anti").where(any_true(not_matched_by_source))
         found.append(rows.select(F.col(f"t.{PATH}").alias(PATH)))
     touched = None
     if found:
@@ -104,7 +98,7 @@ def merge(
     matching = once.toDF(*[s for _, s in pairs]) if repeated else source
     if choice:
         _require_single_matches(source_keys, hit_keys)
-        matching = _stage(table, _on_hits(source, pairs, hit_keys, "left_semi"), write_id, "matching")
+        matching = stage(table, _on_hits(source, pairs, hit_keys, "left_semi"), write_id, "matching")
 
     if touched is not None:
         again = paths(table, touching(files, touched), F.col("matched").isNotNull())
@@ -152,6 +146,18 @@ def _pairs(on, schema: T.StructType, source: DataFrame) -> list[tuple[str, str]]
     return pairs
 
 
+def require_clauses(
+    matched: Sequence[Clause], not_matched: Sequence[Clause], not_matched_by_source: Sequence[Clause]
+) -> None:
+    _require_actions("matched", matched, {"update", "delete"})
+    _require_actions("not_matched", not_matched, {"insert"})
+    _require_actions("not_matched_by_source", not_matched_by_source, {"update", "delete"})
+    if any(c.action == "update" and c.values is None for c in not_matched_by_source):
+        raise ValueError("not_matched_by_source has no source row to take values from; give the values")
+    if not (matched or not_matched or not_matched_by_source):
+        raise ValueError("a merge needs a clause")
+
+
 def _require_actions(kind: str, clauses: Sequence[Clause], allowed: set[str]) -> None:
     if any(c.condition is None for c in clauses[:-1]):
         raise ValueError(f"only the last clause of {kind} can go without a condition")
@@ -171,7 +177,7 @@ def _equal(pairs: Sequence[tuple[Column, Column]]) -> Column:
     return _all([a == b for a, b in pairs])
 
 
-def _stage(table: Table, df: DataFrame, write_id: str, what: str) -> DataFrame:
+def stage(table: Table, df: DataFrame, write_id: str, what: str) -> DataFrame:
     """Write once what several jobs read, so that all of them see the same rows."""
     at = table.staging_dir(write_id, what)
     untyped = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
@@ -262,7 +268,7 @@ def _in_range(rows: DataFrame, pairs: Sequence[tuple[str, str]], source_keys: Da
     return rows
 
 
-def _any_true(clauses: Sequence[Clause]) -> Column:
+def any_true(clauses: Sequence[Clause]) -> Column:
     """Whether one of the clauses applies."""
     out = F.lit(False)
     for c in clauses:

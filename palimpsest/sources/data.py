@@ -19,15 +19,20 @@ FORMATS = ("parquet", "orc")
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
-def load(table: Table, version: Version, from_paths: list[str], path_as: str | None = None) -> DataFrame:
+def load(
+    table: Table, version: Version, from_paths: list[str], path_as: str | None = None, row_as: str | None = None
+) -> DataFrame:
     """The rows under the given paths, with the columns of a version.
 
-    ``path_as`` names an extra column for the data file each row is in.
+    ``path_as`` names an extra column for the data file each row is in, ``row_as`` one for
+    its number in the file, which only Parquet files have.
     """
     if not from_paths:
         names = version.columns
         if path_as:
             names = T.StructType([*names, T.StructField(path_as, T.StringType())])
+        if row_as:
+            names = T.StructType([*names, T.StructField(row_as, T.LongType())])
         return table.spark.createDataFrame([], names)
     rows = (
         table.spark.read.format(version.format)
@@ -41,6 +46,8 @@ def load(table: Table, version: Version, from_paths: list[str], path_as: str | N
     out = [col(stored_name(f)).alias(f.name) for f in version.schema]
     if path_as:
         out.append(F.col("_metadata.file_path").alias(path_as))
+    if row_as:
+        out.append(F.col("_metadata.row_index").alias(row_as))
     return rows.select(out)
 
 

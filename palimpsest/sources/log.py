@@ -105,6 +105,15 @@ def version_at(table: Table, number: int | None = None) -> Version:
     )
 
 
+def version_before(table: Table, moment: Column) -> int:
+    """The version that was current at a moment: the last one committed until then."""
+    rows = log_rows(table)
+    found = None if rows is None else rows.where(F.col("committed_at") <= moment.cast("timestamp")).agg(F.max("version")).first()[0]
+    if found is None:
+        raise UnknownVersion(f"{table.path} had no version at that time")
+    return found
+
+
 def commit(
     table: Table,
     summary: dict[str, int],

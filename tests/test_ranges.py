@@ -1,0 +1,154 @@
+"""Bounds of columns per data file, and the order of rows that makes them narrow."""
+
+import datetime
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest import create_or_replace, delete, files, merge, read, rename_column, set_columns, update
+from palimpsest.functions.curve import cuts, interleaved, rank
+from palimpsest.sources.data import may_hold
+from palimpsest.sources.files import listed
+from palimpsest.sources.log import version_at
+
+from .conftest import rows
+
+SCHEMA = "k bigint, x double, s string, d date, m timestamp, b boolean, c decimal(10,2)"
+
+
+def some(i):
+    day = datetime.date(2024, 1, 1) + datetime.timedelta(days=i)
+    when = datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i, microseconds=i)
+    return (i, float(i) if i % 7 else math.nan, f"n{i:04d}" + "y" * (i % 3 * 40), day, when, i % 2 == 0, None)
+
+
+@pytest.fixture
+def ranged(spark, table):
+    data = [some(i) for i in range(400)] + [(None,) * 7] * 20
+    df = spark.createDataFrame(data, SCHEMA).repartitionByRange(10, "k")
+    create_or_replace(df, table, ranges=["k", "x", "s", "d", "m", "b", "c"])
+    return table
+
+
+CONDITIONS = [
+    "k = 17",
+    "17 < k AND k <= 23",
+    "k IN (3, 390) OR s = 'n0200'",
+    "k BETWEEN 100 AND 120 AND b",
+    "s LIKE 'n01%'",
+    "s > 'n039'",
+    "d = DATE'2024-02-01'",
+    "m >= TIMESTAMP'2024-01-01 00:05:00.0003'",
+    "m < TIMESTAMP_NTZ'2024-01-01 00:00:03'",
+    "x > 395",
+    "x = double('NaN') AND k < 50",
+    "k IS NULL",
+    "k <=> NULL",
+    "c IS NOT NULL",
+    "NOT (k > 5)",
+    "k = NULL",
+    "k % 100 = 3",
+    "k > 1 + 380",
+    "b = false AND k < 2",
+]
+
+
+@pytest.mark.parametrize("condition", CONDITIONS)
+def test_reads_find_what_is_there(ranged, condition):
+    # As text, in which NaN equals NaN.
+    assert repr(rows(read(ranged, where=condition))) == repr(rows(read(ranged).where(condition)))
+
+
+def opened(table, condition):
+    at = version_at(table)
+    return listed(table, at).where("NOT dead").where(may_hold(table, at, F.expr(condition))).count()
+
+
+def test_files_are_left_out(ranged):
+    n = files(ranged).count()
+    assert n >= 10
+    for condition in ("k = 17", "s = 'n0200'", "d = DATE'2024-02-01'", "x > 398.5 AND x < 400", "k IN (5, 6)", "s LIKE 'n0001%'"):
+        # NaN is above all numbers, and long texts have no upper bound.
+        assert opened(ranged, condition) <= (n if "x" in condition else 4), condition
+    assert opened(ranged, "k = 17") == 1 and opened(ranged, "k = 100000") == 0 and opened(ranged, "c IS NOT NULL") == 0
+    assert opened(ranged, "k = 17 OR k = 399") == 2 and opened(ranged, "k % 2 = 0") == n
+
+
+def test_bounds_are_shown_and_follow_the_columns(ranged):
+    whole = files(ranged).select("record_count", F.col("bounds")["k"].alias("k")).collect()
+    assert sum(r["record_count"] for r in whole) == 420 and sum(r["k"]["nulls"] for r in whole) == 20
+    assert min(int(r["k"]["low"]) for r in whole if r["k"]["low"]) == 0
+    rename_column(ranged, "k", "number")
+    assert opened(ranged, "number = 17") == 1
+    assert "number" in files(ranged).first()["bounds"]
+
+
+def test_changes_open_files_in_range_only(ranged):
+    before = {r["file_path"] for r in files(ranged).collect()}
+    update(ranged, "k = 17", {"x": 1.0})
+    delete(ranged, "k BETWEEN 300 AND 310")
+    after = {r["file_path"] for r in files(ranged).collect()}
+    assert len(before - after) <= 3
+    assert opened(ranged, "k = 17") == 1  # files that changes write have bounds too
+    source = read(ranged, where="k < 20").withColumn("s", F.lit("merged"))
+    merge(ranged, source, "k", matched=[set_columns()])
+    assert read(ranged, where="s = 'merged'").count() == 20
+    assert read(ranged, where="k BETWEEN 295 AND 315").count() == 10
+
+
+def test_an_update_reads_only_the_files_in_range(ranged, monkeypatch):
+    seen = []
+    import palimpsest.operators.change as change
+
+    whole = change.load
+    monkeypatch.setattr(change, "load", lambda t, v, p, *a: seen.append(list(p)) or whole(t, v, p, *a))
+    update(ranged, "k = 17", {"x": 1.0})
+    assert [len(p) for p in seen] == [1, 1]
+
+
+def test_without_ranges_nothing_is_kept(spark, table):
+    create_or_replace(spark.range(10), table)
+    assert files(table).first()["bounds"] is None
+    assert rows(read(table, where="id = 3")) == [(3,)]
+    with pytest.raises(ValueError, match="partitions"):
+        create_or_replace(spark.range(10).withColumn("p", F.col("id") % 2), table, partition_by=["p"], ranges=["p"])
+
+
+def test_along_a_curve_either_column_leaves_out_files(spark, table):
+    df = spark.range(0, 40_000, 1, 8).select(
+        F.pmod(F.xxhash64("id"), F.lit(10_000)).alias("a"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000)).cast("string").alias("b"), "id"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        create_or_replace(df, table, zorder=["a", "b"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n = files(table).count()
+    assert n >= 60 and rows(read(table)) == rows(df)
+    for condition in ("a BETWEEN 5000 AND 5100", "b = '77'"):
+        assert 0 < opened(table, condition) < n / 3
+        assert rows(read(table, where=condition)) == rows(df.where(condition))
+
+
+def test_curve_of_odd_values(spark, table):
+    df = spark.createDataFrame([(None, None)] * 50 + [(math.nan, "é")] * 50 + [(float(i % 3), "") for i in range(100)], "a double, b string")
+    create_or_replace(df, table, zorder=["a", "b"])
+    assert read(table).count() == 200
+    create_or_replace(df.limit(0), table, zorder=["a"])
+    assert read(table).count() == 0
+    with pytest.raises(ValueError, match="columns"):
+        create_or_replace(spark.range(3).select(*[F.col("id").alias(f"c{i}") for i in range(9)]), table, zorder=[f"c{i}" for i in range(8)])
+
+
+def test_ranks_and_interleaving(spark):
+    df = spark.range(1000).select((F.col("id") % 100).alias("v"))
+    at = cuts(df, ["v"], bits=3)["v"]
+    got = df.select("v", rank(F.col("v"), at).alias("r")).distinct().collect()
+    assert all(r["r"] == sum(c < r["v"] for c in at) for r in got) and len(at) == 7
+    out = spark.range(64).select("id", interleaved([F.col("id") % 8, F.floor(F.col("id") / 8)], bits=3).alias("z")).collect()
+    for r in out:
+        a, b = r["id"] % 8, r["id"] // 8
+        assert r["z"] == sum(((a >> i & 1) << (2 * i + 1)) | ((b >> i & 1) << (2 * i)) for i in range(3))
