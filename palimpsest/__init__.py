@@ -3,12 +3,15 @@
 from .functions.checks import CheckFailed, count_rows, repeated_keys, validate
 from .functions.rows import deleted, insert_row, remove_row, set_columns, updated
 from .operators.change import delete, update
+from .operators.changes import changes_between
 from .operators.columns import add_column, drop_column, rename_column, widen_column
+from .operators.compact import compact
 from .operators.merge import RepeatedSourceKey, merge
 from .operators.merge_where import merge_where
 from .operators.metadata import files, history, register_metadata_views, snapshots
 from .operators.write import append, create_or_replace
 from .plans.batch import BatchResult, Checks, Delete, Update, run_batch, run_steps
+from .plans.ingest import ChangedFile, ingest, taken_files
 from .plans.statements import UnknownStatement, run_sql
 from .sources.catalog import create_namespace, list_catalogs, list_tables, register_views, sql
 from .sources.data import read
@@ -18,6 +21,7 @@ from .sources.table import Table
 
 __all__ = [
     "BatchResult",
+    "ChangedFile",
     "CheckFailed",
     "Checks",
     "ConcurrentWrite",
@@ -30,6 +34,8 @@ __all__ = [
     "Update",
     "add_column",
     "append",
+    "changes_between",
+    "compact",
     "count_rows",
     "create_namespace",
     "create_or_replace",
@@ -38,6 +44,7 @@ __all__ = [
     "drop_column",
     "files",
     "history",
+    "ingest",
     "insert_row",
     "list_catalogs",
     "list_tables",
@@ -56,6 +63,7 @@ __all__ = [
     "set_columns",
     "snapshots",
     "sql",
+    "taken_files",
     "update",
     "updated",
     "validate",

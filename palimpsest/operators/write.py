@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +25,15 @@ def create_or_replace(
     cluster: bool = True,
     ranges: Sequence[str] = (),
     zorder: Sequence[str] = (),
+    before_commit: Callable[[str], None] | None = None,
 ) -> int:
     """Make the table hold these rows and return the version that does.
 
     Of the columns in ``ranges`` the list keeps bounds and NULLs for each file, at the cost
     of reading them once more; reads and changes then leave out files that cannot hold a
     row they ask for. ``zorder`` lays rows out so that rows near in all of these columns
-    share files, and keeps their bounds too.
+    share files, and keeps their bounds too. ``before_commit`` is called with the id of the
+    write when its files are there and the version is not.
 
     Later changes of the table keep its format and compression.
     Earlier versions stay readable, but the new one has no parent. ``cluster=False``
@@ -68,6 +70,8 @@ def create_or_replace(
         partitioned_by=stored,
         compression=compression,
     )
+    if before_commit:
+        before_commit(write_id)
     return commit_files(
         table,
         write_id=write_id,
@@ -85,8 +89,10 @@ def create_or_replace(
     )
 
 
-def append(df: DataFrame, table: Table, *, cluster: bool = True) -> int:
-    """Add rows. Columns are taken by name; those the rows lack become NULL."""
+def append(
+    df: DataFrame, table: Table, *, cluster: bool = True, before_commit: Callable[[str], None] | None = None
+) -> int:
+    """Add rows. Columns are taken by name; those the rows lack become NULL. ``before_commit`` as in ``create_or_replace``."""
     before = version_at(table)
     have = {n.lower(): n for n in df.columns}
     extra = set(have) - {f.name.lower() for f in before.schema}
@@ -96,11 +102,18 @@ def append(df: DataFrame, table: Table, *, cluster: bool = True) -> int:
     rows = df.select([_column(have.get(f.name.lower()), f, types) for f in before.schema])
     if cluster:
         rows = clustered(rows, before.partition_columns)
-    return write_next(table, before, new_write_id(before.number + 1), "append", rows, listed(table, before))
+    write_id = new_write_id(before.number + 1)
+    return write_next(table, before, write_id, "append", rows, listed(table, before), before_commit)
 
 
 def write_next(
-    table: Table, before: Version, write_id: str, operation: str, rows: DataFrame | None, kept: DataFrame | None
+    table: Table,
+    before: Version,
+    write_id: str,
+    operation: str,
+    rows: DataFrame | None,
+    kept: DataFrame | None,
+    before_commit: Callable[[str], None] | None = None,
 ) -> int:
     """Write rows and commit them together with the files that stay, as the next version."""
     if rows is not None:
@@ -113,6 +126,8 @@ def write_next(
             partitioned_by=before.partitioned_by,
             compression=before.compression,
         )
+    if before_commit:
+        before_commit(write_id)
     return commit_files(
         table,
         write_id=write_id,

@@ -221,3 +221,45 @@ def test_validate(df):
     assert len(e.value.failures) == 6
     with pytest.raises(CheckFailed, match="no columns"):
         validate(df, not_null=["nothing"])
+
+
+@pytest.mark.parametrize(
+    "values, old, new",
+    [
+        ([1.7], "double", "int"),
+        ([3.0, 2.5], "double", "bigint"),
+        ([2**53 + 1], "bigint", "double"),
+        (["1.239"], "string", "decimal(10,2)"),
+        (["2024-05-01 13:00:00"], "string", "date"),
+        ([0.1], "double", "float"),
+    ],
+)
+def test_raw_values_lose_no_part(spark, root, values, old, new):
+    df = spark.createDataFrame([(v,) for v in values], f"x {old}")
+    df.write.parquet(f"{root}/raw")
+    with pytest.raises(Exception, match="x: not a"):
+        read_raw(spark, f"{root}/raw", f"x {new}").collect()
+    assert read_raw(spark, f"{root}/raw", f"x {new}", may_cut=["x"]).count() == len(values)
+    t = Table(spark, root, "datalake", "cut")
+    create_or_replace(spark.createDataFrame([], f"x {new}"), t)
+    with pytest.raises(Exception, match="x: not a"):
+        append(df, t)
+
+
+def test_raw_values_that_fit(spark, root):
+    row = (3.0, 5, "1.50", "2024-05-01", float("nan"), None)
+    df = spark.createDataFrame([row], "a double, b bigint, c string, d string, e double, f double")
+    df = df.withColumn("g", F.lit("2024-05-01 00:00:00").cast("timestamp"))
+    df.write.parquet(f"{root}/raw")
+    got = read_raw(spark, f"{root}/raw", "a int, b double, c decimal(10,1), d date, e float, f int, g date").first()
+    assert repr(got[0:4]) == "(3, 5.0, Decimal('1.5'), datetime.date(2024, 5, 1))"
+    assert got["e"] != got["e"] and got["f"] is None and str(got["g"]) == "2024-05-01"
+
+
+def test_csv_headers_comments_and_paths(spark, tmp_path):
+    folder = tmp_path / "my raw+50%"
+    folder.mkdir()
+    (folder / "a b.csv").write_text("# note, with a comma\nid,'the name'\n1,'x,y'\n")
+    (folder / "c+d.csv").write_text("'the name',id\n# between\nz,2\n")
+    got = read_raw(spark, str(folder), "id int, `the name` string", "csv", header="true", comment="#", quote="'")
+    assert rows(got) == [(1, "x,y"), (2, "z")]
