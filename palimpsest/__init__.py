@@ -9,6 +9,7 @@ from .operators.compact import compact
 from .operators.merge import RepeatedSourceKey, merge
 from .operators.merge_where import merge_where
 from .operators.metadata import files, history, register_metadata_views, snapshots
+from .operators.profile import UnknownProfile, drift, profile, store_profile, validate_drift
 from .operators.write import append, create_or_replace
 from .plans.batch import BatchResult, Checks, Delete, Update, run_batch, run_steps
 from .plans.ingest import ChangedFile, ingest, taken_files
@@ -28,6 +29,7 @@ __all__ = [
     "Delete",
     "RepeatedSourceKey",
     "Table",
+    "UnknownProfile",
     "UnknownStatement",
     "UnknownTable",
     "UnknownVersion",
@@ -41,6 +43,7 @@ __all__ = [
     "create_or_replace",
     "delete",
     "deleted",
+    "drift",
     "drop_column",
     "files",
     "history",
@@ -50,6 +53,7 @@ __all__ = [
     "list_tables",
     "merge",
     "merge_where",
+    "profile",
     "read",
     "read_raw",
     "register_metadata_views",
@@ -63,9 +67,11 @@ __all__ = [
     "set_columns",
     "snapshots",
     "sql",
+    "store_profile",
     "taken_files",
     "update",
     "updated",
     "validate",
+    "validate_drift",
     "widen_column",
 ]
