@@ -2,7 +2,7 @@
 
 import pytest
 
-from palimpsest import CheckFailed, Checks, Delete, Table, Update, read, run_batch, run_steps, snapshots
+from palimpsest import CheckFailed, Checks, Delete, Table, Update, history, read, run_batch, run_steps, snapshots, update
 from palimpsest.plans import daily
 
 from .conftest import SF, rows
@@ -64,3 +64,43 @@ def test_program(spark, root, tmp_path, capsys):
     assert rows(got) == sorted(((r[0], r[2], r[4]) for r in AFTER_DELETE), key=repr)
     assert daily.main([*arguments, "--expected-rows", "7"]) == 1
     assert "6 rows, not 7" in capsys.readouterr().err
+
+
+def resumable(spark, table, folder, changes, **more):
+    steps = {"changes": changes, "loaded": Checks(min_rows=3), "final": Checks(unique=["id"]), "resume": True, **more}
+    return run_batch(spark, "2024-05-01", folder, table, "id bigint, v double", **steps)
+
+
+@pytest.mark.parametrize("at", range(4))
+def test_a_failed_run_goes_on_where_it_failed(spark, table, root, at):
+    folder = f"{root}/raw"
+    spark.createDataFrame([(i, float(i)) for i in range(5)], "id bigint, v double").write.parquet(folder)
+    good = [Update("id = 1", {"v": 10.0}), Delete("id = 2"), Update("id = 3", {"v": 30.0})]
+    bad = {"loaded": Checks(min_rows=99)} if at == 3 else {}
+    broken = good if bad else [*good[:at], Delete("raise_error('not now') IS NULL"), *good[at + 1 :]]
+    with pytest.raises(Exception, match="not now|fewer than 99"):
+        resumable(spark, table, folder, broken, **bad)
+    failed_at = 1 if bad else 1 + at
+    assert history(table).count() == failed_at
+    result = resumable(spark, table, folder, good)
+    assert (result.first_version, result.last_version, result.loaded_rows, result.final_rows) == (1, 4, 5, 4)
+    assert sorted(tuple(r) for r in result.current.collect()) == [(0, 0.0), (1, 10.0), (3, 30.0), (4, 4.0)]
+    assert history(table).count() == 4  # nothing was done twice
+    again = resumable(spark, table, folder, good)
+    assert (again.last_version, again.final_rows, history(table).count()) == (4, 4, 4)
+
+
+def test_a_run_with_other_inputs_starts_over(spark, table, root):
+    folder = f"{root}/raw"
+    df = spark.createDataFrame([(i, float(i)) for i in range(5)], "id bigint, v double")
+    df.write.parquet(folder)
+    first = resumable(spark, table, folder, [Delete("id = 2")])
+    assert resumable(spark, table, folder, [Delete("id = 2")]).last_version == first.last_version == 2
+    other = resumable(spark, table, folder, [Delete("id = 4")])  # not on top of the delete that was
+    assert (other.first_version, other.last_version) == (3, 4) and other.current.count() == 4
+    update(table, "id = 1", {"v": 7.0})  # by someone else
+    anew = resumable(spark, table, folder, [Delete("id = 4")])
+    assert anew.first_version == 6 and anew.current.where("v = 7").count() == 0
+    df.where("id < 4").write.mode("append").parquet(folder)
+    with pytest.raises(CheckFailed, match="unique"):
+        resumable(spark, table, folder, [Delete("id = 4")])
