@@ -12,10 +12,14 @@ first one. Four registers are a band, 32 bands a document.
    the one that they were made from. Pairs whose Jaccard estimate, corrected for registers equal by
    chance, is more than 6 standard deviations below 0.8 are dropped, the others are
    confirmed on their full sets.
-3. Bands that still hold texts of two or more components are compared in full, in blocks of
-   a thousand texts: by estimate first, then by full sets, only between components, and a
-   pair only in the first band it shares; a block returns the links that join components,
-   not all pairs.
+3. Bands that still hold texts of two or more components are compared in full: by estimate
+   first, then by full sets, only between components, and a pair only in the first band it
+   shares; a block of texts returns the links that join components, not all pairs. That is
+   for bands of up to LIGHT texts. Many texts share a band by a passage that they have in
+   common; of those the full sets are ordered by the number of texts that have a shingle, and
+   only texts that share one of their n - 0.8 n + 1 rarest are compared, as two sets that
+   are similar by 0.8 must. Shingles of the passage are not among these, so texts with
+   words of their own meet nobody, and no square of them comes up.
 4. Components of all links give the classes.
 
 A pair with a similarity of 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -47,6 +51,8 @@ SIMILARITY = 80  # in hundredths
 REGISTERS = 128
 BAND = 4
 MANTISSA = 10
+#: Texts of a band that are compared with each other just so.
+LIGHT = 64
 #: Texts of a band that are compared with each other in one piece.
 BLOCK = 1024
 #: Mean size of the sets of a full block; larger ones make more blocks.
@@ -265,11 +271,11 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def _open_pairs(group: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+def _open_pairs(group: pa.Table, similarity: int, first_only: bool) -> tuple[np.ndarray, np.ndarray]:
     """Of a block, which of its rows are likely to be linked across components: a matrix's places.
 
-    Texts of different components share open bands only, so each pair is met in its first one,
-    or, where only the first part of the sketches is there, in the first of those and in later ones.
+    Texts of different components share open bands only, so with ``first_only`` each pair is met in its
+    first one, or, where only the first part of the sketches is there, in the first of those and in later ones.
     """
     registers = _registers(group.column("sketch").combine_chunks())
     bands = registers.view(np.uint64)
@@ -282,8 +288,9 @@ def _open_pairs(group: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarra
     for x in range(len(n) - 1):
         y = np.arange(x + 1, len(n))
         y = y[(label[y] != label[x]) & ((block[y] != block[x]) if crossing else True)]
-        earlier = (bands[y, :now] == bands[x, :now]) & (bands[x, :now] != _NO_BAND)
-        y = y[~earlier.any(axis=1)]
+        if first_only:
+            earlier = (bands[y, :now] == bands[x, :now]) & (bands[x, :now] != _NO_BAND)
+            y = y[~earlier.any(axis=1)]
         if len(y):
             y = y[may_link(registers[x][None, :], registers[y], np.full(len(y), n[x]), n[y], similarity)]
             left.append(np.full(len(y), x))
@@ -292,28 +299,74 @@ def _open_pairs(group: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
+def _open(named: DataFrame) -> DataFrame:
+    """Bands that hold texts of several components: how many texts, and of how many shingles together."""
+    held = named.groupBy("band").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.count(F.lit(1)).alias("held"),
+        F.sum("n_shingles").alias("size"),
+    )
+    return held.where("low <> high").select("band", "held", "size")
+
+
+def rarest(docs: DataFrame, ids: DataFrame, similarity: int) -> DataFrame:
+    """(band, doc_id, n_shingles): the rarest shingles of each set, of which two sets that alike share one.
+
+    Shingles that only one of these documents has come first and bring nobody together, so
+    they are counted, not kept.
+    """
+    sets = full_sets(docs, ids)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64)
+            ends = np.cumsum(batch.column("n_shingles").to_numpy())
+            columns = {c: batch.column(c) for c in ("doc_id", "n_shingles", "own")}
+            bands = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values))
+            yield pa.record_batch({**columns, "bands": bands})
+
+    # Documents may share an id, so a set goes by its content too.
+    rows = in_batches(sets.withColumn("own", F.xxhash64("shingles")), listed, "doc_id bigint, n_shingles bigint, own bigint, bands array<bigint>")
+    each = rows.select("doc_id", "n_shingles", "own", F.explode("bands").alias("band"))
+    shared = staged(each.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "shared")
+    met = each.join(shared, "band")
+    of_set = Window.partitionBy("doc_id", "own")
+    nth = F.row_number().over(of_set.orderBy("held", "band")) + F.col("n_shingles") - F.count(F.lit(1)).over(of_set)
+    needed = F.col("n_shingles") - F.ceil(F.col("n_shingles") * similarity / 100) + 1
+    return met.withColumn("nth", nth).where(F.col("nth") <= needed).select("band", "doc_id", "n_shingles")
+
+
 def _rest(
     bands: DataFrame, labels: DataFrame, texts: DataFrame, docs: DataFrame, similarity: int, block: int
 ) -> DataFrame:
     """Links between components found so far, from the bands that hold texts of several."""
-    named = bands.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
-    )
-    still_open = (
-        named.groupBy("band")
-        .agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.ceil(F.count(F.lit(1)) / block).cast("int").alias("by_rows"),
-            F.ceil(F.sum("n_shingles") / (block * BLOCK_SHINGLES)).cast("int").alias("by_size"),
-        )
-        .where("low <> high")
-        .select("band", F.greatest("by_rows", "by_size").alias("blocks"))
-    )
+    component = F.coalesce("component", "doc_id").alias("component")
+    labels = labels.withColumnRenamed("id", "doc_id")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "doc_id", "left").select("band", "doc_id", "n_shingles", component)
+
+    bands = staged(named(bands), "named")
+    members = staged(bands.join(_open(bands), "band"), "open")
+    light = members.where(F.col("held") <= LIGHT)
+    links = _between(light, texts, docs, similarity, block, first_only=True)
+    heavy = staged(members.where(F.col("held") > LIGHT).select("doc_id").distinct(), "heavy")
+    if heavy.isEmpty():
+        return links
+    few = staged(named(rarest(docs, heavy, similarity)), "rarest")
+    return links.unionByName(_between(few.join(_open(few), "band"), texts, docs, similarity, block, first_only=False))
+
+
+def _between(
+    members: DataFrame, texts: DataFrame, docs: DataFrame, similarity: int, block: int, *, first_only: bool
+) -> DataFrame:
+    """Links between components, from bands with all their members; bands of many members are cut into blocks."""
+    by_rows, by_size = F.ceil(F.col("held") / block), F.ceil(F.col("size") / (block * BLOCK_SHINGLES))
+    members = members.withColumn("blocks", F.greatest(by_rows, by_size).cast("int"))
     key = ["band", "i", "j"]
     members = (
-        named.join(still_open, "band")
-        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component")
     )
@@ -321,12 +374,12 @@ def _rest(
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, key):
-            left, right = _open_pairs(group, similarity)
+            left, right = _open_pairs(group, similarity, first_only)
             yield from group.take(np.unique(np.r_[left, right])).drop_columns(["sketch", "n_shingles"]).to_batches()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, key):
-            left, right = _open_pairs(group, similarity)
+            left, right = _open_pairs(group, similarity, first_only)
             ids = group.column("doc_id").to_pylist()
             parent = {c: c for c in group.column("component").to_pylist()}
             label = group.column("component").to_pylist()

@@ -48,8 +48,9 @@ def copy_of(text, changes, seed):
     return out
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_brute_force(spark, block):
+@pytest.mark.parametrize("block, light", [(256, 64), (4, 64), (256, 1)])
+def test_brute_force(spark, monkeypatch, block, light):
+    monkeypatch.setattr(neardup, "LIGHT", light)
     rows, base = [], words(120, 1)
     rows += [(1000 + i, " ".join(copy_of(base, 3, i))) for i in range(25)]  # alike to the base more than to each other
     rows += [(i, " ".join(words(100, i))) for i in range(10, 40)]
@@ -137,3 +138,17 @@ def test_short_texts_share_bands():
     doc, key = neardup.band_keys(neardup.sketches(value, first))
     bands = [set(key[doc == i].tolist()) for i in range(6)]
     assert bands[0] == bands[1] and len(bands[0]) == 1 and bands[2] & bands[3] and not bands[4] and not bands[5]
+
+
+def test_a_shared_passage_brings_no_squares(spark, monkeypatch):
+    """Texts with words of their own meet nobody by the passage they share, however many they are."""
+    monkeypatch.setattr(neardup, "LIGHT", 1)
+    passage = words(60, 5)
+    rows = [(i, " ".join([*passage, *words(40, 100 + i)])) for i in range(300)]
+    rows += [(1000 + i, " ".join([*passage, *copy_of(words(40, 100 + i), 1, i)])) for i in range(10)]
+    docs = documents(spark, rows)
+    ids = docs.select("doc_id")
+    rare = neardup.rarest(docs, ids, 80)
+    met = rare.join(rare.select("band").groupBy("band").count().where("count > 1"), "band")
+    assert {r["doc_id"] for r in met.select("doc_id").distinct().collect()} <= {*range(10), *range(1000, 1010)}
+    assert got(neardup.near_duplicates(docs)) == brute(rows)
