@@ -12,7 +12,7 @@ from .conftest import SCHEMA, documents
 def test_sql(spark, given, name):
     df = queries()[name](spark, given).toPandas()
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{given}/{t}.parquet'")
     cur = con.execute(oracle_sql()[name])
     columns = [d[0] for d in cur.description]
