@@ -181,6 +181,25 @@ def row_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(table)
 
 
+def delete_scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few rows of every file are deleted by position, twice, and no data file is written; the first version is as it was."""
+    table = _table(spark)
+    create_or_replace(_given(spark, sf_dir, "orders").repartition(8, "o_orderkey"), table, cluster=False)
+    delete(table, "o_orderkey % 100 = 7", by_position=0.1)
+    delete(table, "o_custkey % 100 = 9", by_position=0.1)
+    now = read(table).withColumn("version", F.lit("now"))
+    return now.unionByName(read(table, version=1).withColumn("version", F.lit("first")))
+
+
+def update_scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates that list the old rows as deleted and write the new ones only, then a delete that meets both."""
+    table = _table(spark)
+    create_or_replace(_given(spark, sf_dir, "orders"), table, partition_by=["o_orderstatus"])
+    update(table, "o_orderkey % 50 = 3", RAISE, by_position=0.1)
+    delete(table, "o_orderkey % 150 = 53", by_position=0.1)
+    return read(table)
+
+
 def row_delete_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark)
     priority = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
@@ -693,6 +712,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             curve_read,
             feed_changes,
             compact_files,
+            delete_scattered,
+            update_scattered,
             raw_incremental,
             drift_within_error,
             batch_resume,
@@ -883,6 +904,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT * REPLACE (CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice * 1.10 ELSE o_totalprice END AS o_totalprice),
                    'now' AS version FROM two
             UNION ALL SELECT *, 'before' FROM two""",
+        "delete_scattered": """
+            SELECT *, 'now' AS version FROM orders WHERE o_orderkey % 100 <> 7 AND o_custkey % 100 <> 9
+            UNION ALL SELECT *, 'first' FROM orders""",
+        "update_scattered": """
+            SELECT * REPLACE (CASE WHEN o_orderkey % 50 = 3 THEN o_totalprice * 1.10 ELSE o_totalprice END AS o_totalprice)
+            FROM orders WHERE o_orderkey % 150 <> 53""",
         "raw_incremental": "SELECT * FROM orders",
         "batch_resume": f"""
             SELECT * REPLACE ({_RAISED} AS o_totalprice), 3 AS version FROM orders WHERE (o_orderstatus = 'F') IS NOT TRUE""",

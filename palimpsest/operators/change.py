@@ -1,8 +1,12 @@
-"""UPDATE and DELETE: rewrite the data files that hold a row to change, leave the others."""
+"""UPDATE and DELETE: rewrite the data files that hold a row to change, leave the others.
+
+With ``by_position`` files of which few rows change stay too: those rows are deleted by position.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -11,9 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.conditions import require_repeatable
 from ..functions.rows import as_condition, deleted, updated
 from ..sources.data import clustered, load, may_hold
-from ..sources.files import commit_same_files, file_name, listed, paths, touching, without
+from ..sources.files import commit_same_files, file_name, listed, live_records, paths
 from ..sources.log import version_at
 from ..sources.table import Table, find, new_write_id, empty_folder
+from .positions import FEW, kept_files, split, write_holes
 from .write import write_next
 
 PATH = "palimpsest_path"
@@ -41,13 +46,22 @@ def empty_staging(table: Table, write_id: str) -> None:
 
 
 def update(
-    table: Table, condition: Column | str, assignments: Mapping[str, Any], *, alias: str | None = None
+    table: Table,
+    condition: Column | str,
+    assignments: Mapping[str, Any],
+    *,
+    alias: str | None = None,
+    by_position: float = 0.0,
 ) -> int:
     """Give new values to the rows where the condition is TRUE; return the new version.
 
     Values are Columns, SQL text, or plain numbers and dates (text values need
     ``F.lit``). Rows whose partition column is assigned move to another partition.
     ``alias`` is what the condition and the values may call the table.
+
+    ``by_position`` is the largest share of a file's rows that may be deleted by position:
+    below it, the old rows are listed as deleted and only the new ones are written. On ORC,
+    and where a version would have more than MOST_HOLES such rows, files are written anew.
     """
     before = version_at(table)
     condition = as_condition(condition)
@@ -58,22 +72,28 @@ def update(
 
     write_id = new_write_id(before.number + 1)
     touched = stage_touched(table, current.where(condition), write_id)
-    again = paths(table, touching(known, touched), F.col("matched").isNotNull())
-    if not again:
+    hit = split(table, before, known, touched, by_position)
+    again = paths(table, hit.marked, F.col("matched").isNotNull() & ~F.col(FEW))
+    if not again and not hit.few:
         return commit_same_files(table, before, "update")
-    rows = updated(_named(load(table, before, again), alias), condition, assignments)
+    parts = [_named(load(table, before, again), alias)] if again else []
+    if hit.few:
+        write_holes(table, before, hit, condition, alias, write_id)
+        parts.append(_named(load(table, before, hit.few), alias).where(condition))
+    rows = reduce(DataFrame.unionByName, [updated(p, condition, assignments) for p in parts])
     if any(find(before.schema, c).name in before.partition_columns for c in assignments):
         rows = clustered(rows, before.partition_columns)
-    version = write_next(table, before, write_id, "update", rows, without(known, touched))
+    version = write_next(table, before, write_id, "update", rows, kept_files(known, touched, hit, write_id))
     empty_staging(table, write_id)
     return version
 
 
-def delete(table: Table, condition: Column | str, *, alias: str | None = None) -> int:
+def delete(table: Table, condition: Column | str, *, alias: str | None = None, by_position: float = 0.0) -> int:
     """Drop the rows where the condition is TRUE; return the new version.
 
     A file all of whose rows go is left out of the new version without reading it
-    again, so deleting whole partitions rewrites nothing.
+    again, so deleting whole partitions rewrites nothing. ``by_position`` as in ``update``:
+    of files below that share no row is written.
     """
     before = version_at(table)
     condition = as_condition(condition)
@@ -83,11 +103,14 @@ def delete(table: Table, condition: Column | str, *, alias: str | None = None) -
 
     write_id = new_write_id(before.number + 1)
     touched = stage_touched(table, current.where(condition), write_id)
-    again = paths(table, touching(known, touched), F.col("matched") < F.col("record_count"))
+    hit = split(table, before, known, touched, by_position)
+    again = paths(table, hit.marked, (F.col("matched") < live_records()) & ~F.col(FEW))
     if not again and touched.isEmpty():
         return commit_same_files(table, before, "delete")
+    if hit.few:
+        write_holes(table, before, hit, condition, alias, write_id)
     rows = deleted(_named(load(table, before, again), alias), condition) if again else None
-    version = write_next(table, before, write_id, "delete", rows, without(known, touched))
+    version = write_next(table, before, write_id, "delete", rows, kept_files(known, touched, hit, write_id))
     empty_staging(table, write_id)
     return version
 

@@ -18,9 +18,9 @@ _WEIGHT, _KEYS = "palimpsest_weight", ("palimpsest_key_1", "palimpsest_key_2")
 
 
 def _only(table: Table, of: Version, other: Version) -> list[str]:
-    """What to read of a version that is in files the other does not have."""
-    shared = listed(table, other).where("NOT dead").select("name", F.lit(True).alias("shared"))
-    return paths(table, listed(table, of).join(shared, "name", "left"), F.col("shared").isNull())
+    """What to read of a version that is in files the other does not have, or has with other rows deleted by position."""
+    shared = listed(table, other).where("NOT dead").select("name", "holes", F.lit(True).alias("shared"))
+    return paths(table, listed(table, of).join(shared, ["name", "holes"], "left"), F.col("shared").isNull())
 
 
 def changes_between(table: Table, old: int, new: int | None = None) -> DataFrame:

@@ -49,13 +49,14 @@ def packer(room: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def packed(files: DataFrame, target_bytes: int = TARGET_BYTES, small: float = SMALL) -> DataFrame:
     """(name, bin): the files of a list to write together, by numbers from 0.
 
-    Those are small files, and files of folders most of whose files are dead, which
-    opening the table would name one by one. A bin is of one partition value; one small
+    Those are small files, files with rows deleted by position, and files of folders most
+    of whose files are dead, which opening the table would name one by one. A bin is of one partition value; one small
     file alone in its bin stays as it is.
     """
     partition = F.regexp_replace("dir", f"^{WRITE_ID}=[^/]*/?", "")
     folders = files.groupBy("dir").agg((F.count_if(F.col("dead")) > F.count_if(~F.col("dead"))).alias("hollow"))
     live = files.where("NOT dead").join(folders, "dir").withColumn("partition", partition)
+    live = live.withColumn("hollow", F.col("hollow") | (F.col("holes") > 0))
     chosen = live.where(F.col("hollow") | (F.col("file_size_in_bytes") < small * target_bytes))
     many = chosen.groupBy("partition").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("groups"))
     chosen = chosen.join(many, "partition").withColumn("part", F.pmod(F.xxhash64("name"), F.col("groups")))
@@ -71,7 +72,7 @@ def packed(files: DataFrame, target_bytes: int = TARGET_BYTES, small: float = SM
 
 
 def compact(table: Table, *, target_bytes: int = TARGET_BYTES, small: float = SMALL) -> int:
-    """Write small files and the files of hollowed-out folders anew, together; return the version.
+    """Write small files, files with rows deleted by position and those of hollowed-out folders anew, together; return the version.
 
     No row, schema or older version changes, and rows keep their order within a file. A
     bin is one task and one file of about ``target_bytes``. Where there is nothing to do no

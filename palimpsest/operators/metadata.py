@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import listed
+from ..sources.files import listed, live_records
 from ..sources.log import UnknownTable, log_rows, version_at
 from ..sources.table import WRITE_ID, Table, stored_name
 
@@ -61,7 +61,7 @@ def files(table: Table, version: int | None = None) -> DataFrame:
     return listed(table, at).where("NOT dead").select(
         F.concat(F.lit(table.data + "/"), "name").alias("file_path"),
         below.alias("partition"),
-        "record_count",
+        live_records().alias("record_count"),
         "file_size_in_bytes",
         bounds.alias("bounds"),
     )

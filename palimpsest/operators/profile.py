@@ -128,10 +128,10 @@ def store_profile(
         except UnknownProfile:
             old = None
     if old is not None and {(r["column"], r["kind"]) for r in old.select("column", "kind").collect()} == wanted:
-        before = listed(table, version_at(table, at.parent)).where("NOT dead").select("name", F.lit(True).alias("known"))
-        marked = files.join(before, "name", "full").withColumn("live", F.coalesce(~F.col("dead"), F.lit(False)))
+        before = listed(table, version_at(table, at.parent)).where("NOT dead").select("name", "holes", F.lit(True).alias("known"))
+        marked = files.join(before, ["name", "holes"], "full").withColumn("live", F.coalesce(~F.col("dead"), F.lit(False)))
         if marked.where("known AND NOT live").isEmpty():
-            added = paths(table, files.join(before, "name", "left"), F.col("known").isNull())
+            added = paths(table, files.join(before, ["name", "holes"], "left"), F.col("known").isNull())
             fresh = profiled(load(table, at, added), numbers, keys)
             _write(table, at, merged_profiles(old, fresh))
             return profile(table, at.number)

@@ -15,6 +15,10 @@ from .table import Table, col, stored_name, stored_schema, to_stored
 
 FORMATS = ("parquet", "orc")
 
+# A row deleted by position: its file, as lists of files name it, and its number there.
+HOLE_FILE, HOLE_ROW = "palimpsest_hole_file", "palimpsest_hole_row"
+HOLES_SCHEMA = f"{HOLE_FILE} string, {HOLE_ROW} bigint"
+
 # What Spark names the folder of rows whose partition value is NULL.
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
@@ -22,7 +26,7 @@ NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 def load(
     table: Table, version: Version, from_paths: list[str], path_as: str | None = None, row_as: str | None = None
 ) -> DataFrame:
-    """The rows under the given paths, with the columns of a version.
+    """The rows under the given paths, with the columns of a version, without those deleted by position.
 
     ``path_as`` names an extra column for the data file each row is in, ``row_as`` one for
     its number in the file, which only Parquet files have.
@@ -48,7 +52,17 @@ def load(
         out.append(F.col("_metadata.file_path").alias(path_as))
     if row_as:
         out.append(F.col("_metadata.row_index").alias(row_as))
-    return rows.select(out)
+    holes = getattr(from_paths, "holes", ())
+    if not holes:
+        return rows.select(out)
+    place = [file_name(F.col("_metadata.file_path")).alias(HOLE_FILE), F.col("_metadata.row_index").alias(HOLE_ROW)]
+    left = rows.select(*out, *place).join(hole_rows(table, holes), [HOLE_FILE, HOLE_ROW], "left_anti")
+    return left.drop(HOLE_FILE, HOLE_ROW)
+
+
+def hole_rows(table: Table, write_ids: Sequence[str]) -> DataFrame:
+    """Rows deleted by position by the given writes. What is deleted in a file stays so, so later lists only have more."""
+    return table.spark.read.schema(HOLES_SCHEMA).parquet(*[table.holes_dir(w) for w in write_ids])
 
 
 def scan(table: Table, version: Version, path_as: str | None = None) -> DataFrame:

@@ -17,9 +17,10 @@ from .table import WRITE_ID, Table, col, stored_name, stored_schema
 
 FILES_SCHEMA = (
     "name string, dir string, whole_dir boolean, record_count bigint, file_size_in_bytes bigint, dead boolean,"
-    " ranges map<string,struct<low:string,high:string,nulls:bigint>>"
+    " ranges map<string,struct<low:string,high:string,nulls:bigint>>, holes bigint, holes_in string"
 )
-COLUMNS = ["name", "dir", "whole_dir", "record_count", "file_size_in_bytes", "dead", "ranges"]
+COLUMNS = ["name", "dir", "whole_dir", "record_count", "file_size_in_bytes", "dead", "ranges", "holes", "holes_in"]
+# ``record_count`` and ``ranges`` are of all rows stored; ``holes`` of them are deleted by position: a list of the write ``holes_in`` names them.
 
 RANGED_TYPES = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 #: Characters of a text that its bounds keep.
@@ -38,7 +39,12 @@ def file_name(file_path: Column) -> Column:
 def listed(table: Table, version: Version) -> DataFrame:
     """The list of a version: its files, and those of its folders that are ``dead``, part of older versions only."""
     rows = table.spark.read.schema(FILES_SCHEMA).parquet(table.files_dir(version.files))
-    return rows.withColumn("dead", F.coalesce("dead", F.lit(False)))
+    return rows.withColumns({"dead": F.coalesce("dead", F.lit(False)), "holes": F.coalesce("holes", F.lit(0).cast("bigint"))})
+
+
+def live_records() -> Column:
+    """Of a list: the rows of a file that are there, without those deleted by position."""
+    return F.col("record_count") - F.col("holes")
 
 
 def _as_bound(value: Column, data_type: T.DataType, high: bool) -> Column:
@@ -103,14 +109,17 @@ def written(table: Table, write_id: str, format: str, schema, ranged: tuple[str,
             "file_size_in_bytes",
             F.lit(False).alias("dead"),
             "ranges",
+            F.lit(0).cast("bigint").alias("holes"),
+            F.lit(None).cast("string").alias("holes_in"),
         )
     )
 
 
 class Reads(list):
-    """Paths to hand to the reader, and the names of dead files below them to leave out."""
+    """Paths to hand to the reader, the names of dead files below them, and the writes whose lists name deleted rows of theirs."""
 
     excluded: tuple[str, ...] = ()
+    holes: tuple[str, ...] = ()
 
 
 class UnlistedFile(RuntimeError):
@@ -140,9 +149,10 @@ def paths(table: Table, files: DataFrame, wanted: Column | None = None) -> Reads
             *[F.count_if(c).alias(k) for k, c in n.items()],
             F.collect_list(F.when(mine, F.col("name"))).alias("mine"),
             F.collect_list(F.when(F.col("dead"), F.col("name"))).alias("gone"),
+            F.collect_set(F.when(mine & (F.col("holes") > 0), F.col("holes_in"))).alias("holes"),
         )
         .where("n_mine > 0 OR dir IS NULL")
-        .select("dir", folder.alias("folder"), F.when(folder, F.col("gone")).otherwise(F.col("mine")).alias("names"))
+        .select("dir", folder.alias("folder"), F.when(folder, F.col("gone")).otherwise(F.col("mine")).alias("names"), "holes")
     )
     found = dirs.collect()
     if any(r["dir"] is None for r in found):
@@ -151,6 +161,7 @@ def paths(table: Table, files: DataFrame, wanted: Column | None = None) -> Reads
     for r in sorted(found, key=lambda r: r["dir"]):
         result += [f"{table.data}/{p}" for p in ([r["dir"]] if r["folder"] else sorted(r["names"]))]
     result.excluded = tuple(n for r in found if r["folder"] for n in r["names"])
+    result.holes = tuple(sorted({w for r in found for w in r["holes"]}))
     return result
 
 
@@ -191,7 +202,7 @@ def commit_files(
     new = written(table, write_id, format, schema, ranged) if wrote else None
     rows = kept if new is None else new if kept is None else kept.select(COLUMNS).unionByName(new)
     mine = F.col("dir").startswith(f"{WRITE_ID}={write_id}")
-    records, one = F.col("record_count"), F.lit(1)
+    records, one = live_records(), F.lit(1)
 
     def total(c: Column) -> Column:
         return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")

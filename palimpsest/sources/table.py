@@ -6,6 +6,7 @@ A table is a folder::
         data/write_id=<id>/[<column>=<value>/...]part-*   data files, never changed
         files/<id>/part-*                                  the data files of one version
         log/version=<n>/part-*                             one row per version
+        holes/<id>/part-*                                  rows deleted by their number in a file
 
 ``root`` is any URI Spark can read and write (``s3a://``, ``hdfs://``, ``file:``).
 """
@@ -68,6 +69,9 @@ class Table:
     def files_dir(self, write_id: str) -> str:
         return f"{self.path}/files/{write_id}"
 
+    def holes_dir(self, write_id: str) -> str:
+        return f"{self.path}/holes/{write_id}"
+
     def log_dir(self, version: int) -> str:
         return f"{self.log}/version={version}"
 
