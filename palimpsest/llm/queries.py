@@ -44,7 +44,8 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.capture_histories(_given(spark, sf_dir, "pages"))
-    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    digest = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return captures.select(*digest, "position", "url_key", "captured_at")
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Writing: every page is one record. Of pages with equal payloads of 1000 bytes or more, the
 one with the largest page_id is a response, the others are revisits that name it and carry
 no payload. Records are text, so Spark's text writer makes the archives on any storage,
-gzip-compressed, with a bounded number of records each.
+gzip-compressed. Records are written by classes of size, so an archive holds at most
+64 MB of payload, or one record.
 
 Reading: the archives come back as binary files and are taken apart record by record.
 Payloads are hashed again and held against the digest they were written with.
@@ -37,7 +38,8 @@ from .neardup import _grouped
 from .shared import in_batches, shared_folder, staged
 
 MIN_REVISIT_BYTES = 1000
-RECORDS_PER_ARCHIVE = 1000
+#: Payloads of up to so many bytes, and how many of them an archive holds; of larger ones it holds one.
+ARCHIVE_CLASSES = ((64 << 10, 1000), (1 << 20, 64))
 #: Captures of a range, and keys sampled for each, to find the bounds.
 RANGE_ROWS = 100_000
 SAMPLES_PER_RANGE = 20
@@ -103,13 +105,18 @@ def write_archives(pages: DataFrame, root: str, *, min_revisit_bytes: int = MIN_
         F.octet_length("block").cast("string"),
         F.lit(END),
     )
-    records = rows.withColumn("block", block).select(F.concat(header, F.col("block")).alias("value"))
-    (
-        records.write.option("lineSep", END)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", RECORDS_PER_ARCHIVE)
-        .text(root)
-    )
+    above = -1
+    for i, (up_to, together) in enumerate((*ARCHIVE_CLASSES, (None, 1))):
+        mine = rows.where(F.col("bytes") > above)
+        mine = mine if up_to is None else mine.where(F.col("bytes") <= up_to)
+        records = mine.withColumn("block", block).select(F.concat(header, F.col("block")).alias("value"))
+        (
+            records.write.option("lineSep", END)
+            .option("compression", "gzip")
+            .option("maxRecordsPerFile", together)
+            .text(f"{root}/size_class={i}")
+        )
+        above = up_to
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -284,15 +291,31 @@ def capture_histories(pages: DataFrame, root: str | None = None) -> DataFrame:
     return merge_runs(read_runs(spark, root))
 
 
+#: Keys are of URLs whose host is a name, as those of ``pages`` are; places are of pages with ids of their own.
 SQL = f"""
 WITH p AS (
-    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+           strftime(make_timestamp(CAST(1704067200 + coalesce(page_id, 0) % 1000000000 AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at,
+           regexp_replace(coalesce(url, ''), '[\\x00-\\x20\\x7F]', '%20', 'g') AS url
     FROM pages),
 k AS (
     SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= {MIN_REVISIT_BYTES}
-    GROUP BY payload_digest HAVING count(*) > 1)
+    GROUP BY payload_digest HAVING count(*) > 1),
+parts AS (
+    SELECT *, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:\\[\\]@]+)(?::([0-9]*))?(?:/[^?#]*|)(?:[?][^#]*)?(?:#.*)?$', ['host', 'port']) AS site,
+           regexp_extract(url, '//[^/?#]*([^?#]*)(?:[?]([^#]*))?', ['path', 'query']) AS below
+    FROM p LEFT JOIN k USING (payload_digest)),
+keyed AS (
+    SELECT *, CASE WHEN site.host = '' THEN url ELSE
+        array_to_string(list_reverse(string_split(lower(site.host), '.')), ',')
+        || CASE WHEN site.port = '' OR TRY_CAST(site.port AS INT) IN (80, 443) THEN '' ELSE ':' || TRY_CAST(site.port AS INT) END
+        || ')' || CASE WHEN below.path = '' THEN '/' ELSE lower(below.path) END
+        || CASE WHEN below.query = '' THEN '' ELSE '?' || lower(below.query) END END AS url_key
+    FROM parts)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
-FROM p LEFT JOIN k USING (payload_digest)
+       CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to,
+       row_number() OVER (ORDER BY url_key, captured_at, page_id IS NOT NULL, page_id) - 1 AS position,
+       url_key, captured_at
+FROM keyed
 """

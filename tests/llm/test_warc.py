@@ -2,6 +2,8 @@ import hashlib
 import heapq
 import random
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import warc
@@ -70,6 +72,30 @@ def test_histories_are_in_one_order(spark, pages, root, range_rows):
     assert keys == sorted(keys)
 
 
+def test_archives_are_bounded(spark, root):
+    """Large payloads do not share an archive; every record comes back."""
+    sizes = [100] * 30 + [70_000] * 65 + [1_100_000] * 2
+    rows = [(i, "http://a.com/", chr(97 + i % 26) * (n - 4) + f"{i:04}", None, None) for i, n in enumerate(sizes)]
+    warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), f"{root}/w")
+    runs = warc.read_runs(spark, f"{root}/w").groupBy("run").agg({"payload_bytes": "sum", "seq": "count"}).collect()
+    assert sorted(r["count(seq)"] for r in runs) == [1, 1, 1, 30, 64]
+    assert all(r["sum(payload_bytes)"] <= 64 << 20 for r in runs)
+
+
+def test_keys_and_places_against_sql(spark):
+    rows = [
+        (i, url, "x", None, None)
+        for i, url in enumerate(
+            ["http://B.a.com:80/Q?R=s#t", "https://b.a.com:8080", "http://u:p@b.a.com/", "//b.a.com?x", "no url", "", None, "http://z.com:443/a b", "ftp://é.org/é?", "a:b"]
+        )
+    ]
+    out = warc.capture_histories(spark.createDataFrame(rows, PAGES)).select("page_id", "position", "url_key", "captured_at")
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "html": [r[2] for r in rows]}))
+    want = con.execute(f"SELECT page_id, position, url_key, captured_at FROM ({warc.SQL})").fetchall()
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+
+
 def test_damage_is_seen(spark, pages, root):
     good = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert list(warc.records(good.encode()))[0][1] == b"abc"
