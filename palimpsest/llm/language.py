@@ -246,14 +246,27 @@ def label_documents(docs: DataFrame, model: Model) -> DataFrame:
     return in_batches(rows, label, LABEL_SCHEMA)
 
 
+def confidence(model: Model, part: pa.RecordBatch) -> np.ndarray:
+    """Of each document the mean probability of its words' likeliest languages; 0 without a letter, a word or a label."""
+    if not model.labels:
+        return np.zeros(part.num_rows)
+    words, probability = word_probabilities(model, part.column("text"))
+    total = np.bincount(words.doc, probability.max(axis=1), part.num_rows)
+    return np.where(part.column("has_letter").to_numpy(zero_copy_only=False), total / np.maximum(words.count, 1), 0.0)
+
+
 def in_a_language(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The documents, all of their columns, that have a language with at least that score."""
+    """The documents, all of their columns, whose words are in languages with at least that mean probability.
+
+    They need not be in one language: a text that switches evenly between three has a third
+    of its words in each, and yet each of them in one for certain.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            lang, score, _, _ = judged(shared.value, part)
-            good = pa.array((lang != UNKNOWN) & (score >= least))
+            sure = confidence(shared.value, part)
+            good = pa.array((sure > 0) & (sure >= least))
             yield pa.record_batch({"document": part.column("document").filter(good)})
 
     rows = docs.select(

@@ -80,3 +80,13 @@ def test_defined_cases(spark, fitted):
     assert {(r["lang_pred"], r["score"]) for r in unlabelled.collect()} == {("und", 0.0)}
     kept = language.in_a_language(documents(spark, rows, schema), model, 0.4)
     assert kept.columns == documents(spark, [], schema).columns and kept.count() == 3
+
+
+def test_text_that_switches_between_languages_is_kept(spark, fitted):
+    """No language has 0.4 of the words, yet each word is in one for certain."""
+    docs, model = fitted
+    texts = {r["lang"]: r["text"].split() for r in docs.where("lang IS NOT NULL AND length(text) > 300").collect()}
+    assert len(texts) >= 3
+    mixed = documents(spark, [(1, " ".join(w for words in texts.values() for w in words[:40]))])
+    assert language.label_documents(mixed, model).first()["score"] < 0.4
+    assert language.in_a_language(mixed, model, 0.4).count() == 1

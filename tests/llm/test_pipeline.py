@@ -36,8 +36,12 @@ def test_stages_apply_their_operators(spark, given):
         before, after = docs.toPandas(), kept.toPandas()
         if name == "language ID":
             rows = language.identify(docs).toPandas()
-            good = rows[(rows["lang_pred"] != "und") & (rows["score"] >= corpus_pipeline.LEAST_SCORE)]
-            assert sorted(after["doc_id"]) == sorted(good["doc_id"]) and len(after) >= 0.9 * len(before)
+            runs = language.label_runs(docs, language.fit(language.sample(docs))).toPandas()
+            sure = (runs["score"] * runs["n_words"]).groupby(runs["doc_id"]).sum() / runs.groupby("doc_id")["n_words"].sum()
+            known = rows[rows["lang_pred"] != "und"]["doc_id"]
+            good = [i for i in known if sure[i] >= corpus_pipeline.LEAST_SCORE]
+            assert sorted(after["doc_id"]) == sorted(good) and len(after) >= 0.9 * len(before)
+            assert set(rows[rows["score"] >= corpus_pipeline.LEAST_SCORE]["doc_id"]) <= set(after["doc_id"])
         elif name == "near-dedup":
             rows = neardup.near_duplicates(docs).where("kept").toPandas()
             assert sorted(after["doc_id"]) == sorted(rows["doc_id"]) and len(after) < len(before)
