@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm import decontamination, language, mixing, neardup, sharding
 from palimpsest.llm.shared import staged
 
-#: Least share of a document's words that its language must have.
+#: Least mean probability of the languages of a document's words, whichever they are.
 LEAST_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letter, or no language with a fair share of the words."""
+    """Without documents that have no letter, or whose words are in no language with some certainty."""
     return language.in_a_language(docs, language.fit(language.sample(docs)), LEAST_SCORE)
 
 
