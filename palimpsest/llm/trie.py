@@ -10,10 +10,10 @@ hash at its handle, the depth in (low, high] that is divisible by the largest po
 
 1. Turns are ranked in order and rebuilt. Conversations of equal turns are one from here on,
    with the number of its copies.
-2. Conversations are inserted in batches. Each finds its exit node by fat binary search: of
-   the interval of depths left, the two-fattest is looked up; where it is a handle the
-   search goes on below that node, else above it. The last node found is the exit node or
-   its parent. Where the conversation leaves the edge is the last depth at which its hashes
+2. Conversations are inserted in batches. Each finds its exit node by its lowest prefix that
+   is a handle. A fat binary search would look up one prefix after the other, each by two more
+   joins in a plan; here one join looks up all of them. The node found is the exit node or
+   its parent, as the handles of all nodes above are met. Where the conversation leaves the edge is the last depth at which its hashes
    and the edge's agree. Of those that leave at the same place by the same turn, one, drawn
    by hash, goes in now and the others with the next batch; edges are cut at all places of
    a batch at once. The number of batches grows with the logarithm of the conversations.
@@ -171,29 +171,21 @@ def _take(rows: DataFrame, where: Column, *drop: str) -> DataFrame:
     )
 
 
-def locate(pending: DataFrame, nodes: DataFrame, prefixes: DataFrame, longest: int) -> DataFrame:
+def locate(pending: DataFrame, nodes: DataFrame, every: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(rep, length, h1, h2), the depth ``at`` at which each leaves the trie, and the node whose edge it leaves.
 
     ``at`` of ``pending`` is a depth at which a node ends that the conversation goes on from.
+    ``prefixes`` are to look up in, ``every`` are the same, to look up.
     """
-    unknown = dict.fromkeys(NODE, F.lit(None).cast("bigint"))
-    rows = pending.withColumns({**unknown, "a": F.col("at"), "b": F.col("length"), "sure": F.col("at")})
-    by_key = _hit(nodes, "key")
+    rows = pending.withColumn("sure", F.col("at"))
     on = (F.col("g1") == F.col("by1")) & (F.col("g2") == F.col("by2"))
-    for _ in range(int(longest).bit_length() + 1):
-        # What is done asks for a place that is not there, spread like the rest.
-        rows = rows.withColumn("f", F.when(F.col("a") < F.col("b"), fattest("a", "b")).otherwise(F.lit(-1)))
-        rows = hash_at(rows, prefixes, "rep", F.col("f"), ("g1", "g2"))
-        rows = rows.withColumns({"g1": F.coalesce("g1", F.xxhash64("rep")), "g2": F.coalesce("g2", F.lit(-1))})
-        rows = rows.join(by_key, on, "left").withColumn("found", F.col("z_high").isNotNull())
-        rows = rows.withColumns(
-            {
-                "a": F.when(F.col("found"), F.col("z_high")).otherwise(F.col("a")),
-                "b": F.when(F.col("found") | (F.col("f") < 0), F.col("b")).otherwise(F.col("f") - 1),
-                "sure": F.when(F.col("found"), F.col("f")).otherwise(F.col("sure")),
-            }
-        )
-        rows = _take(rows, F.col("found"), "found", "f", "g1", "g2")
+    # Every prefix below ``at`` is looked up at once; of the handles met the lowest stays.
+    asked = every.join(pending.select("rep", "at"), "rep").where("pos > at")
+    asked = asked.select("rep", "pos", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    met = asked.join(_hit(nodes, "key"), on).groupBy("rep")
+    met = met.agg(F.max(F.struct("pos", *[F.col(f"z_{c}").alias(c) for c in NODE])).alias("met"))
+    rows = rows.join(met, "rep", "left").withColumns({c: F.col(f"met.{c}") for c in NODE})
+    rows = rows.withColumn("sure", F.coalesce("met.pos", "sure")).drop("met")
     # All of the last node found, or only a part? Below its end the exit node is its child.
     end = F.coalesce("high", F.col("at"))
     rows = hash_at(rows, prefixes, "rep", end, ("g1", "g2"))
@@ -203,11 +195,11 @@ def locate(pending: DataFrame, nodes: DataFrame, prefixes: DataFrame, longest: i
     rows = rows.withColumns({"g1": F.coalesce("g1", F.xxhash64("rep")), "g2": F.coalesce("g2", F.lit(-1))})
     rows = rows.join(_hit(nodes, "first"), on, "left").withColumn("found", F.col("z_high").isNotNull())
     rows = rows.withColumn("sure", F.when(F.col("found"), F.col("z_low") + 1).otherwise(F.col("sure")))
-    rows = _take(rows, F.col("found"), "found", "g1", "g2", "whole", "a", "b", "at")
+    rows = _take(rows, F.col("found"), "found", "g1", "g2", "whole", "at")
     rows = staged(rows, "exits")
     # How far the conversation and the edge agree.
     open_ = rows.where("sure < least(high, length)").select("rep", "node_rep", "sure", F.least("high", "length").alias("most"))
-    mine = prefixes.join(open_, "rep").where("pos > sure AND pos <= most").select("rep", "node_rep", "pos", "h1", "h2")
+    mine = every.join(open_, "rep").where("pos > sure AND pos <= most").select("rep", "node_rep", "pos", "h1", "h2")
     edge = prefixes.select(F.col("rep").alias("node_rep"), "pos", "h1", "h2")
     agree = mine.join(edge, ["node_rep", "pos", "h1", "h2"]).groupBy("rep").agg(F.max("pos").alias("agreed"))
     return rows.join(agree, "rep", "left").withColumn("at", F.coalesce("agreed", "sure")).drop("agreed", "sure")
@@ -252,17 +244,13 @@ def insert(nodes: DataFrame | None, located: DataFrame, prefixes: DataFrame) ->
     return staged(kept.unionByName(_keyed(new.unionByName(pieces), prefixes)), "nodes"), staged(left, "pending")
 
 
-def build(distinct: DataFrame, prefixes: DataFrame) -> DataFrame | None:
+def build(distinct: DataFrame, every: DataFrame, prefixes: DataFrame) -> DataFrame | None:
     """All compacted nodes but the root, for distinct conversations (rep, length, h1, h2); None where no conversation has turns."""
     pending = distinct.where("length > 0").select("rep", "length", "h1", "h2", F.lit(0).cast("bigint").alias("at"))
-    longest, nodes = pending.agg(F.max("length")).first()[0], None
-    while longest:
-        if nodes is None:
-            located = pending
-        else:
-            located = locate(pending, _side(nodes), prefixes, longest)
+    nodes = None
+    while not pending.isEmpty():
+        located = pending if nodes is None else locate(pending, _side(nodes), every, prefixes)
         nodes, pending = insert(nodes, located, prefixes)
-        longest = pending.agg(F.max("length")).first()[0]
     return nodes
 
 
@@ -391,8 +379,9 @@ def trie(conversations: DataFrame, *, family: int = FAMILY, shared: int = SHARED
     )
     distinct = staged(distinct, "distinct")
     reps = distinct.select(F.col("rep").alias("conv_id"))
-    prefixes = _side(prefixes_of(rows.join(reps, "conv_id", "left_semi").withColumnRenamed("conv_id", "rep")))
-    nodes = build(distinct, prefixes)
+    every = prefixes_of(rows.join(reps, "conv_id", "left_semi").withColumnRenamed("conv_id", "rep"))
+    prefixes = _side(every)
+    nodes = build(distinct, every, prefixes)
 
     root = members.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0")
     sums = {"n_children": 0, "n_leaves": 1, "saved_tokens": 0}

@@ -113,3 +113,21 @@ def test_two_fattest(spark):
     got = spark.createDataFrame(rows, "a bigint, b bigint").select("a", "b", trie.fattest("a", "b").alias("f")).collect()
     for a, b, f in got:
         assert f == max(range(a + 1, b + 1), key=lambda x: x & -x)
+
+
+def test_a_batch_looks_up_all_prefixes_at_once(spark):
+    """The plan of a batch does not grow with the longest conversation, whose joins the driver holds."""
+    def joins(n):
+        every = spark.createDataFrame([(1, d, d, d, d) for d in range(1, n + 1)], "rep bigint, pos bigint, h1 bigint, h2 bigint, total bigint")
+        pending = spark.createDataFrame([(1, n, n, n, 0)], "rep bigint, length bigint, h1 bigint, h2 bigint, at bigint")
+        nodes = spark.createDataFrame([], ", ".join(f"{c} bigint" for c in [*trie.NODE, "key1", "key2", "first1", "first2"]))
+        plans, staged = [], trie.staged
+        trie.staged = lambda df, what: plans.append(df) or staged(df, what)
+        try:
+            located = trie.locate(pending, nodes, every, every)
+        finally:
+            trie.staged = staged
+        assert [(r["rep"], r["at"]) for r in located.collect()] == [(1, 0)]
+        return plans[0]._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    assert joins(3000) == joins(3) <= 6
