@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import scoring
@@ -94,3 +96,15 @@ def test_query_backs_off(spark, tmp_path):
     out = got(queries()["op3_scoring"](spark, str(tmp_path)))
     assert out == others(rows, 3)
     assert dict((r[0], r[2]) for r in out)["3"] == pytest.approx(math.log10(0.4 * 0.4**2 * 0.4**2 / 14**4))
+
+
+def test_keys_take_hardly_more_than_random_gaps_hold():
+    """12,000 keys of a partition of 102: log2(e x mean gap) bits each."""
+    rng = np.random.default_rng(1)
+    keys = np.sort(rng.integers(0, 2**64 // 102, 12_000, dtype=np.uint64))
+    packed = scoring._packed(keys)
+    assert (scoring._unpacked(pa.py_buffer(packed)) == keys).all()
+    assert 8 * len(packed) / len(keys) < 1.01 * math.log2(math.e * float(keys[-1]) / len(keys))
+    for few in ([], [0], [2**64 - 1], [3, 4, 2**64 - 1], list(range(300))):
+        few = np.array(few, np.uint64)
+        assert (scoring._unpacked(pa.py_buffer(scoring._packed(few))) == few).all()
