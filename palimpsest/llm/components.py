@@ -33,3 +33,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         handed = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = staged(handed.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) after more edges (a, b), which join components that are known; only those are gone through again."""
+    of = {c: labels.select(F.col("id").alias(c), F.col("component").alias(f"to_{c}")) for c in "ab"}
+    raised = edges.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    tops = components(raised.select(*[F.coalesce(f"to_{c}", c).alias(c) for c in "ab"]))
+    moved = labels.join(tops.toDF("component", "top"), "component", "left")
+    moved = moved.select("id", F.coalesce("top", "component").alias("component"))
+    return moved.unionByName(tops.join(labels, "id", "left_anti"))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, joined
 from .shared import in_batches, staged
 from .words import NOT_SPACE, document_hashes, gram_starts, sequence_hashes, slices, split
 
@@ -310,6 +310,21 @@ def _open(named: DataFrame) -> DataFrame:
     return held.where("low <> high").select("band", "held", "size")
 
 
+def _different(members: DataFrame) -> DataFrame:
+    """Of bands that hold the same texts, the one with the smallest key, with all its members.
+
+    Texts that have a passage in common share each of its shingles, and are compared once for all
+    of them. Members are told by their number and two sums of hashes.
+    """
+    same = members.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("doc_id", "n_shingles")).alias("x1"),
+        F.bit_xor(F.xxhash64("n_shingles", "doc_id")).alias("x2"),
+    )
+    one = same.groupBy("n", "x1", "x2").agg(F.min("band").alias("band")).select("band")
+    return members.join(one, "band")
+
+
 def rarest(docs: DataFrame, ids: DataFrame, similarity: int) -> DataFrame:
     """(band, doc_id, n_shingles): the rarest shingles of each set, of which two sets that alike share one.
 
@@ -355,7 +370,8 @@ def _rest(
     if heavy.isEmpty():
         return links
     few = staged(named(rarest(docs, heavy, similarity)), "rarest")
-    return links.unionByName(_between(few.join(_open(few), "band"), texts, docs, similarity, block, first_only=False))
+    few = _different(staged(few.join(_open(few), "band"), "open"))
+    return links.unionByName(_between(few, texts, docs, similarity, block, first_only=False))
 
 
 def _between(
@@ -448,7 +464,7 @@ def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, block: int
     labels = components(links)
     more = staged(_rest(bands.select("band", "doc_id", "n_shingles"), labels, texts, docs, similarity, block), "links")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = joined(labels, more)
     return (
         rows.select("doc_id", "n_shingles")
         .join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")

@@ -152,3 +152,18 @@ def test_a_shared_passage_brings_no_squares(spark, monkeypatch):
     met = rare.join(rare.select("band").groupBy("band").count().where("count > 1"), "band")
     assert {r["doc_id"] for r in met.select("doc_id").distinct().collect()} <= {*range(10), *range(1000, 1010)}
     assert got(neardup.near_duplicates(docs)) == brute(rows)
+
+
+def test_bands_of_the_same_texts_are_compared_once(spark):
+    """Two texts share each shingle of their passage: one comparison, not one for every shingle."""
+    rows = [(band, i, 50) for band in range(40) for i in (1, 2)] + [(band, i, 50) for band in (50, 51) for i in (1, 2, 3)] + [(60, 3, 50), (60, 1, 50)]
+    members = spark.createDataFrame(rows, "band bigint, doc_id bigint, n_shingles bigint")
+    out = sorted(tuple(r) for r in neardup._different(members).collect())
+    assert out == [(0, 1, 50), (0, 2, 50), (50, 1, 50), (50, 2, 50), (50, 3, 50), (60, 1, 50), (60, 3, 50)]
+
+
+def test_more_edges_join_known_components(spark):
+    labels = components.components(spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21)], "a bigint, b bigint"))
+    more = spark.createDataFrame([(3, 11), (30, 21), (40, 41), (2, 1)], "a bigint, b bigint")
+    out = sorted((r["id"], r["component"]) for r in components.joined(labels, more).collect())
+    assert out == [(1, 1), (2, 1), (3, 1), (10, 1), (11, 1), (20, 20), (21, 20), (30, 20), (40, 40), (41, 40)]
