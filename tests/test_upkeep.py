@@ -24,6 +24,7 @@ from palimpsest import (
     taken_files,
     update,
 )
+import palimpsest.operators.compact as compacting
 from palimpsest.operators.compact import packer
 
 from .conftest import rows
@@ -150,3 +151,22 @@ def test_a_changed_file(spark, table, tmp_path):
     with pytest.raises(Exception, match="FAILFAST|MALFORMED|Malformed"):
         ingest(table, str(tmp_path / "raw"), "id int", "json")
     assert read(table).count() == 3
+
+
+def test_bins_are_bounded_by_rows_too(spark, table, monkeypatch):
+    """Files of few bytes and many rows: one task sorts a bounded number of them, in their order, without their paths."""
+    group = pd.DataFrame({"name": [f"f{i}" for i in range(7)], "partition": "", "part": 0, "hollow": False, "file_size_in_bytes": 1, "record_count": [4, 3, 9, 30, 5, 5, 6]})
+    got = packer(100, 10)(group).merge(group[["name", "record_count"]], on="name")
+    assert sorted(got["name"]) == sorted(group["name"])
+    assert all(len(x) == 1 or sum(x) <= 10 for _, x in got.groupby("bin")["record_count"])
+    monkeypatch.setattr(compacting, "TOGETHER_ROWS", 250)
+    df = spark.range(0, 1000, 1, 20).withColumn("v", F.col("id") % 7)
+    create_or_replace(df, table)
+    before = rows(read(table))
+    assert compact(table) == 2
+    assert rows(read(table)) == before
+    sizes = [r["record_count"] for r in files(table).collect()]
+    assert len(sizes) == 4 and max(sizes) <= 250
+    for part in read(table).withColumn("f", F.input_file_name()).groupBy("f").agg(F.collect_list("id").alias("ids")).collect():
+        pieces = [part["ids"][i : i + 50] for i in range(0, len(part["ids"]), 50)]
+        assert all(p == list(range(p[0], p[0] + 50)) for p in pieces)
