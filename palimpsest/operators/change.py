@@ -24,19 +24,28 @@ from .write import write_next
 PATH = "palimpsest_path"
 
 
-def stage_touched(table: Table, hits: DataFrame, write_id: str) -> DataFrame:
+def by_mark(rows: DataFrame) -> DataFrame:
+    """Rows with a hash of their file in the place of its path, which is many times as wide as what is sorted with it."""
+    return rows.withColumn(PATH, F.xxhash64(file_name(F.col(PATH))))
+
+
+def stage_touched(table: Table, hits: DataFrame, write_id: str, marked: DataFrame | None = None) -> DataFrame:
     """Files holding the given rows, with how many each holds, as a written table.
 
     ``hits`` only needs its PATH column: Spark then reads the condition's columns
-    and nothing else, and counts before it shuffles.
+    and nothing else, and counts before it shuffles. Of hits by mark the list of files,
+    ``marked``, has the names; of two files with one mark both are touched.
     """
     at = table.staging_dir(write_id, "touched")
-    (
-        hits.groupBy(PATH)
-        .agg(F.count(F.lit(1)).alias("matched"))
-        .select(file_name(F.col(PATH)).alias("name"), "matched")
-        .write.parquet(at)
-    )
+    counted = hits.groupBy(PATH).agg(F.count(F.lit(1)).alias("matched"))
+    if marked is None:
+        counted = counted.select(file_name(F.col(PATH)).alias("name"), "matched")
+    else:
+        names = marked.where("NOT dead").select("name", F.xxhash64("name").alias("mark"))
+        # A mark that no file has keeps its row, and is refused like a file that is not in the list.
+        name = F.coalesce("name", F.col(PATH).cast("string")).alias("name")
+        counted = counted.join(names, F.col(PATH) == F.col("mark"), "left").select(name, "matched")
+    counted.write.parquet(at)
     return table.spark.read.schema("name string, matched bigint").parquet(at)
 
 

@@ -14,7 +14,7 @@ from ..sources.data import clustered, load, scan
 from ..sources.files import commit_same_files, listed, paths, touching, without
 from ..sources.log import Version, version_at
 from ..sources.table import Table, col, find, new_write_id, plain_schema
-from .change import PATH, empty_staging, stage_touched
+from .change import PATH, by_mark, empty_staging, stage_touched
 from .write import write_next
 
 RANGE_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.StringType)
@@ -81,19 +81,19 @@ def merge(
             hit_keys = stage(table, only_keys.distinct().join(once, keys, "left_semi"), write_id, "hits")
     if matched and not always:
         # Every clause has a condition: only files count that hold a row for which one is TRUE.
-        rows = _in_range(scan(table, before, PATH), pairs, source_keys, facts).alias("t")
+        rows = by_mark(_in_range(scan(table, before, PATH), pairs, source_keys, facts)).alias("t")
         other = F.broadcast(source) if facts["row_bytes"] <= limit else source
         applies = _equal([(col(t, of="t"), col(s, of="s")) for t, s in pairs]) & any_true(matched)
         found.append(rows.join(other.alias("s"), applies, "left_semi").select(F.col(f"t.{PATH}").alias(PATH)))
     if not_matched_by_source:
-        rows = scan(table, before, PATH).alias("t")
+        rows = by_mark(scan(table, before, PATH)).alias("t")
         same = _equal([(col(t, of="t"), F.col(f"k.{k}")) for (t, _), k in zip(pairs, keys, strict=True)])
         rows = rows.join(wanted.alias("k"), same, "left_anti").where(any_true(not_matched_by_source))
         found.append(rows.select(F.col(f"t.{PATH}").alias(PATH)))
     touched = None
     if found:
         hits = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-        touched = stage_touched(table, hits, write_id)
+        touched = stage_touched(table, hits, write_id, files)
 
     matching = once.toDF(*[s for _, s in pairs]) if repeated else source
     if choice:
@@ -256,6 +256,7 @@ def _target_keys(
     row groups and partitions that hold only such rows.
     """
     rows = _in_range(scan(table, before, path_as), pairs, source_keys, facts)
+    rows = by_mark(rows) if path_as else rows
     keys = [col(t).alias(f"k{i}") for i, (t, _) in enumerate(pairs)]
     return rows.select(keys + ([F.col(path_as)] if path_as else []))
 

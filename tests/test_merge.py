@@ -17,6 +17,8 @@ from palimpsest import (
     snapshots,
 )
 
+import palimpsest.operators.merge as merging
+
 from .conftest import rows
 
 TARGET = "k int, p string, v double"
@@ -173,3 +175,20 @@ def test_wrong_clauses(spark, table, orders):
         merge(table, orders, "o_orderkey", not_matched_by_source=[set_columns()])
     with pytest.raises(ValueError, match="no column"):
         merge(table, orders, "nothing", matched=[remove_row()])
+
+
+def test_paths_are_not_sorted_with_rows(spark, table, monkeypatch):
+    """What is joined and sorted to find the files hit holds a number for the file, and the files are the same."""
+    monkeypatch.setattr(merging, "_broadcast_limit", lambda table: 0)
+    kinds, stage_touched = [], merging.stage_touched
+    monkeypatch.setattr(merging, "stage_touched", lambda table, hits, *rest: kinds.append(dict(hits.dtypes)) or stage_touched(table, hits, *rest))
+    df = spark.range(0, 200, 1, 8).select(F.col("id").alias("k"), F.lit("a b+%").alias("p"), F.col("id").cast("double").alias("v"))
+    create_or_replace(df, table, partition_by=["p"], cluster=False)
+    old = {r["file_path"] for r in files(table).select("file_path").collect()}
+    source = spark.range(30, 45).select(F.col("id").alias("k"), F.lit(2.0).alias("w"))
+    merge(table, source, "k", matched=[remove_row("s.k = 31"), set_columns({"v": "s.w"}, "t.v > 40")])
+    assert kinds == [{"palimpsest_path": "bigint"}]
+    assert len(old & {r["file_path"] for r in files(table).select("file_path").collect()}) == 7
+    assert sorted(r["k"] for r in read(table).where("v = 2").collect()) == [2, *range(41, 45)]
+    merge(table, source, "k", not_matched_by_source=[remove_row("t.k < 25")], not_matched=[insert_row({"k": "s.k"})])
+    assert sorted(r["k"] for r in read(table).collect()) == sorted({*range(25, 200)} - {31} | {31})
