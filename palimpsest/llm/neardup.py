@@ -388,10 +388,14 @@ def _between(
     )
     members = staged(members, "open")
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, key):
             left, right = _open_pairs(group, similarity, first_only)
-            yield from group.take(np.unique(np.r_[left, right])).drop_columns(["sketch", "n_shingles"]).to_batches()
+            yield from group.take(np.unique(np.r_[left, right])).to_batches()
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in near(batches):
+            yield batch.drop_columns(["sketch", "n_shingles"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, key):
@@ -426,8 +430,11 @@ def _between(
     rows = dealt(members.join(sketch, "doc_id").select(*columns, "n_shingles", half))
     narrowed = in_batches(rows, likely, schema)
     narrowed = staged(narrowed, "open")
+    # Of what is left whole sketches are compared before sets, ten times as large, are moved.
+    rows = dealt(narrowed.join(sketch, "doc_id").select(*columns, "n_shingles", "sketch"))
+    narrowed = staged(in_batches(rows, near, f"{schema}, n_shingles bigint, sketch binary"), "open")
     sets = full_sets(docs, narrowed.select("doc_id"))
-    with_sets = narrowed.join(sketch, "doc_id").join(sets.select("doc_id", "shingles"), "doc_id")
+    with_sets = narrowed.join(sets.select("doc_id", "shingles"), "doc_id")
     rows = dealt(with_sets.select(*columns, "n_shingles", "sketch", "shingles"))
     return in_batches(rows, link, "a bigint, b bigint")
 

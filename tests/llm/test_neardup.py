@@ -167,3 +167,17 @@ def test_more_edges_join_known_components(spark):
     more = spark.createDataFrame([(3, 11), (30, 21), (40, 41), (2, 1)], "a bigint, b bigint")
     out = sorted((r["id"], r["component"]) for r in components.joined(labels, more).collect())
     assert out == [(1, 1), (2, 1), (3, 1), (10, 1), (11, 1), (20, 20), (21, 20), (30, 20), (40, 40), (41, 40)]
+
+
+def test_sets_of_texts_that_whole_sketches_tell_apart_are_not_moved(spark, monkeypatch):
+    """Half of a sketch leaves room for pairs alike by 0.55, the whole of it does not."""
+    rng = np.random.default_rng(4)
+    shared, asked, full_sets = words(330, 7), [], neardup.full_sets
+    monkeypatch.setattr(neardup, "full_sets", lambda docs, ids: asked.append(ids.distinct().count()) or full_sets(docs, ids))
+    docs = documents(spark, [(i, " ".join([*shared, *words(200, int(rng.integers(1 << 30)))])) for i in range(24)])
+    texts = neardup.sketched(docs).select("doc_id", "n_shingles", "sketch")
+    band = neardup.sketched(docs).selectExpr("doc_id", "n_shingles", "explode(bands) AS band").join(texts.select("doc_id"), "doc_id")
+    members = band.selectExpr("band", "doc_id", "n_shingles", "doc_id AS component")
+    members = members.join(neardup._open(members), "band")
+    links = neardup._between(members, texts, docs, 80, 1024, first_only=True)
+    assert links.isEmpty() and asked[0] < 12
