@@ -9,10 +9,11 @@ first one. Four registers are a band, 32 bands a document.
 2. Texts that share a band are candidates. Each is first compared with one text of the
    band only, so a band that much of the corpus shares gives one pair for each text in
    it: the text that shares most bands with others, which of a group of altered copies is
-   the one that they were made from. Pairs whose Jaccard estimate, corrected for registers equal by
-   chance, is more than 6 standard deviations below 0.8 are dropped, the others are
-   confirmed on their full sets.
-3. Bands that still hold texts of two or more components are compared in full: by estimate
+   the one that they were made from. Pairs of sets too unlike in size, and those whose Jaccard
+   estimate, corrected for registers equal by chance, is more than 6 standard deviations
+   below 0.8 are dropped, the others are confirmed on their full sets.
+3. With that text of each band all is done. Bands whose other texts are of two or more
+   components are compared in full: by size and estimate
    first, then by full sets, only between components, and a pair only in the first band it
    shares; a block of texts returns the links that join components, not all pairs. That is
    for bands of up to LIGHT texts. Many texts share a band by a passage that they have in
@@ -22,6 +23,9 @@ first one. Four registers are a band, 32 bands a document.
    words of their own meet nobody, and no square of them comes up.
 4. Components of all links give the classes.
 
+Full sets are moved as compressed texts, from which the tasks that compare them make them anew:
+that is a third of the bytes of their hashes. Bands are made anew from the sketches.
+
 A pair with a similarity of 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z made lower case; shingles are compared by
 64-bit hashes.
@@ -35,7 +39,9 @@ looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .components import components, joined
 from .shared import in_batches, staged
-from .words import NOT_SPACE, document_hashes, gram_starts, sequence_hashes, slices, split
+from .words import NOT_SPACE, SLICE_BYTES, document_hashes, gram_starts, sequence_hashes, slices, split
 
 SHINGLE = 4
 SIMILARITY = 80  # in hundredths
@@ -59,6 +65,12 @@ BLOCK = 1024
 BLOCK_SHINGLES = 1024
 #: Ids that a broadcast may hold, 16 bytes each.
 BROADCAST_IDS = 1 << 19
+#: Passes over the documents, with a broadcast of ids each, before a shuffle moves all texts.
+PASSES = 8
+#: Rows of up to 64 bytes that a broadcast may hold.
+BROADCAST_ROWS = 1 << 17
+#: Of the rare shingles by which a text meets others, so many tell which pairs have met.
+FIRSTS = 8
 #: Standard deviations by which an estimate may fall short.
 MARGIN = 6.0
 
@@ -67,7 +79,8 @@ _EMPTY = np.uint16(0xFFFF)
 _NO_BAND = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 SKETCH_SCHEMA = "doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, sketch binary, bands array<bigint>"
-SET_SCHEMA = "doc_id bigint, n_shingles bigint, shingles binary"
+SET_SCHEMA = "doc_id bigint, packed binary"
+BAND_SCHEMA = "band bigint, doc_id bigint, n_shingles bigint"
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,29 +188,83 @@ def sketched(docs: DataFrame) -> DataFrame:
     return in_batches(docs.select("doc_id", "text"), scan, SKETCH_SCHEMA)
 
 
+def banded(texts: DataFrame) -> DataFrame:
+    """(band, doc_id, n_shingles): the bands of each text, from its sketch."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                doc, keys = band_keys(_registers(batch.column("sketch")))
+                columns = {c: batch.column(c).take(pa.array(doc)) for c in ("doc_id", "n_shingles")}
+                yield pa.record_batch({"band": pa.array(keys.view(np.int64)), **columns})
+
+    return in_batches(texts.select("doc_id", "n_shingles", "sketch"), listed, BAND_SCHEMA)
+
+
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The full sets of the documents named by the one column of ``ids``, as a written table.
+    """The full sets of the documents named by the one column of ``ids``, each as its text, compressed.
 
-    Up to BROADCAST_IDS of them go to all tasks, so that only their texts are moved; more
-    are joined with a shuffle.
+    Up to BROADCAST_IDS of them go to all tasks at once, so that no text is moved but those of
+    rows that share a doc_id, of which equal ones are one; more than PASSES times as many are
+    joined with a shuffle.
     """
-    ids = staged(ids.toDF("id").distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    needed = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").distinct()
+    named = docs.select("doc_id").join(ids.toDF("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi")
+    ids = staged(named.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("held")), "ids")
+    passes, several = -(-ids.count() // BROADCAST_IDS), not ids.where("held > 1").isEmpty()
+
+    def of(wanted: DataFrame) -> DataFrame:
+        return docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for batch in batches:
+            texts = batch.column("text").fill_null("")
+            packed = pa.array([zlib.compress(x.as_buffer()) for x in texts], pa.binary())
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "packed": packed})
+
+    def packed(some: DataFrame) -> DataFrame:
+        needed = of(F.broadcast(some.where("held = 1")))
+        if several:
+            needed = needed.unionByName(of(F.broadcast(some.where("held > 1"))).distinct())
+        return in_batches(needed, scan, SET_SCHEMA)
+
+    if passes > PASSES:
+        return in_batches(of(ids).distinct(), scan, SET_SCHEMA)
+    if passes <= 1:
+        return packed(ids)
+    nth = F.pmod(F.xxhash64("id"), F.lit(passes))
+    return reduce(DataFrame.unionByName, [staged(packed(ids.where(nth == i)), "sets") for i in range(passes)])
+
+
+def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The rows in their order, some at a time, with the shingles of their sets and where each set begins."""
+    for some in slices(batches, "packed", SLICE_BYTES // 4):
+        texts = pa.array([zlib.decompress(x.as_buffer()) for x in some.column("packed")], pa.large_binary())
+        rows = some.drop_columns(["packed"]).append_column("text", texts.view(pa.large_string()))
+        for part in slices([rows]):
             value, first, _, _ = shingle_sets(part.column("text"))
-            data = [value[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.record_batch(
-                {
-                    "doc_id": part.column("doc_id"),
-                    "n_shingles": pa.array(np.diff(first), pa.int64()),
-                    "shingles": pa.array(data, pa.binary()),
-                }
-            )
+            yield part, value, first
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """The rows, written, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows with a key of ``wanted``, told where they are; all rows if those keys are very many."""
+    ids = staged(wanted.select(key).distinct(), "ids")
+    return rows.join(F.broadcast(ids), key, "left_semi") if ids.count() <= BROADCAST_IDS else rows
+
+
+def _with(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows joined with ``wanted``, a written table; most rows have none there and are not moved."""
+    few = wanted.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(wanted), key) if few else _only(rows, wanted, key).join(wanted, key)
+
 
-    return staged(in_batches(needed, scan, SET_SCHEMA), "sets")
+def _near_in_size(a: str, b: str, similarity: int) -> str:
+    """SQL: whether two sets of these sizes can be as similar as that."""
+    return f"100 * least({a}, {b}) >= {similarity} * greatest({a}, {b})"
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -205,7 +272,7 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose sketches leave room for the similarity."""
+    """The pairs (a, b), a written table, whose sketches leave room for the similarity."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,29 +285,31 @@ def _likely(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
         c: texts.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n_shingles").alias(f"n_{c}"))
         for c in "ab"
     }
-    return in_batches(pairs.join(of["a"], "a").join(of["b"], "b"), keep, "a bigint, b bigint")
+    both = _with(of["a"], pairs, "a").join(_only(of["b"], pairs, "b"), "b")
+    return in_batches(both, keep, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) that are linked, by full sets.
 
     The set of b comes once for every 128 of its partners, then those one by one, so
-    neither a pair carries two sets nor does a task hold more than two at a time.
+    neither a pair carries two sets nor does a task hold more than two and a slice at a time.
     """
     per_b = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 128).alias("parts"))
-    pairs = pairs.join(per_b, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).select("a", "b", "part")
-    others = pairs.join(sets.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "shingles")
-    heads = pairs.select("b", "part").distinct().join(sets.withColumnRenamed("doc_id", "b"), "b")
-    rows = heads.select("b", "part", F.lit(None).cast("bigint").alias("a"), "shingles").unionByName(others)
+    pairs = pairs.join(per_b, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+    others = pairs.select(F.col("a").alias("doc_id"), "b", "part", "a")
+    heads = pairs.select(F.col("b").alias("doc_id"), "b", "part", F.lit(None).cast("bigint").alias("a")).distinct()
+    places = staged(others.unionByName(heads), "places")
+    rows = full_sets(docs, places.select("doc_id")).join(_small(places), "doc_id").select("b", "part", "a", "packed")
     rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, []
-        for batch in batches:
+        for batch, value, first in unpacked(batches):
             out = []
             keys = zip(*(batch.column(c).to_pylist() for c in ("b", "part", "a")), strict=True)
-            for (b, part, a), shingles in zip(keys, batch.column("shingles"), strict=True):
-                data = np.frombuffer(shingles.as_buffer(), np.uint64)
+            for (b, part, a), low, high in zip(keys, first[:-1], first[1:], strict=True):
+                data = value[low:high]
                 if (b, part) != now:
                     now, own = (b, part), []
                 if a is None:
@@ -271,19 +340,25 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def _open_pairs(group: pa.Table, similarity: int, first_only: bool) -> tuple[np.ndarray, np.ndarray]:
+def _open_pairs(
+    group: pa.Table, registers: np.ndarray, n: np.ndarray, similarity: int, first_only: bool
+) -> tuple[np.ndarray, np.ndarray]:
     """Of a block, which of its rows are likely to be linked across components: a matrix's places.
 
     Texts of different components share open bands only, so with ``first_only`` each pair is met in its
     first one, or, where only the first part of the sketches is there, in the first of those and in later ones.
+    Pairs that share one of their ``firsts``, if rows have them, are met in the smallest such band.
     """
-    registers = _registers(group.column("sketch").combine_chunks())
-    bands = registers.view(np.uint64)
-    used = np.flatnonzero(bands[0] != _NO_BAND)
-    here = used[band_keys(registers[:1])[1].view(np.int64) == group.column("band")[0].as_py()]
+    bands, band = registers.view(np.uint64), group.column("band")[0].as_py()
+    here = np.nonzero(bands != _NO_BAND)[1][band_keys(registers)[1].view(np.int64) == band]
     now = here[0] if len(here) else bands.shape[1]
-    n, label, block = (group.column(c).to_numpy() for c in ("n_shingles", "component", "own"))
+    label, block = (group.column(c).to_numpy() for c in ("component", "own"))
     crossing = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    firsts = None
+    if "firsts" in group.column_names:
+        lists = group.column("firsts").to_pylist()
+        # Places beyond the end of a list are equal to none.
+        firsts = np.array([x + [band] * (FIRSTS - len(x)) for x in lists], np.int64)
     left, right = [], []
     for x in range(len(n) - 1):
         y = np.arange(x + 1, len(n))
@@ -293,6 +368,10 @@ def _open_pairs(group: pa.Table, similarity: int, first_only: bool) -> tuple[np.
             y = y[~earlier.any(axis=1)]
         if len(y):
             y = y[may_link(registers[x][None, :], registers[y], np.full(len(y), n[x]), n[y], similarity)]
+        if len(y) and firsts is not None:
+            own = firsts[x][firsts[x] < band]
+            y = y[~(firsts[y][:, :, None] == own).any(axis=(1, 2))]
+        if len(y):
             left.append(np.full(len(y), x))
             right.append(y)
     none = np.zeros(0, np.int64)
@@ -310,6 +389,14 @@ def _open(named: DataFrame) -> DataFrame:
     return held.where("low <> high").select("band", "held", "size")
 
 
+def _sized(members: DataFrame, similarity: int) -> DataFrame:
+    """Of small bands, the members of which another, of another component, is near in size."""
+    row = F.struct("doc_id", "n_shingles", "component")
+    of_band = members.groupBy("band", "held", "size").agg(F.collect_list(row).alias("row"))
+    near = f"y.component <> x.component AND {_near_in_size('x.n_shingles', 'y.n_shingles', similarity)}"
+    return of_band.select("band", "held", "size", F.expr(f"inline(filter(row, x -> exists(row, y -> {near})))"))
+
+
 def _different(members: DataFrame) -> DataFrame:
     """Of bands that hold the same texts, the one with the smallest key, with all its members.
 
@@ -331,18 +418,15 @@ def rarest(docs: DataFrame, ids: DataFrame, similarity: int) -> DataFrame:
     Shingles that only one of these documents has come first and bring nobody together, so
     they are counted, not kept.
     """
-    sets = full_sets(docs, ids)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64)
-            ends = np.cumsum(batch.column("n_shingles").to_numpy())
-            columns = {c: batch.column(c) for c in ("doc_id", "n_shingles", "own")}
-            bands = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values))
-            yield pa.record_batch({**columns, "bands": bands})
+        for part, value, first in unpacked(batches):
+            bands = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64)))
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(first), pa.int64()), "bands": bands})
 
+    rows = in_batches(full_sets(docs, ids), listed, "doc_id bigint, n_shingles bigint, bands array<bigint>")
     # Documents may share an id, so a set goes by its content too.
-    rows = in_batches(sets.withColumn("own", F.xxhash64("shingles")), listed, "doc_id bigint, n_shingles bigint, own bigint, bands array<bigint>")
+    rows = staged(rows.withColumn("own", F.xxhash64("bands")), "sets")
     each = rows.select("doc_id", "n_shingles", "own", F.explode("bands").alias("band"))
     shared = staged(each.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "shared")
     met = each.join(shared, "band")
@@ -364,13 +448,15 @@ def _rest(
 
     bands = staged(named(bands), "named")
     members = staged(bands.join(_open(bands), "band"), "open")
-    light = members.where(F.col("held") <= LIGHT)
+    light = _sized(members.where(F.col("held") <= LIGHT), similarity)
     links = _between(light, texts, docs, similarity, block, first_only=True)
     heavy = staged(members.where(F.col("held") > LIGHT).select("doc_id").distinct(), "heavy")
     if heavy.isEmpty():
         return links
     few = staged(named(rarest(docs, heavy, similarity)), "rarest")
-    few = _different(staged(few.join(_open(few), "band"), "open"))
+    few = staged(_different(staged(few.join(_open(few), "band"), "open")), "open")
+    firsts = F.slice(F.array_sort(F.collect_set("band")), 1, FIRSTS).alias("firsts")
+    few = few.join(few.groupBy("doc_id").agg(firsts), "doc_id")
     return links.unionByName(_between(few, texts, docs, similarity, block, first_only=False))
 
 
@@ -380,30 +466,35 @@ def _between(
     """Links between components, from bands with all their members; bands of many members are cut into blocks."""
     by_rows, by_size = F.ceil(F.col("held") / block), F.ceil(F.col("size") / (block * BLOCK_SHINGLES))
     members = members.withColumn("blocks", F.greatest(by_rows, by_size).cast("int"))
-    key = ["band", "i", "j"]
+    key, extra = ["band", "i", "j"], [c for c in members.columns if c == "firsts"]
     members = (
         members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component")
+        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", *extra)
     )
     members = staged(members, "open")
+    columns = members.columns
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, key):
-            left, right = _open_pairs(group, similarity, first_only)
-            yield from group.take(np.unique(np.r_[left, right])).to_batches()
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in near(batches):
-            yield batch.drop_columns(["sketch", "n_shingles"])
+            registers = _registers(group.column("sketch").combine_chunks())
+            left, right = _open_pairs(group, registers, group.column("n_shingles").to_numpy(), similarity, first_only)
+            rows = np.unique(np.r_[left, right])
+            # A document may have several texts.
+            rows = rows[np.unique(group.column("doc_id").to_numpy()[rows], return_index=True)[1]]
+            yield from group.select(columns).take(rows).to_batches()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, key):
-            left, right = _open_pairs(group, similarity, first_only)
+            sets_of, registers = [], []
+            for _, value, first in unpacked(group.to_batches()):
+                sets_of += [value[low:high] for low, high in zip(first[:-1], first[1:], strict=True)]
+                registers.append(sketches(value, first))
+            n = np.array([len(x) for x in sets_of])
+            left, right = _open_pairs(group, np.concatenate(registers), n, similarity, first_only)
             ids = group.column("doc_id").to_pylist()
             parent = {c: c for c in group.column("component").to_pylist()}
             label = group.column("component").to_pylist()
-            sets_of = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
 
             def root(c, parent=parent):
                 while parent[c] != c:
@@ -422,26 +513,23 @@ def _between(
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(*key).sortWithinPartitions(*key, "doc_id")
 
-    columns = [*key, "own", "doc_id", "component"]
-    schema = "band bigint, i int, j int, own int, doc_id bigint, component bigint"
-    sketch = texts.select("doc_id", "n_shingles", "sketch")
-    # Half a sketch settles most of it: bands that many texts share by a passage hold few that are alike.
-    half = F.substring("sketch", 1, REGISTERS).alias("sketch")
-    rows = dealt(members.join(sketch, "doc_id").select(*columns, "n_shingles", half))
-    narrowed = in_batches(rows, likely, schema)
-    narrowed = staged(narrowed, "open")
-    # Of what is left whole sketches are compared before sets, ten times as large, are moved.
-    rows = dealt(narrowed.join(sketch, "doc_id").select(*columns, "n_shingles", "sketch"))
-    narrowed = staged(in_batches(rows, near, f"{schema}, n_shingles bigint, sketch binary"), "open")
-    sets = full_sets(docs, narrowed.select("doc_id"))
-    with_sets = narrowed.join(sets.select("doc_id", "shingles"), "doc_id")
-    rows = dealt(with_sets.select(*columns, "n_shingles", "sketch", "shingles"))
-    return in_batches(rows, link, "a bigint, b bigint")
+    def compared(members: DataFrame, sketch: Column) -> DataFrame:
+        rows = _with(texts.select("doc_id", "n_shingles", sketch.alias("sketch")), members, "doc_id")
+        return staged(in_batches(dealt(rows.select(*columns, "n_shingles", "sketch")), near, members.schema), "open")
+
+    if first_only:
+        # Half a sketch settles most of it: bands that many texts share by a passage hold few that are alike.
+        members = compared(members, F.substring("sketch", 1, REGISTERS))
+    # Of what is left whole sketches are compared before sets are moved.
+    members = compared(members, F.col("sketch")).drop("firsts")
+    sets = full_sets(docs, members.select("doc_id"))
+    rows = sets.join(_small(members), "doc_id").select(*members.columns, "packed")
+    return in_batches(dealt(rows), link, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    rows = staged(sketched(docs), "sketches")
+    rows = staged(sketched(docs).drop("bands"), "sketches")
     key = ["k1", "k2"]
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     texts = staged(
@@ -449,27 +537,29 @@ def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, block: int
             F.min("doc_id").alias("doc_id"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("sketch").alias("sketch"),
-            F.first("bands").alias("bands"),
         ),
         "distinct",
     )
     copies = known.select(*key, F.col("doc_id").alias("a")).join(texts.select(*key, F.col("doc_id").alias("b")), key)
     copies = copies.where("a <> b").select("a", "b").distinct()
 
-    bands = texts.select(F.explode("bands").alias("band"), "doc_id", "n_shingles")
+    bands = banded(texts)
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bands = staged(bands.join(shared, "band"), "bands")
     company = bands.groupBy("doc_id").agg(F.sum("n").alias("company"))
-    place = F.struct("company", (-F.col("doc_id")).alias("id"))
-    centres = bands.select("band", "doc_id").join(company, "doc_id").groupBy("band").agg(F.max(place).alias("centre"))
-    centres = staged(centres.select("band", (-F.col("centre.id")).alias("b")), "centres")
-    pairs = bands.join(centres, "band").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    place = F.struct("company", (-F.col("doc_id")).alias("id"), "n_shingles")
+    centres = bands.join(company, "doc_id").groupBy("band").agg(F.max(place).alias("centre"))
+    centres = staged(centres.select("band", (-F.col("centre.id")).alias("b"), F.col("centre.n_shingles").alias("n_b")), "centres")
+    bands = staged(bands.join(centres, "band"), "bands")
+    pairs = bands.where("doc_id <> b").where(_near_in_size("n_shingles", "n_b", similarity))
+    pairs = staged(pairs.select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
     pairs = staged(_likely(pairs, texts, similarity), "pairs")
 
-    sets = full_sets(docs, pairs.select("a").union(pairs.select("b")))
-    links = staged(copies.unionByName(_confirmed(pairs, sets, similarity)), "links")
+    links = staged(copies.unionByName(_confirmed(pairs, docs, similarity)), "links")
     labels = components(links)
-    more = staged(_rest(bands.select("band", "doc_id", "n_shingles"), labels, texts, docs, similarity, block), "links")
+    # The centre of a band has been compared with all of it.
+    others = bands.where("doc_id <> b OR n_shingles <> n_b").select("band", "doc_id", "n_shingles")
+    more = staged(_rest(others, labels, texts, docs, similarity, block), "links")
     if not more.isEmpty():
         labels = joined(labels, more)
     return (

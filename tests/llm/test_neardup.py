@@ -181,3 +181,54 @@ def test_sets_of_texts_that_whole_sketches_tell_apart_are_not_moved(spark, monke
     members = members.join(neardup._open(members), "band")
     links = neardup._between(members, texts, docs, 80, 1024, first_only=True)
     assert links.isEmpty() and asked[0] < 12
+
+
+@pytest.mark.parametrize("passes", [100, 0])
+def test_many_ids(spark, monkeypatch, passes):
+    """Ids in several broadcasts, or too many for any."""
+    for name, value in (("BROADCAST_IDS", 5), ("BROADCAST_ROWS", 0), ("PASSES", passes), ("LIGHT", 3)):
+        monkeypatch.setattr(neardup, name, value)
+    passage = words(60, 5)
+    rows = [(i, " ".join([*passage, *words(30, 900 + i)])) for i in range(12)]
+    rows += [(20 + i, " ".join([*passage, *copy_of(words(30, 900 + i), 1, i)])) for i in range(12)]
+    rows += [rows[0], rows[0], (3, rows[1][1]), (50, None), (50, rows[5][1])]
+    assert got(neardup.near_duplicates(documents(spark, rows))) == brute(rows)
+
+
+@pytest.mark.parametrize("limit", [1 << 19, 2])
+def test_sets_are_moved_as_compressed_texts(spark, monkeypatch, limit):
+    """Each once, in less than half of the bytes of its hashes, and from the tasks that read the texts."""
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", limit)
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["of", "and", "the", "data", "spark", "table"]) for _ in range(400)) for _ in range(6)]
+    docs = documents(spark, [*enumerate(texts), (1, texts[1]), (1, texts[1]), (2, None), (9, "not asked for")])
+    sets = neardup.full_sets(docs, spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 3)], "x bigint"))
+    rows = sorted((r["doc_id"], len(r["packed"])) for r in sets.collect())
+    assert [i for i, _ in rows] == [0, 1, 2, 2, 3] and max(n for _, n in rows) < 4 * 390
+    found = [x for batch in sets.toArrow().to_batches() for _, value, first in neardup.unpacked([batch]) for x in np.split(value, first[1:-1])]
+    want, first, _, _ = neardup.shingle_sets(pa.array([texts[i] for i in (0, 1, 2, 3)] + [None]))
+    assert sorted(map(bytes, found)) == sorted(map(bytes, np.split(want, first[1:-1])))
+
+
+def test_what_a_centre_was_compared_with_is_not_compared_again(spark, monkeypatch):
+    """Bands of two texts are done with their centre; of sets unlike in size no sketch is moved."""
+    asked, pairs, between, likely = [], [], neardup._between, neardup._likely
+    monkeypatch.setattr(neardup, "_between", lambda members, *a, **b: asked.append(members.count()) or between(members, *a, **b))
+    monkeypatch.setattr(neardup, "_likely", lambda rows, *a: pairs.append(rows.count()) or likely(rows, *a))
+    rows = [(2 * i + j, " ".join([*words(100, i), *words(60, 500 + 2 * i + j)])) for i in range(20) for j in range(2)]
+    rows += [(100 + 2 * i + j, " ".join([*words(100, 100 + i), *words(60 * j, 700 + i)])) for i in range(20) for j in range(2)]
+    assert got(neardup.near_duplicates(documents(spark, rows))) == brute(rows)
+    assert asked == [0] and 10 < pairs[0] <= 20
+
+
+def test_a_pair_is_met_in_the_first_of_its_rare_bands():
+    rows = [{"band": 7, "i": 0, "j": 0, "own": 0, "doc_id": i, "component": i, "firsts": x} for i, x in enumerate([[3, 7, 9], [7, 8], [2, 3, 7], [5, 7]])]
+    registers = np.tile(np.arange(128, dtype=np.uint16), (4, 1))
+    left, right = neardup._open_pairs(pa.Table.from_pylist(rows), registers, np.full(4, 100), 80, False)
+    assert list(zip(left.tolist(), right.tolist(), strict=True)) == [(0, 1), (0, 3), (1, 2), (1, 3), (2, 3)]
+
+
+def test_bands_come_from_sketches(spark):
+    texts = neardup.sketched(documents(spark, [(i, " ".join(words(3 + i, i))) for i in range(9)] + [(20, None)]))
+    want = texts.selectExpr("explode(bands) AS band", "doc_id", "n_shingles")
+    assert sorted(neardup.banded(texts.drop("bands")).collect()) == sorted(want.collect())
